@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ._cols import q
 
 DEFAULT_BUCKETS = 64
@@ -37,6 +38,12 @@ def _bucketed(df: DataFrame, part_cols, key: str, weight_cols, buckets: int) ->
     bounds = df.groupBy(*part_cols).agg(
         F.percentile_approx(F.col(key).cast("double"), fracs, SKETCH_ACCURACY).alias("_bounds"),
         *[F.sum(w).alias(f"total_{w}") for w in weight_cols])
+    # A sketch's result depends on the order partial sketches are merged, and the
+    # plan reads the bounds in two branches (bucket totals, candidate rows); both
+    # must see the same bounds, so the small bounds table is frozen once in the
+    # shared checkpoint folder (this also cuts its lineage).
+    ensure_checkpoint_dir(df.sparkSession)
+    bounds = bounds.checkpoint(eager=True)
     x = df.join(bounds, part_cols)
     return x.withColumn("_b", bucket_of(F.col("_bounds"), F.col(key).cast("double"), len(fracs))).drop("_bounds")
 

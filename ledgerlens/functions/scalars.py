@@ -47,14 +47,44 @@ def safe_div(a, b, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(as_col(a), as_col(b)), F.lit(default))
 
 
+_SPLIT = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
+
+
+def _split(a: Column):
+    c = a * _SPLIT
+    hi = c - (c - a)
+    return hi, a - hi
+
+
+def round_binary_half_even(v: Column, decimals: int) -> Column:
+    """Round the exact binary value of ``v`` to ``decimals`` places, ties to even.
+
+    This is how Python's fixed-point formatting rounds (R14). ``p = v * 10**k``
+    is computed with its exact rounding error ``e`` (Dekker's error-free
+    product), so a product that only looks like a tie after rounding is
+    decided by the sign of ``e``; true ties go to the even neighbour.
+    """
+    scale = float(10 ** decimals)
+    p = v * scale
+    ah, al = _split(v)
+    bh, bl = _split(F.lit(scale))
+    err = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    fl = F.floor(p).cast("double")
+    f = p - fl
+    up = (F.when(f > 0.5, 1.0).when(f < 0.5, 0.0).when(err > 0, 1.0).when(err < 0, 0.0)
+          .when(F.pmod(fl, F.lit(2.0)) == 0, 0.0).otherwise(1.0))
+    return (fl + up) / scale
+
+
 def fixed(v: Column, decimals: int, thousands: bool = True, suffix: str = "") -> Column:
-    """Python-style fixed-point text: half-even rounding (R14), optional thousands separators.
+    """Python-style fixed-point text with optional thousands separators.
 
-    ``format_string`` alone rounds half-up (1.25 -> '1.3'); rounding half-even
-    first gives '1.2' like the reference's formatting.
+    ``format_string`` alone rounds the shortest decimal form half-up
+    (1.25 -> '1.3'); the value is first rounded like Python does, after which
+    formatting only prints digits.
     """
     pattern = ("%," if thousands else "%") + f".{decimals}f" + suffix.replace("%", "%%")
-    return F.format_string(pattern, F.bround(v, decimals))
+    return F.format_string(pattern, round_binary_half_even(v, decimals))
 
 
 def format_number(c) -> Column:

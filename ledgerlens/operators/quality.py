@@ -11,6 +11,7 @@ from ..functions._cols import q
 from ..functions.aggs import is_missing, modes, one_row
 from ..functions.ranking import quantiles, unpivot_numeric
 from ..functions.scalars import clip
+from ..session import materialize
 from ..functions.schema import numeric_columns
 
 IQR_K = 1.5
@@ -217,8 +218,13 @@ class CleanSpec:
         return cls(drop_empty=bool(empty), drop_duplicates=duplicates > 0, winsorise=list(outlier_columns))
 
 
-def clean(df: DataFrame, spec: CleanSpec) -> DataFrame:
-    """Drop empty columns -> missing action -> de-duplicate -> winsorise."""
+def clean(df: DataFrame, spec: CleanSpec, checkpoint: bool = True) -> DataFrame:
+    """Drop empty columns -> missing action -> de-duplicate -> winsorise.
+
+    Winsorising reads its input twice (fences, then clipping), and that input
+    is itself the product of multi-pass steps; with ``checkpoint`` the input is
+    written once to the shared checkpoint folder so no step is recomputed.
+    """
     out = drop_empty_columns(df) if spec.drop_empty else df
     if spec.missing_action == "drop":
         out = drop_missing_rows(out)
@@ -227,8 +233,10 @@ def clean(df: DataFrame, spec: CleanSpec) -> DataFrame:
     if spec.drop_duplicates:
         out = drop_duplicates(out)
     if spec.winsorise:
+        if checkpoint:
+            out = materialize(out)
         out = winsorise(out, spec.winsorise)
-    return out
+    return materialize(out) if checkpoint else out
 
 
 def quality_summary(df: DataFrame) -> DataFrame:

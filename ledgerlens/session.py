@@ -62,3 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return f"{ensure_checkpoint_dir(spark)}/{name}"
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used where a multi-pass operator reads the output of another multi-pass
+    operator; without it every pass would recompute (and re-plan) the whole
+    upstream chain. The files survive the loss of any executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
