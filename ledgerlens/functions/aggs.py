@@ -49,3 +49,12 @@ def modes(df: DataFrame, columns, as_type: str = "string") -> DataFrame:
     best = (vc.join(top, "column").where(F.col("cnt") == F.col("mode_count"))
             .groupBy("column").agg(F.min("value").alias("mode")))
     return top.join(best, "column").select("column", "n_unique", "mode", "mode_count")
+
+
+def rows_of(one: DataFrame, rows, names) -> DataFrame:
+    """Turn a one-row aggregate into several rows with one Generate (no union of copies).
+
+    ``rows`` is a list of rows, each a list of Columns (over ``one``) matching ``names``.
+    """
+    structs = [F.struct(*[c.alias(n) for c, n in zip(r, names)]) for r in rows]
+    return one.select(F.explode(F.array(*structs)).alias("_r")).select(*[F.col(f"_r.{q(n)}").alias(n) for n in names])

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions._cols import q
-from ..functions.aggs import one_row
+from ..functions.aggs import one_row, rows_of
 from ..functions.scalars import coerce_numeric, fixed, format_number, safe_div
 from ..functions.schema import detect_semantic_column, is_numeric_type, numeric_columns
 from .periods import resample_sum
@@ -70,8 +70,7 @@ def kpi_table(df: DataFrame, revenue=None, profit=None, sales=None, customer=Non
     none = F.lit(None).cast("string")
 
     def row(pos, label, value, display, delta=none, direction=none):
-        return one.select(F.lit(pos).alias("position"), F.lit(label).alias("label"), value.alias("value"),
-                          display.alias("display"), delta.alias("delta"), direction.alias("direction"))
+        return [F.lit(pos), F.lit(label), value.cast("double"), display, delta, direction]
     if revenue:
         rows.append(row(1, "Total Revenue", F.col("rev"), F.concat(F.lit("$"), format_number(F.col("rev")))))
     if profit:
@@ -86,9 +85,7 @@ def kpi_table(df: DataFrame, revenue=None, profit=None, sales=None, customer=Non
     if fallback:
         for i, c in enumerate(numeric_columns(df)[:4]):
             rows.append(row(10 + i, f"Σ {c}", F.col(f"f{i}"), format_number(F.col(f"f{i}"))))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    out = rows_of(one, rows, ["position", "label", "value", "display", "delta", "direction"])
     if revenue and date:
         g = mom_growth(monthly_trend(df, date, revenue))
         txt = fixed(F.col("growth_pct"), 1, thousands=False, suffix="%")
@@ -102,12 +99,8 @@ def fallback_sums(df: DataFrame, k: int = 4) -> DataFrame:
     """(column, total) for the first k numeric columns, one aggregate."""
     cols = numeric_columns(df)[:k]
     one = df.agg(*[F.coalesce(F.sum(F.col(q(c))), F.lit(0)).cast("double").alias(f"s{i}") for i, c in enumerate(cols)])
-    parts = [one.select(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"s{i}").alias("total"))
-             for i, c in enumerate(cols)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rows_of(one, [[F.lit(i), F.lit(c), F.col(f"s{i}")] for i, c in enumerate(cols)],
+                   ["position", "column", "total"])
 
 
 def group_totals(df: DataFrame, group: str, metric: str, out_col: str = "total") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._cols import q
-from ..functions.aggs import is_missing, modes, one_row
+from ..functions.aggs import is_missing, modes, one_row, rows_of
 from ..functions.ranking import quantiles, unpivot_numeric
 from ..functions.scalars import clip
 from ..session import materialize
@@ -18,13 +18,9 @@ IQR_K = 1.5
 
 
 def _stack(one: DataFrame, names, value_cols, out_cols) -> DataFrame:
-    """Unpivot a one-row aggregate: one output row per name."""
-    parts = [one.select(F.lit(n).alias("column"), *[F.col(v.format(i=i)).alias(o) for v, o in zip(value_cols, out_cols)])
-             for i, n in enumerate(names)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Unpivot a one-row aggregate: one output row per name (a single Generate)."""
+    rows = [[F.lit(n)] + [F.col(v.format(i=i)) for v in value_cols] for i, n in enumerate(names)]
+    return rows_of(one, rows, ["column", *out_cols])
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._cols import q
-from ..functions.aggs import one_row
+from ..functions.aggs import one_row, rows_of
 from ..functions.ranking import quantiles, unpivot_numeric
 from ..functions.schema import numeric_columns
 
@@ -37,24 +37,24 @@ def correlation_long(df: DataFrame, columns=None, decimals: int | None = 2) -> D
     cols = list(columns) if columns is not None else numeric_columns(df)
     pairs = list(combinations(range(len(cols)), 2))
     spark = df.sparkSession
-    parts = []
-    diag = df.agg(*[F.try_divide(F.stddev_pop(_num(c)), F.stddev_pop(_num(c))).alias(f"d{i}")
-                    for i, c in enumerate(cols)])
-    for i, c in enumerate(cols):
-        parts.append(diag.select(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(i).alias("i"),
-                                 F.lit(i).alias("j"), F.col(f"d{i}").alias("r")))
-    for start in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[start:start + PAIR_BATCH]
-        one = df.agg(*[_pair_r(cols[i], cols[j]).alias(f"p{k}") for k, (i, j) in enumerate(batch)])
+    if not cols:
+        return spark.createDataFrame([], "a string, b string, i int, j int, r double")
+    names = ["a", "b", "i", "j", "r"]
+    # the diagonal: 1 where the column varies, NULL for a constant or empty one
+    diag = [F.try_divide(F.stddev_pop(_num(c)), F.stddev_pop(_num(c))).alias(f"d{i}") for i, c in enumerate(cols)]
+    batches = [pairs[s:s + PAIR_BATCH] for s in range(0, len(pairs), PAIR_BATCH)] or [[]]
+    out = None
+    for bi, batch in enumerate(batches):
+        aggs = [_pair_r(cols[i], cols[j]).alias(f"p{k}") for k, (i, j) in enumerate(batch)]
+        one = df.agg(*(diag + aggs if bi == 0 else aggs))
+        rows = []
+        if bi == 0:
+            rows += [[F.lit(c), F.lit(c), F.lit(i), F.lit(i), F.col(f"d{i}")] for i, c in enumerate(cols)]
         for k, (i, j) in enumerate(batch):
             for (u, v) in ((i, j), (j, i)):
-                parts.append(one.select(F.lit(cols[u]).alias("a"), F.lit(cols[v]).alias("b"),
-                                        F.lit(u).alias("i"), F.lit(v).alias("j"), F.col(f"p{k}").alias("r")))
-    if not parts:
-        return spark.createDataFrame([], "a string, b string, i int, j int, r double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                rows.append([F.lit(cols[u]), F.lit(cols[v]), F.lit(u), F.lit(v), F.col(f"p{k}")])
+        part = rows_of(one, rows, names)
+        out = part if out is None else out.unionByName(part)
     if decimals is not None:
         out = out.withColumn("r", F.round("r", decimals))
     return out
@@ -108,15 +108,13 @@ def skewness(df: DataFrame, columns=None) -> DataFrame:
         x = _num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.skewness(x).alias(f"g{i}"), F.stddev_pop(x).alias(f"s{i}")]
     one = df.agg(*aggs)
-    parts = []
+    rows = []
     for i, c in enumerate(cols):
         n, g, s = F.col(f"n{i}").cast("double"), F.col(f"g{i}"), F.col(f"s{i}")
         adj = (F.when(n < 3, F.lit(None).cast("double")).when(s == 0, F.lit(0.0))
                .otherwise(g * F.sqrt(n * (n - 1)) / (n - 2)))
-        parts.append(one.select(F.lit(c).alias("column"), adj.alias("skew")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        rows.append([F.lit(c), adj])
+    out = rows_of(one, rows, ["column", "skew"])
     label = F.when(F.abs("skew") < 0.5, "approximately symmetric").when(F.col("skew").isNotNull(), "skewed")
     return out.withColumn("label", label)
 
@@ -170,13 +168,9 @@ def scatter_matrix(df: DataFrame, columns=None, max_columns: int = 5, default_co
     if not names:
         return df.sparkSession.createDataFrame([], "x string, y string, n bigint, slope double, intercept double, r2 double")
     one = df.agg(*aggs)
-    parts = [one.select(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"n{k}").cast("bigint").alias("n"),
-                        F.col(f"s{k}").alias("slope"), F.col(f"c{k}").alias("intercept"), F.col(f"r{k}").alias("r2"))
-             for k, (a, b) in enumerate(names)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = [[F.lit(a), F.lit(b), F.col(f"n{k}").cast("bigint"), F.col(f"s{k}"), F.col(f"c{k}"), F.col(f"r{k}")]
+            for k, (a, b) in enumerate(names)]
+    return rows_of(one, rows, ["x", "y", "n", "slope", "intercept", "r2"])
 
 
 def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._cols import q
+from ..functions.aggs import rows_of
 from ..functions.schema import SEMANTIC_KEYWORDS
 
 TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -86,11 +87,8 @@ def date_coercion_table(df: DataFrame) -> DataFrame:
         aggs += [F.count(F.col(c)).alias(f"n{len(aggs)}"),
                  F.count(F.col(c).try_cast("timestamp_ntz")).alias(f"n{len(aggs) + 1}")]
     one = df.agg(*aggs)
-    parts = [one.select(F.lit(c).alias("column"), F.col(f"n{2 * i}").alias("non_null"),
-                        F.col(f"n{2 * i + 1}").alias("parsed")) for i, c in enumerate(cands)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = rows_of(one, [[F.lit(c), F.col(f"n{2 * i}"), F.col(f"n{2 * i + 1}")] for i, c in enumerate(cands)],
+                  ["column", "non_null", "parsed"])
     return out.withColumn("convert", F.col("non_null") == F.col("parsed"))
 
 
