@@ -76,14 +76,14 @@ def round_binary_half_even(v: Column, decimals: int) -> Column:
     return (fl + up) / scale
 
 
-def fixed(v: Column, decimals: int, thousands: bool = True, suffix: str = "") -> Column:
+def fixed(v: Column, decimals: int, thousands: bool = True, suffix: str = "", sign: bool = False) -> Column:
     """Python-style fixed-point text with optional thousands separators.
 
     ``format_string`` alone rounds the shortest decimal form half-up
     (1.25 -> '1.3'); the value is first rounded like Python does, after which
     formatting only prints digits.
     """
-    pattern = ("%," if thousands else "%") + f".{decimals}f" + suffix.replace("%", "%%")
+    pattern = ("%," if thousands else "%") + ("+" if sign else "") + f".{decimals}f" + suffix.replace("%", "%%")
     return F.format_string(pattern, round_binary_half_even(v, decimals))
 
 
