@@ -1,3 +1,3 @@
 """Import every query family so the registry is complete."""
-from . import q_forecast, q_insights, q_kpi, q_metrics, q_profile, q_quality, q_scalars, q_stats  # noqa: F401
+from . import q_forecast, q_insights, q_kpi, q_metrics, q_ml, q_profile, q_quality, q_scalars, q_stats  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
