@@ -25,14 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A1 + A2: header row, inferred types; UTF-8 first, Latin-1 when bytes do not decode.
 
-    Undecodable UTF-8 bytes surface as U+FFFD; one distributed count decides
-    whether the file is re-read as ISO-8859-1.
+    One distributed count of lines that are not valid UTF-8 decides whether
+    the file is re-read as ISO-8859-1.
     """
     reader = spark.read.option("header", True).option("inferSchema", True).option("mode", "PERMISSIVE")
     if encoding:
         return clean_headers(reader.option("encoding", encoding).csv(path))
     raw = spark.read.text(path)
-    bad = raw.select(F.count_if(F.contains(F.col("value"), F.lit("�"))).alias("n")).first()["n"]
+    bad = raw.select(F.count_if(~F.is_valid_utf8("value")).alias("n")).first()["n"]
     enc = "ISO-8859-1" if bad else "UTF-8"
     return clean_headers(reader.option("encoding", enc).csv(path))
 
