@@ -49,8 +49,11 @@ def _clean_pairs(df: DataFrame, date_col: str, value_col: str, keys) -> DataFram
 
 def resample_sum(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
                  keys=(), fill_gaps: bool = True, out_col: str = "value",
-                 period_col: str = "period") -> DataFrame:
-    """Drop missing, coerce, sum per period, fill empty periods with 0."""
+                 period_col: str = "period", empty_as_null: bool = False) -> DataFrame:
+    """Drop missing, coerce, sum per period, fill empty periods with 0.
+
+    ``empty_as_null`` keeps empty periods as NULL gaps (input for :func:`interpolate`).
+    """
     keys = list(keys)
     unit = FREQS[freq]
     t = _clean_pairs(df, date_col, value_col, keys)
@@ -60,7 +63,7 @@ def resample_sum(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
         return agg
     bounds = agg.groupBy(*keys).agg(F.min(period_col).alias("_lo"), F.max(period_col).alias("_hi"))
     spine = bounds.select(*keys, F.explode(_spine(F.col("_lo"), F.col("_hi"), unit)).alias(period_col))
-    zero = F.lit(0).cast(agg.schema[out_col].dataType)
+    zero = F.lit(None if empty_as_null else 0).cast(agg.schema[out_col].dataType)
     return (spine.join(agg, [*keys, period_col], "left")
             .select(*keys, period_col, F.coalesce(F.col(out_col), zero).alias(out_col)))
 

@@ -56,7 +56,7 @@ def i1d(spark, sf):
 
 
 @register("i2_interpolate", NO_JUNE + ", " + KEYED_MONTHS.format(
-    k="Region", d="Date", v="Revenue", src="gap", fn="AVG", fill="agg.value") + """,
+    k="Region", d="Date", v="Revenue", src="gap", fn="SUM", fill="CAST(agg.value AS DOUBLE)") + """,
 idx AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY Region ORDER BY period) AS i FROM series),
 nb AS (SELECT *,
   last_value(value IGNORE NULLS) OVER (PARTITION BY Region ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
@@ -64,13 +64,13 @@ nb AS (SELECT *,
   first_value(value IGNORE NULLS) OVER (PARTITION BY Region ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
   first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY Region ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni
   FROM idx)
-SELECT Region, period, ROUND(CAST(CASE WHEN value IS NOT NULL THEN value
-  WHEN nv IS NOT NULL AND pv IS NOT NULL THEN pv + (nv - pv) * (i - pi) / (ni - pi) ELSE pv END AS DOUBLE), 4) AS value FROM nb""")
+SELECT Region, period, CAST(CASE WHEN value IS NOT NULL THEN value
+  WHEN nv IS NOT NULL AND pv IS NOT NULL THEN pv + (nv - pv) * (i - pi) / (ni - pi) ELSE pv END AS DOUBLE) AS value FROM nb""")
 def i2(spark, sf):
     s = V.sales_view(spark, sf, ["Region", "Date", "Revenue"]).where(F.month("Date") != 6)
-    m = resample_mean(s, "Date", "Revenue", "M", keys=["Region"])
-    out = interpolate(m, "value", "period", keys=["Region"])
-    return out.select("Region", "period", F.round("value", 4).alias("value"))
+    m = resample_sum(s, "Date", "Revenue", "M", keys=["Region"], empty_as_null=True)
+    m = m.withColumn("value", F.col("value").cast("double"))
+    return interpolate(m, "value", "period", keys=["Region"]).select("Region", "period", "value")
 
 
 @register("i3_arima")
