@@ -16,7 +16,7 @@ from ..functions.schema import categorical_columns, detect_semantic_column, nume
 from ..session import materialize
 from .kpi import group_totals, metric_col, monthly_trend
 from .quality import duplicate_count, missing_total
-from .stats import correlation_long, strongest_pair
+from .stats import correlation_pairs, strongest_pair
 
 # Insight and recommendation texts of the analysed application.
 T_LEADER = ("Product category <b>", "</b> contributes <b>", "%</b> of total revenue, making it the primary driver.")
@@ -129,7 +129,7 @@ def strong_correlation(df, columns=None):
     cols = list(columns) if columns is not None else numeric_columns(df)
     if len(cols) < 2:
         return _empty(df)
-    top = strongest_pair(correlation_long(df, cols, decimals=None)).where(F.abs("r") > 0.7)
+    top = strongest_pair(correlation_pairs(df, cols, decimals=None)).where(F.abs("r") > 0.7)
     return _rows(top, [(9, "strong_correlation", F.lit("info"), F.col("r"),
                         _cat(T_CORR[0], F.col("a"), T_CORR[1], F.col("b"), T_CORR[2], fixed(F.col("r"), 2, False), T_CORR[3]))])
 

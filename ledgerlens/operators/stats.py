@@ -30,31 +30,38 @@ def _pair_r(a: str, b: str):
 
 
 def correlation_long(df: DataFrame, columns=None, decimals: int | None = 2) -> DataFrame:
-    """(a, b, i, j, r) for every ordered pair including the diagonal.
+    """(a, b, i, j, r) for every ordered pair including the diagonal (see :func:`correlation_pairs`)."""
+    half = correlation_pairs(df, columns, decimals)
+    mirror = half.where(F.col("i") != F.col("j")).select(F.col("b").alias("a"), F.col("a").alias("b"),
+                                                         F.col("j").alias("i"), F.col("i").alias("j"), "r")
+    return half.unionByName(mirror)
 
-    All pairs i<j are computed in one aggregate (per batch) and mirrored.
+
+def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) -> DataFrame:
+    """(a, b, i, j, r) for the pairs i <= j: pairwise-complete Pearson r, NULL for a constant side.
+
+    Each row is exploded into one (pair, x, y) record per pair i <= j where
+    both values are present, then a single grouped aggregate computes the
+    pairwise-complete covariance and deviations. The generated code is the
+    same size for 3 or 300 columns; map-side partial aggregation leaves one
+    small record per pair and task before the shuffle.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    pairs = list(combinations(range(len(cols)), 2))
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "a string, b string, i int, j int, r double")
-    names = ["a", "b", "i", "j", "r"]
-    # the diagonal: 1 where the column varies, NULL for a constant or empty one
-    diag = [F.try_divide(F.stddev_pop(_num(c)), F.stddev_pop(_num(c))).alias(f"d{i}") for i, c in enumerate(cols)]
-    batches = [pairs[s:s + PAIR_BATCH] for s in range(0, len(pairs), PAIR_BATCH)] or [[]]
-    out = None
-    for bi, batch in enumerate(batches):
-        aggs = [_pair_r(cols[i], cols[j]).alias(f"p{k}") for k, (i, j) in enumerate(batch)]
-        one = df.agg(*(diag + aggs if bi == 0 else aggs))
-        rows = []
-        if bi == 0:
-            rows += [[F.lit(c), F.lit(c), F.lit(i), F.lit(i), F.col(f"d{i}")] for i, c in enumerate(cols)]
-        for k, (i, j) in enumerate(batch):
-            for (u, v) in ((i, j), (j, i)):
-                rows.append([F.lit(cols[u]), F.lit(cols[v]), F.lit(u), F.lit(v), F.col(f"p{k}")])
-        part = rows_of(one, rows, names)
-        out = part if out is None else out.unionByName(part)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    xs = [_num(c) for c in cols]
+    recs = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), xs[i].alias("x"), xs[j].alias("y"))
+                               for k, (i, j) in enumerate(pairs)])).alias("r")
+    long = df.select(recs).select("r.p", "r.x", "r.y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    agg = long.groupBy("p").agg(F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"),
+                                F.stddev_pop("y").alias("sy"))
+    r = F.when(F.col("sx") * F.col("sy") > 0, F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")))
+    ids = spark.createDataFrame([(k, cols[i], cols[j], i, j) for k, (i, j) in enumerate(pairs)],
+                                "p int, a string, b string, i int, j int")  # one row per column pair
+    out = F.broadcast(ids).join(agg, "p", "left").select(
+        "a", "b", "i", "j", F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(r).alias("r"))
     if decimals is not None:
         out = out.withColumn("r", F.round("r", decimals))
     return out

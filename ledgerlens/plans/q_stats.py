@@ -23,7 +23,7 @@ def e3(spark, sf):
 @register("e4_strongest_pair", SV + f", nv AS (SELECT {NUM_CAST} FROM sales_view), m AS (" + _corr_sql(SALES_NUM, "nv", 2) + """)
 SELECT a, b, r FROM m WHERE i < j AND r IS NOT NULL ORDER BY abs(r) DESC, i, j LIMIT 1""")
 def e4(spark, sf):
-    c = ST.correlation_long(V.sales_view(spark, sf, SALES_NUM), SALES_NUM, decimals=2)
+    c = ST.correlation_pairs(V.sales_view(spark, sf, SALES_NUM), SALES_NUM, decimals=2)
     return finalize(ST.strongest_pair(c))
 
 
