@@ -37,31 +37,84 @@ def correlation_long(df: DataFrame, columns=None, decimals: int | None = 2) -> D
     return half.unionByName(mirror)
 
 
+# Whole-stage code generation is switched off for aggregates with more than
+# 100 buffer fields (spark.sql.codegen.maxFields): sums are packed into
+# aggregates of at most this many fields.
+FIELDS_PER_AGG = 96
+
+
 def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) -> DataFrame:
     """(a, b, i, j, r) for the pairs i <= j: pairwise-complete Pearson r, NULL for a constant side.
 
-    Each row is exploded into one (pair, x, y) record per pair i <= j where
-    both values are present, then a single grouped aggregate computes the
-    pairwise-complete covariance and deviations. The generated code is the
-    same size for 3 or 300 columns; map-side partial aggregation leaves one
-    small record per pair and task before the shuffle.
+    A first aggregate reads each column's mean and missing count (one small
+    row, read by the driver because it shapes the plan). Values are centred on
+    those means so the moment sums stay well conditioned. Columns without
+    missing values share per-column sums and need one product sum per pair;
+    only pairs touching a column with gaps get their own masked sums. All
+    sums are packed into as few codegen'd global aggregates as the field
+    limit allows (one pass for a dozen complete columns).
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "a string, b string, i int, j int, r double")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    xs = [_num(c) for c in cols]
-    recs = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), xs[i].alias("x"), xs[j].alias("y"))
-                               for k, (i, j) in enumerate(pairs)])).alias("r")
-    long = df.select(recs).select("r.p", "r.x", "r.y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    agg = long.groupBy("p").agg(F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"),
-                                F.stddev_pop("y").alias("sy"))
-    r = F.when(F.col("sx") * F.col("sy") > 0, F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")))
-    ids = spark.createDataFrame([(k, cols[i], cols[j], i, j) for k, (i, j) in enumerate(pairs)],
-                                "p int, a string, b string, i int, j int")  # one row per column pair
-    out = F.broadcast(ids).join(agg, "p", "left").select(
-        "a", "b", "i", "j", F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(r).alias("r"))
+    x = [_num(c) for c in cols]
+    head = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
+                  *[F.count(v).alias(f"c{i}") for i, v in enumerate(x)]).first()
+    rows_n = head["rows"]
+    means = [head[f"m{i}"] if head[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+    complete = [head[f"c{i}"] == rows_n for i in range(len(cols))]
+    u = [x[i] - F.lit(float(means[i])) for i in range(len(cols))]
+    col_fields = {}
+    for i in range(len(cols)):
+        if complete[i]:
+            col_fields[f"s{i}"] = F.sum(u[i])
+            col_fields[f"q{i}"] = F.sum(u[i] * u[i])
+    # each pair: the aggregate fields it needs and how its six statistics read them
+    pair_specs = []
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            if complete[i] and complete[j]:
+                need = {f"s{i}": col_fields[f"s{i}"], f"q{i}": col_fields[f"q{i}"],
+                        f"s{j}": col_fields[f"s{j}"], f"q{j}": col_fields[f"q{j}"]}
+                if i != j:
+                    need[f"p{i}_{j}"] = F.sum(u[i] * u[j])
+                st = dict(n=None, sa=f"s{i}", sb=f"s{j}", saa=f"q{i}", sbb=f"q{j}", sab=f"q{i}" if i == j else f"p{i}_{j}")
+            else:
+                both = x[i].isNotNull() & x[j].isNotNull()
+                ua, ub = F.when(both, u[i]), F.when(both, u[j])
+                t = f"{i}_{j}"
+                need = {f"N{t}": F.count_if(both), f"A{t}": F.sum(ua), f"B{t}": F.sum(ub),
+                        f"AA{t}": F.sum(ua * ua), f"BB{t}": F.sum(ub * ub), f"AB{t}": F.sum(ua * ub)}
+                st = dict(n=f"N{t}", sa=f"A{t}", sb=f"B{t}", saa=f"AA{t}", sbb=f"BB{t}", sab=f"AB{t}")
+            pair_specs.append(((i, j), need, st))
+    # pack whole pairs into aggregates of at most FIELDS_PER_AGG fields; each is unpivoted on its own row
+    chunks, cur, cur_fields = [], [], {}
+    for spec in pair_specs:
+        merged = {**cur_fields, **spec[1]}
+        if cur and len(merged) > FIELDS_PER_AGG:
+            chunks.append((cur, cur_fields))
+            cur, merged = [], dict(spec[1])
+        cur.append(spec)
+        cur_fields = merged
+    if cur:
+        chunks.append((cur, cur_fields))
+    out = None
+    for specs, flds in chunks:
+        one = df.agg(*[e.alias(nm) for nm, e in flds.items()])
+
+        def get(st, k):
+            return F.col(st[k]).cast("double") if st[k] is not None else F.lit(float(rows_n))
+        rows = [[F.lit(cols[i]), F.lit(cols[j]), F.lit(i), F.lit(j)] + [get(st, k) for k in ("n", "sa", "sb", "saa", "sbb", "sab")]
+                for (i, j), _, st in specs]
+        part = rows_of(one, rows, ["a", "b", "i", "j", "n", "sa", "sb", "saa", "sbb", "sab"])
+        out = part if out is None else out.unionByName(part)
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    vx = n * F.col("saa") - sa * sa
+    vy = n * F.col("sbb") - sb * sb
+    r = F.when((vx > 0) & (vy > 0), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (n * F.col("sab") - sa * sb) / F.sqrt(vx * vy))))
+    r = F.when(F.col("i") == F.col("j"), F.when(vx > 0, F.lit(1.0))).otherwise(r)
+    out = out.select("a", "b", "i", "j", r.alias("r"))
     if decimals is not None:
         out = out.withColumn("r", F.round("r", decimals))
     return out
