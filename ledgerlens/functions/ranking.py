@@ -20,6 +20,10 @@ from ._cols import q
 
 DEFAULT_BUCKETS = 64
 SKETCH_ACCURACY = 10000
+# A group's distinct values up to this count are ordered inside one task by
+# Spark's exact ``percentile`` (a value -> count map of bounded size); larger
+# groups take the bucketed path, which never holds a group in one task.
+EXACT_IN_TASK_MAX = 1_000_000
 
 
 def bucket_of(bounds: Column, v: Column, n_bounds: int) -> Column:
@@ -75,24 +79,37 @@ def cumulative(df: DataFrame, part_cols, order_cols, weight_cols, buckets: int =
 def unpivot_numeric(df: DataFrame, columns, group_cols=(), drop_null: bool = True) -> DataFrame:
     """(group..., column, value double) for the given numeric columns; NaN counts as missing."""
     group_cols = list(group_cols)
-    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                      F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")).alias("value"))
-                             for c in columns])).alias("kv")
-    long = df.select(*[F.col(q(g)) for g in group_cols], kv).select(*group_cols, "kv.column", "kv.value")
+    # unpivot plans an Expand (code-generated), much cheaper than exploding an array of structs
+    tmp = [f"_v{i}" for i in range(len(columns))]
+    wide = df.select(*[F.col(q(g)) for g in group_cols],
+                     *[F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")).alias(t) for c, t in zip(columns, tmp)])
+    long = wide.unpivot(group_cols, tmp, "_k", "value")
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.substring("_k", 3, 10).cast("int") + 1)
+    long = long.select(*group_cols, names.alias("column"), "value")
     return long.where(F.col("value").isNotNull()) if drop_null else long
 
 
 def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value",
-                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   buckets: int = DEFAULT_BUCKETS, method: str = "auto") -> DataFrame:
     """Exact linear-interpolation quantiles per part of a long table.
 
     Returns (part..., n, q0, q1, ...) with one ``q<i>`` per entry of ``probs``.
+    Values are first collapsed to (value, count). ``method``: 'in_task'
+    (Spark's weighted exact percentile), 'distributed' (bucketed running
+    counts) or 'auto' (measure the largest group's distinct count first).
     """
     part_cols = list(part_cols)
     if not part_cols:
         return quantiles_long(long.withColumn("_all", F.lit(0)), ["_all"], probs, value_col,
-                              buckets).drop("_all")
+                              buckets, method).drop("_all")
     counts = long.groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("w"))
+    if method == "auto":
+        widest = counts.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
+        method = "in_task" if widest <= EXACT_IN_TASK_MAX else "distributed"
+    if method == "in_task":
+        agg = counts.groupBy(*part_cols).agg(F.sum("w").alias("n"),
+                                             F.percentile(F.col(value_col), [float(p) for p in probs], F.col("w")).alias("_q"))
+        return agg.select(*part_cols, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
     x = _bucketed(counts, part_cols, value_col, ["w"], buckets)
     # bucket totals -> offsets (at most `buckets` rows per part)
     btot = x.groupBy(*part_cols, "_b").agg(F.sum("w").alias("_bw"), F.max("total_w").alias("n"))
@@ -128,10 +145,11 @@ def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value",
     return picked.select(*part_cols, "n", *outs)
 
 
-def quantiles(df: DataFrame, columns, probs, group_cols=(), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def quantiles(df: DataFrame, columns, probs, group_cols=(), buckets: int = DEFAULT_BUCKETS,
+              method: str = "auto") -> DataFrame:
     """Exact quantiles of several numeric columns (optionally per group): (group..., column, n, q...)."""
     long = unpivot_numeric(df, columns, group_cols)
-    return quantiles_long(long, [*group_cols, "column"], probs, buckets=buckets)
+    return quantiles_long(long, [*group_cols, "column"], probs, buckets=buckets, method=method)
 
 
 def approx_quantiles(df: DataFrame, columns, probs, group_cols=(), accuracy: int = SKETCH_ACCURACY) -> DataFrame:

@@ -15,10 +15,12 @@ def test_exact_quantiles_with_a_hot_value(spark, seed):
     groups = rng.integers(0, 3, len(vals))
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in quantiles(df, ["v"], probs, ["g"], buckets=8).collect()}
-    for g in range(3):
-        exp = np.quantile(vals[groups == g], probs)
-        assert got[g] == pytest.approx(exp.tolist(), abs=1e-9)
+    for method in ("distributed", "in_task", "auto"):
+        got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))]
+               for r in quantiles(df, ["v"], probs, ["g"], buckets=8, method=method).collect()}
+        for g in range(3):
+            exp = np.quantile(vals[groups == g], probs)
+            assert got[g] == pytest.approx(exp.tolist(), abs=1e-9)
 
 
 def test_cumulative_matches_cumsum(spark):
