@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed application works on uploaded tables only (batch); it has no
+stream, watermark, session or late-data operator, so none is provided here.
+Every batch operator is a plain DataFrame function and can be applied to a
+micro-batch inside ``foreachBatch`` if a caller needs that.
+"""
