@@ -104,6 +104,10 @@ def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value",
                               buckets, method).drop("_all")
     counts = long.groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("w"))
     if method == "auto":
+        # the size check and the quantile pass both read the (value, count)
+        # table: write it once instead of computing the source twice
+        ensure_checkpoint_dir(long.sparkSession)
+        counts = counts.checkpoint(eager=True)
         widest = counts.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
         method = "in_task" if widest <= EXACT_IN_TASK_MAX else "distributed"
     if method == "in_task":

@@ -143,6 +143,9 @@ def insights(df, revenue=None, profit=None, category=None, region=None, date=Non
     region = region or detect_semantic_column(df, "region")
     date = date or detect_semantic_column(df, "date")
     customer = customer or detect_semantic_column(df, "customer")
+    if checkpoint:
+        # every rule reads the table again: write it once (lineage cut, shared folder)
+        df = materialize(df)
     parts = []
     if category and revenue:
         parts.append(category_leader(df, category, revenue))

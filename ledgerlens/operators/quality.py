@@ -129,8 +129,10 @@ def fill_missing(df: DataFrame, strategy: str = "mean") -> DataFrame:
     numeric mode of an all-missing column is 0; mean/median of one stays
     missing. Integer columns filled by mean or median become double.
     """
-    nums = numeric_columns(df)
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    # only columns that have gaps are filled: their list (one small row) shapes the plan
+    gaps = {r["column"] for r in missing_counts(df).where(F.col("missing") > 0).collect()}
+    nums = [c for c in numeric_columns(df) if c in gaps]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name in gaps]
     const = None
     if nums and strategy == "mean":
         const = df.agg(*[F.avg(F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double"))).alias(f"s{i}")
@@ -221,6 +223,8 @@ def clean(df: DataFrame, spec: CleanSpec, checkpoint: bool = True) -> DataFrame:
     is itself the product of multi-pass steps; with ``checkpoint`` the input is
     written once to the shared checkpoint folder so no step is recomputed.
     """
+    if checkpoint:  # every step below reads its input at least twice
+        df = materialize(df)
     out = drop_empty_columns(df) if spec.drop_empty else df
     if spec.missing_action == "drop":
         out = drop_missing_rows(out)
@@ -229,7 +233,7 @@ def clean(df: DataFrame, spec: CleanSpec, checkpoint: bool = True) -> DataFrame:
     if spec.drop_duplicates:
         out = drop_duplicates(out)
     if spec.winsorise:
-        if checkpoint:
+        if checkpoint and spec.missing_action != "none":
             out = materialize(out)
         out = winsorise(out, spec.winsorise)
     return materialize(out) if checkpoint else out
