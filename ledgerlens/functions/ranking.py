@@ -111,9 +111,11 @@ def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value",
         widest = counts.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
         method = "in_task" if widest <= EXACT_IN_TASK_MAX else "distributed"
     if method == "in_task":
-        agg = counts.groupBy(*part_cols).agg(F.sum("w").alias("n"),
-                                             F.percentile(F.col(value_col), [float(p) for p in probs], F.col("w")).alias("_q"))
-        return agg.select(*part_cols, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+        # the group's distinct values (checked above) are ordered inside one window partition
+        w = Window.partitionBy(*part_cols).orderBy(value_col)
+        ranked = (counts.withColumn("_cin", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                  .withColumn("n", F.sum("w").over(Window.partitionBy(*part_cols))))
+        return _pick(ranked, part_cols, probs, value_col, F.lit(0), F.col("_cin"))
     x = _bucketed(counts, part_cols, value_col, ["w"], buckets)
     # bucket totals -> offsets (at most `buckets` rows per part)
     btot = x.groupBy(*part_cols, "_b").agg(F.sum("w").alias("_bw"), F.max("total_w").alias("n"))
@@ -149,6 +151,27 @@ def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value",
     return picked.select(*part_cols, "n", *outs)
 
 
+def _pick(ranked: DataFrame, part_cols, probs, value_col: str, offset, running) -> DataFrame:
+    """Values at the two ranks around each (n - 1) * p, combined as lo + (hi - lo) * d."""
+    n = F.col("n")
+    hi_incl = offset + running
+    lo_excl = hi_incl - F.col("w")
+    aggs = [F.max(n).alias("n")]
+    for i, p in enumerate(probs):
+        pos = (n - 1) * F.lit(float(p))
+        r_lo = F.floor(pos)
+        r_hi = F.least(r_lo + 1, n - 1)
+        aggs += [F.max(F.when((lo_excl <= r_lo) & (r_lo < hi_incl), F.col(value_col))).alias(f"_lo{i}"),
+                 F.max(F.when((lo_excl <= r_hi) & (r_hi < hi_incl), F.col(value_col))).alias(f"_hi{i}"),
+                 F.max(pos - r_lo).alias(f"_f{i}")]
+    picked = ranked.groupBy(*part_cols).agg(*aggs)
+    outs = []
+    for i, _ in enumerate(probs):
+        lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        outs.append(F.when(f == 0, lo).otherwise(lo + (hi - lo) * f).alias(f"q{i}"))
+    return picked.select(*part_cols, "n", *outs)
+
+
 def quantiles(df: DataFrame, columns, probs, group_cols=(), buckets: int = DEFAULT_BUCKETS,
               method: str = "auto") -> DataFrame:
     """Exact quantiles of several numeric columns (optionally per group): (group..., column, n, q...)."""

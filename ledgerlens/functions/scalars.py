@@ -154,3 +154,14 @@ def is_phone(c) -> Column:
     """C14: 7-15 digits after removing every non-digit."""
     n = F.length(F.regexp_replace(F.coalesce(as_col(c), F.lit("")), r"\D", ""))
     return n.between(PHONE_MIN_DIGITS, PHONE_MAX_DIGITS)
+
+
+def round_scaled(c, decimals: int) -> Column:
+    """Round to ``decimals`` places as ``round(x * 10**k) / 10**k`` (ties away from zero on the product).
+
+    This is how SQL engines commonly round doubles; Spark's ``round`` instead
+    rounds the shortest decimal form of ``x``, which differs on exact ties such
+    as -48922.0607625.
+    """
+    scale = float(10 ** decimals)
+    return F.round(as_col(c) * scale, 0) / scale

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions._cols import q
 from ..functions.aggs import one_row, rows_of
-from ..functions.scalars import fixed, safe_div, strip_html
+from ..functions.scalars import fixed, round_scaled, safe_div, strip_html
 from ..functions.schema import categorical_columns, detect_semantic_column, numeric_columns
 from ..session import materialize
 from .kpi import group_totals, metric_col, monthly_trend
@@ -74,7 +74,7 @@ def region_spread(df, region, revenue):
     worst = one_row(t.orderBy(F.col("total").asc(), F.col("k").desc()).limit(1))
     one = t.agg(F.count(F.lit(1)).alias("n")).select(
         "n", best["k"].alias("best"), worst["k"].alias("worst"),
-        F.round(best["total"].cast("double"), 2).alias("best_total")).where(F.col("n") >= 2)
+        round_scaled(best["total"].cast("double"), 2).alias("best_total")).where(F.col("n") >= 2)
     return _rows(one, [(3, "region_spread", F.lit("info"), F.col("best_total"),
                         _cat(T_REGIONS[0], F.col("best"), T_REGIONS[1], F.col("worst"), T_REGIONS[2]))])
 

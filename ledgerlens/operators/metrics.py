@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggs import one_row, rows_of
 from ..functions.ranking import cumulative
+from ..functions.scalars import round_scaled
 
 
 def _pairs(df, actual, predicted):
@@ -74,7 +75,7 @@ def classification_report(df: DataFrame, actual: str, predicted: str, decimals:
                             [F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("s"), F.lit(3)]],
                       ["row", "precision", "recall", "f1", "support", "_o"])
     out = labels.unionByName(summary)
-    return out.select("row", *[F.round(c, decimals).alias(c) for c in ("precision", "recall", "f1")],
+    return out.select("row", *[round_scaled(c, decimals).alias(c) for c in ("precision", "recall", "f1")],
                       F.col("support").cast("bigint").alias("support"))
 
 

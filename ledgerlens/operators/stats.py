@@ -10,6 +10,7 @@ from ..functions._cols import q
 from ..functions.aggs import one_row, rows_of
 from ..functions.ranking import quantiles, unpivot_numeric
 from ..functions.schema import numeric_columns
+from ..functions.scalars import round_scaled
 
 # Above this many columns the pair expressions are split into several aggregates
 # so that generated code stays small.
@@ -116,7 +117,7 @@ def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) ->
     r = F.when(F.col("i") == F.col("j"), F.when(vx > 0, F.lit(1.0))).otherwise(r)
     out = out.select("a", "b", "i", "j", r.alias("r"))
     if decimals is not None:
-        out = out.withColumn("r", F.round("r", decimals))
+        out = out.withColumn("r", round_scaled("r", decimals))
     return out
 
 

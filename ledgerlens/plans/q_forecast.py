@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_scaled
 from ..operators import forecast as FC
 from ..operators.periods import interpolate, resample_mean, resample_sum
 from ..sources import views as V
@@ -102,7 +103,7 @@ def _seasonal(spark, sf):
 SELECT Region, period, ROUND(m, 2) AS forecast, ROUND(m - band, 2) AS lower, ROUND(m + band, 2) AS upper FROM fc""")
 def i4(spark, sf):
     f = _seasonal(spark, sf)[1]
-    return f.select("Region", "period", *[F.round(c, 2).alias(c) for c in ("forecast", "lower", "upper")])
+    return f.select("Region", "period", *[round_scaled(c, 2).alias(c) for c in ("forecast", "lower", "upper")])
 
 
 @register("i5_min_periods", """WITH ev AS (SELECT user_id, CAST(CAST(ts AS DATE) + CAST((7 - isodow(CAST(ts AS DATE))) % 7 AS INTEGER) AS DATE) AS wk
@@ -125,8 +126,8 @@ SELECT Region, ROUND(last_actual, 2) AS last_actual, ROUND(last_forecast, 2) AS
 def i6(spark, sf):
     series, f = _seasonal(spark, sf)
     h = FC.horizon_change(series, f, ["Region"])
-    return h.select("Region", *[F.round(c, 2).alias(c) for c in ("last_actual", "last_forecast", "change")],
-                    F.round("change_pct", 4).alias("change_pct"), "tone")
+    return h.select("Region", *[round_scaled(c, 2).alias(c) for c in ("last_actual", "last_forecast", "change")],
+                    round_scaled("change_pct", 4).alias("change_pct"), "tone")
 
 
 @register("i7_history_forecast", SEASONAL + """
@@ -136,5 +137,5 @@ def i7(spark, sf):
     series, f = _seasonal(spark, sf)
     t = FC.history_and_forecast(series, f, ["Region"])
     fc = F.col("kind") == "forecast"
-    return t.select("Region", "period", "kind", F.when(fc, F.round("value", 2)).otherwise(F.col("value")).alias("value"),
-                    F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"))
+    return t.select("Region", "period", "kind", F.when(fc, round_scaled("value", 2)).otherwise(F.col("value")).alias("value"),
+                    round_scaled("lower", 2).alias("lower"), round_scaled("upper", 2).alias("upper"))

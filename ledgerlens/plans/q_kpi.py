@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_scaled
 from ..operators import ask as A
 from ..operators import kpi as K
 from ..sources import views as V
@@ -133,7 +134,7 @@ SELECT h.*, ROUND(f.lower, 6) AS lower, ROUND(f.upper, 6) AS upper, (SELECT COUN
 FROM (SELECT * FROM hits ORDER BY """ + DIRTY_ORDER + """ LIMIT 20) h, f""")
 def g4(spark, sf):
     a = finalize(A.anomalies(V.dirty_view(spark, sf), "Revenue", 20))
-    return a.withColumn("lower", F.round("lower", 6)).withColumn("upper", F.round("upper", 6))
+    return a.withColumn("lower", round_scaled("lower", 6)).withColumn("upper", round_scaled("upper", 6))
 
 
 SALES_NUM = ["OrderID", "LineNo", "PartID", "SuppID", "UnitPrice", "Quantity", "Discount", "Revenue", "Profit", "CustomerID"]

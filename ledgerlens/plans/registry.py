@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._cols import q
+from ..functions.scalars import round_scaled
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,7 +33,7 @@ def finalize(df: DataFrame, round_doubles: int | None = None) -> DataFrame:
         if isinstance(f.dataType, (T.DecimalType, T.FloatType, T.DoubleType)):
             c = c.cast("double")
             if round_doubles is not None:
-                c = F.round(c, round_doubles)
+                c = round_scaled(c, round_doubles)
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))
