@@ -116,6 +116,11 @@ def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value",
         ranked = (counts.withColumn("_cin", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                   .withColumn("n", F.sum("w").over(Window.partitionBy(*part_cols))))
         return _pick(ranked, part_cols, probs, value_col, F.lit(0), F.col("_cin"))
+    return _distributed_from_counts(counts, part_cols, probs, value_col, buckets)
+
+
+def _distributed_from_counts(counts: DataFrame, part_cols, probs, value_col: str, buckets: int) -> DataFrame:
+    """Bucketed exact quantiles from a (part..., value, w) table; no group is ordered in one task."""
     x = _bucketed(counts, part_cols, value_col, ["w"], buckets)
     # bucket totals -> offsets (at most `buckets` rows per part)
     btot = x.groupBy(*part_cols, "_b").agg(F.sum("w").alias("_bw"), F.max("total_w").alias("n"))
@@ -179,6 +184,31 @@ def quantiles(df: DataFrame, columns, probs, group_cols=(), buckets: int = DEFAU
     return quantiles_long(long, [*group_cols, "column"], probs, buckets=buckets, method=method)
 
 
+def value_weights(df: DataFrame, columns, group_cols=()) -> DataFrame:
+    """(group..., column, value, w): every numeric value with its count, written once.
+
+    Quantiles and a later pass over the same values (outlier counts) both read
+    this table, so the source is scanned and shuffled once.
+    """
+    long = unpivot_numeric(df, columns, group_cols)
+    counts = long.groupBy(*group_cols, "column", "value").agg(F.count(F.lit(1)).alias("w"))
+    ensure_checkpoint_dir(df.sparkSession)
+    return counts.checkpoint(eager=True)
+
+
+def quantiles_from_weights(counts: DataFrame, part_cols, probs, value_col: str = "value",
+                           buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact quantiles from a written (value, w) table (see :func:`value_weights`)."""
+    part_cols = list(part_cols)
+    widest = counts.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
+    if widest <= EXACT_IN_TASK_MAX:
+        w = Window.partitionBy(*part_cols).orderBy(value_col)
+        ranked = (counts.withColumn("_cin", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                  .withColumn("n", F.sum("w").over(Window.partitionBy(*part_cols))))
+        return _pick(ranked, part_cols, probs, value_col, F.lit(0), F.col("_cin"))
+    return _distributed_from_counts(counts, part_cols, probs, value_col, buckets)
+
+
 def approx_quantiles(df: DataFrame, columns, probs, group_cols=(), accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """Same shape as :func:`quantiles` from a mergeable sketch (one pass, bounded memory)."""
     long = unpivot_numeric(df, columns, group_cols)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions._cols import q
 from ..functions.aggs import is_missing, modes, one_row, rows_of
-from ..functions.ranking import quantiles, unpivot_numeric
+from ..functions.ranking import quantiles, quantiles_from_weights, unpivot_numeric, value_weights
 from ..functions.scalars import clip
 from ..session import materialize
 from ..functions.schema import numeric_columns
@@ -68,35 +68,40 @@ def empty_columns(df: DataFrame) -> DataFrame:
     return missing_counts(df).where(F.col("missing") == F.col("rows")).select("column")
 
 
+def _fences_from(qs: DataFrame, keep_zero_iqr: bool) -> DataFrame:
+    out = qs.select("column", F.col("q0").alias("q1"), F.col("q1").alias("q3"))
+    out = out.withColumn("iqr", F.col("q3") - F.col("q1"))
+    out = out.withColumn("lower", F.col("q1") - IQR_K * F.col("iqr")).withColumn("upper", F.col("q3") + IQR_K * F.col("iqr"))
+    return out if keep_zero_iqr else out.where(F.col("iqr") != 0)
+
+
 def iqr_fences(df: DataFrame, columns=None, keep_zero_iqr: bool = False) -> DataFrame:
     """(column, q1, q3, iqr, lower, upper) per numeric column.
 
     All-missing columns have no row; columns with iqr = 0 are skipped unless
-    ``keep_zero_iqr``. Quartiles are exact (distributed, see ranking.py).
+    ``keep_zero_iqr``. Quartiles are exact (see ranking.py).
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, q1 double, q3 double, iqr double, lower double, upper double")
-    qs = quantiles(df, cols, [0.25, 0.75])
-    out = qs.select("column", F.col("q0").alias("q1"), F.col("q1").alias("q3"))
-    out = out.withColumn("iqr", F.col("q3") - F.col("q1"))
-    out = out.withColumn("lower", F.col("q1") - IQR_K * F.col("iqr")).withColumn("upper", F.col("q3") + IQR_K * F.col("iqr"))
-    return out if keep_zero_iqr else out.where(F.col("iqr") != 0)
+    return _fences_from(quantiles(df, cols, [0.25, 0.75]), keep_zero_iqr)
 
 
 def outlier_counts(df: DataFrame, columns=None, fences: DataFrame | None = None) -> DataFrame:
     """(column, outliers) for columns with at least one value outside its fence.
 
-    The fence table has one row per numeric column (bounded by the schema), so
-    it is broadcast into the second pass over the unpivoted values.
+    Fences and counts come from one written (value, count) table: the second
+    pass reads pre-aggregated values, not the source. The fence table has one
+    row per numeric column (bounded by the schema) and is broadcast.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    fences = fences if fences is not None else iqr_fences(df, cols)
-    long = unpivot_numeric(df, cols)
-    hit = long.join(F.broadcast(fences.select("column", "lower", "upper")), "column")
-    out = hit.groupBy("column").agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
-                                    .alias("outliers"))
-    return out.where(F.col("outliers") > 0)
+    weights = value_weights(df, cols)
+    if fences is None:
+        fences = _fences_from(quantiles_from_weights(weights, ["column"], [0.25, 0.75]), False)
+    hit = weights.join(F.broadcast(fences.select("column", "lower", "upper")), "column")
+    out = hit.groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")),
+                                                 F.col("w")).otherwise(0)).alias("outliers"))
+    return out.where(F.col("outliers") > 0).select("column", F.col("outliers").cast("bigint").alias("outliers"))
 
 
 def outliers_total(counts: DataFrame) -> DataFrame:
@@ -260,8 +265,8 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def detect_issues(df: DataFrame) -> dict:
     """The scan as a dict of small DataFrames (each a lazy plan)."""
+    oc = outlier_counts(df)
     fences = iqr_fences(df)
-    oc = outlier_counts(df, fences=fences)
     return {"missing": missing_counts(df), "missing_total": missing_total(df),
             "duplicates": duplicate_count(df), "empty_columns": empty_columns(df),
             "fences": fences, "outliers": oc, "outliers_total": outliers_total(oc)}

@@ -63,3 +63,15 @@ def test_confusion_matrix_sums_to_rows(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "y string, p string")
     cm = M.confusion_matrix(df, "y", "p")
     assert cm.count() == 9 and cm.agg(F.sum("count")).first()[0] == 4
+
+
+def test_weights_path_above_the_in_task_bound(spark, monkeypatch):
+    from ledgerlens.functions import ranking as R
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(0, 5, 3000).round(2), np.full(1500, 1.0)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    small = R.quantiles_from_weights(R.value_weights(df, ["v"]), ["column"], [0.25, 0.75]).first()
+    monkeypatch.setattr(R, "EXACT_IN_TASK_MAX", 0)   # force the bucketed path
+    big = R.quantiles_from_weights(R.value_weights(df, ["v"]), ["column"], [0.25, 0.75]).first()
+    exp = np.quantile(vals, [0.25, 0.75])
+    assert [small["q0"], small["q1"]] == pytest.approx(exp.tolist()) == [big["q0"], big["q1"]]
