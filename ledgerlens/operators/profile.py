@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._cols import q
-from ..functions.aggs import is_missing, modes, one_row
+from ..functions.aggs import is_missing, modes, one_row, per_column_rows
 from ..functions.ranking import quantiles
 from ..functions.scalars import human_readable_size
 from ..functions.schema import (CATEGORICAL_MAX_UNIQUE, datetime_columns, numeric_columns,
@@ -95,14 +95,14 @@ def context_summary(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, columns=None) -> DataFrame:
     """Count, mean, std (sample), min, 25/50/75 %, max; one row per numeric column."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(cols):
+    def aggs(i, c):
         x = F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
-                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    one = df.agg(*aggs)
-    moments = _stack(one, cols, ["_n{i}", "_m{i}", "_s{i}", "_lo{i}", "_hi{i}"],
-                     ["count", "mean", "std", "min", "max"])
+        return [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
+                F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
+    # count 1 + avg 2 + stddev 3 + min 1 + max 1 buffer fields per column
+    moments = per_column_rows(df, cols, aggs, 8,
+                              lambda i, c: [F.lit(c)] + [F.col(f"{p}{i}") for p in ("_n", "_m", "_s", "_lo", "_hi")],
+                              ["column", "count", "mean", "std", "min", "max"])
     qs = quantiles(df, cols, [0.25, 0.5, 0.75]).select("column", F.col("q0").alias("q25"),
                                                       F.col("q1").alias("q50"), F.col("q2").alias("q75"))
     return (moments.join(qs, "column", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._cols import q
-from ..functions.aggs import is_missing, modes, one_row, rows_of
+from ..functions.aggs import is_missing, modes, one_row, per_column_rows, rows_of
 from ..functions.ranking import quantiles, quantiles_from_weights, unpivot_numeric, value_weights
 from ..functions.scalars import clip
 from ..session import materialize
@@ -25,11 +25,11 @@ def _stack(one: DataFrame, names, value_cols, out_cols) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """(column, missing) for every column, in one aggregate."""
-    cols = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count_if(is_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(cols)])
-    return _stack(one, cols, ["_m{i}", "_rows"], ["missing", "rows"]).select(
-        "column", F.col("missing").cast("bigint").alias("missing"), F.col("rows").cast("bigint").alias("rows"))
+    out = per_column_rows(
+        df, df.columns,
+        lambda i, c: [F.count(F.lit(1)).alias(f"_r{i}"), F.count_if(is_missing(df, c)).alias(f"_m{i}")], 2,
+        lambda i, c: [F.lit(c), F.col(f"_m{i}"), F.col(f"_r{i}")], ["column", "missing", "rows"])
+    return out.select("column", F.col("missing").cast("bigint").alias("missing"), F.col("rows").cast("bigint").alias("rows"))
 
 
 def missing_table(df: DataFrame) -> DataFrame:

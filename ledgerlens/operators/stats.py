@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._cols import q
-from ..functions.aggs import one_row, rows_of
+from ..functions.aggs import one_row, per_column_rows, rows_of
 from ..functions.ranking import quantiles, unpivot_numeric
 from ..functions.schema import numeric_columns
 from ..functions.scalars import round_scaled
@@ -164,18 +164,17 @@ def histogram(df: DataFrame, column: str, bins: int = 40, group: str | None = No
 def skewness(df: DataFrame, columns=None) -> DataFrame:
     """Bias-adjusted sample skewness (G1) and a label; n < 3 -> NULL, constant -> 0."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(cols):
+    def aggs(i, c):
         x = _num(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.skewness(x).alias(f"g{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    one = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(cols):
+        return [F.count(x).alias(f"n{i}"), F.skewness(x).alias(f"g{i}"), F.stddev_pop(x).alias(f"s{i}")]
+
+    def row(i, c):
         n, g, s = F.col(f"n{i}").cast("double"), F.col(f"g{i}"), F.col(f"s{i}")
         adj = (F.when(n < 3, F.lit(None).cast("double")).when(s == 0, F.lit(0.0))
                .otherwise(g * F.sqrt(n * (n - 1)) / (n - 2)))
-        rows.append([F.lit(c), adj])
-    out = rows_of(one, rows, ["column", "skew"])
+        return [F.lit(c), adj]
+    # count 1 + skewness 4 + stddev 3 buffer fields per column
+    out = per_column_rows(df, cols, aggs, 8, row, ["column", "skew"])
     label = F.when(F.abs("skew") < 0.5, "approximately symmetric").when(F.col("skew").isNotNull(), "skewed")
     return out.withColumn("label", label)
 

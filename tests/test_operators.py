@@ -83,3 +83,18 @@ def test_insights_fallback_and_recommendations(spark, sf):
     assert [r["rule"] for r in ins.collect()] == ["fallback"]
     recs = [r["recommendation"] for r in I.recommendations(ins).orderBy("position").collect()]
     assert recs == [I.REC_NONE, I.REC_REVIEW]
+
+
+def test_wide_table_aggregates_are_chunked(spark):
+    from ledgerlens.operators.profile import describe_numeric
+    rng = np.random.default_rng(7)
+    data = rng.normal(10, 3, (200, 30)).round(3)
+    df = spark.createDataFrame([tuple(float(v) for v in row) for row in data], [f"c{i}" for i in range(30)])
+    d = {r["column"]: r for r in describe_numeric(df).collect()}
+    assert len(d) == 30
+    for i in (0, 17, 29):
+        col = data[:, i]
+        assert d[f"c{i}"]["mean"] == pytest.approx(col.mean()) and d[f"c{i}"]["std"] == pytest.approx(col.std(ddof=1))
+        assert d[f"c{i}"]["q75"] == pytest.approx(np.quantile(col, 0.75))
+    assert Q.missing_counts(df).count() == 30
+    assert ST.skewness(df).count() == 30
