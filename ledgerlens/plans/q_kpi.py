@@ -217,3 +217,22 @@ def g9(spark, sf):
     qv = V.question_view(spark, sf)
     schema_df = _sales(spark, sf)
     return A.tag_questions(qv, "question", schema_df, cat_cols=A.categorical_columns(schema_df), keep=["conv_id", "turn"])
+
+
+for _pos, _name in ((1, "f1_total_revenue"), (2, "f2_total_profit"), (3, "f3_profit_margin"),
+                    (4, "f4_total_units"), (5, "f5_customers")):
+    def _kpi_row(pos):
+        def fn(spark, sf):
+            return f15(spark, sf).where(F.col("position") == pos)
+        return fn
+    register(_name, "SELECT * FROM (" + KPI_SQL + f") WHERE position = {_pos}")(_kpi_row(_pos))
+
+
+@register("g10_match_column", X.with_views(X.QUESTION) + "SELECT conv_id, turn, "
+          + _match_sql("lower(trim(question))", CAT_COLS) + " AS category_match, "
+          + _match_sql("lower(trim(question))", SALES_NUM) + " AS metric_match FROM question_view")
+def g10(spark, sf):
+    qv = V.question_view(spark, sf)
+    t = F.lower(F.trim("question"))
+    return qv.select("conv_id", "turn", A.match_column_expr(t, CAT_COLS).alias("category_match"),
+                     A.match_column_expr(t, SALES_NUM).alias("metric_match"))

@@ -46,3 +46,21 @@ def test_report_tables_written(spark, sf, tmp_path):
     paths = write_report(t, str(tmp_path / "report"))
     assert set(paths) == {"data_sample", "statistics", "insights", "schema"}
     assert spark.read.parquet(paths["data_sample"]).count() == 1000
+
+
+def test_a12_model_roundtrip(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.sql import functions as F
+    from ledgerlens.operators import ml as ML
+    df = spark.range(200).select(F.col("id").cast("double").alias("x"),
+                                 F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"),
+                                 (F.col("id") * 2.0 + 1).alias("label"))
+    stages, _, prep = ML.preprocessor(df, ["x", "g"])
+    model = Pipeline(stages=stages + [ML.candidates("regression")["Linear Regression"]]).fit(prep)
+    path = str(tmp_path / "best")
+    ML.save_model(model, path)
+    ML.save_model(model, path)  # overwrites
+    again = ML.load_model(path)
+    a = [r[0] for r in model.transform(prep).orderBy("x").select("prediction").collect()]
+    b = [r[0] for r in again.transform(prep).orderBy("x").select("prediction").collect()]
+    assert a == b
