@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions._cols import q
 from ..functions.aggs import one_row
-from ..functions.ranking import quantiles, unpivot_numeric
+from ..functions.ranking import quantiles
 from ..functions.scalars import contains_any, first_int
 from ..functions.schema import (categorical_columns, detect_semantic_column, is_datetime_type,
                                 numeric_columns)
-from .kpi import group_totals, metric_col, monthly_trend, top_categories
+from .kpi import metric_col, monthly_trend, top_categories
 from .stats import correlation_long
 
 # Intent keyword lists, tried in this order.

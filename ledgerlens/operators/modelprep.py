@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions._cols import q
 from ..functions.ranking import cumulative

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions._cols import q
 from ..functions.aggs import is_missing, modes, one_row, per_column_rows, rows_of
-from ..functions.ranking import quantiles, quantiles_from_weights, unpivot_numeric, value_weights
+from ..functions.ranking import quantiles, quantiles_from_weights, value_weights
 from ..functions.scalars import clip
 from ..session import materialize
 from ..functions.schema import numeric_columns

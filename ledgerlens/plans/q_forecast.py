@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round_scaled
 from ..operators import forecast as FC
-from ..operators.periods import interpolate, resample_mean, resample_sum
+from ..operators.periods import interpolate, resample_sum
 from ..sources import views as V
 from ..sources.tables import table
 from . import fixtures_sql as X

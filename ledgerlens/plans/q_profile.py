@@ -1,8 +1,6 @@
 """Registered queries: schema families and profile."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.schema import categorical_table
 from ..operators import profile as P
 from ..sources import views as V

@@ -1,12 +1,9 @@
 """Registered queries: data-quality scan and repair (D1-D18) on the dirty view."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import quality as Q
 from ..sources import views as V
 from ..sources.tables import table
-from . import fixtures_sql as X
 from .q_profile import DIRTY_COLS, DIRTY_NUM, DIRTY_TEXT, DV, _union
 from .registry import finalize, register
 

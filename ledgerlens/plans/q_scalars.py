@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.ask import INTENTS
-from ..operators.kpi import group_totals
 from ..sources import views as V
 from ..sources.tables import table
 from . import fixtures_sql as X

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import tables as TB
-from ..sources import views as V
 from .registry import finalize, register
 
 

@@ -1,8 +1,6 @@
 """Registered queries: exploratory statistics."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import stats as ST
 from ..sources import views as V
 from . import fixtures_sql as X
