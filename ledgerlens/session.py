@@ -1,10 +1,10 @@
 """Session helpers: a tuned local/cluster session and the shared checkpoint folder."""
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator relies on: runtime re-planning (AQE) coalesces the
 # small shuffles of aggregated tables and splits skewed join partitions;
@@ -17,6 +17,7 @@ _DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -24,15 +25,13 @@ def get_spark(master: str | None = None, app: str = "ledgerlens",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the defaults above.
 
-    On a cluster ``master`` stays None and the launcher decides; locally it
-    falls back to ``local[*]``.
+    The launcher decides the master and the memory; a master is set only when
+    the caller passes one, and any other setting only through ``extra``.
     """
     builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
     conf = dict(_DEFAULT_CONF)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
-        # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = os.environ.get("LEDGERLENS_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -40,18 +39,28 @@ def get_spark(master: str | None = None, app: str = "ledgerlens",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.checkpoint.dir", None) or _is_local(spark):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """One JVM on one machine (``local``, ``local[n]``), where any folder is shared."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (tests, local
-    runs) a private folder is created and registered.
+    A cluster names a shared folder there. Only a local session without the
+    setting (tests, trials) gets a private folder; on a cluster a missing
+    setting is an error, because executors could not read each other's files.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -60,8 +69,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}"
+    """A fresh path under the shared checkpoint folder; two calls never share one."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a checkpoint, and later passes keep column pruning
+    and filter pushdown.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df):
