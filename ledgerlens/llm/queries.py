@@ -2,11 +2,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing
+from . import chat, exact_dedup, langid, license_scan, packing, piece_dropout, topk, toxicity
 from .common import table
 
 
+def op1_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids_hash of the ids, and whether they decode to the text."""
+    coded = piece_dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id"))
+    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return piece_dropout.decode(coded).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+                                              same.alias("lossless"))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -15,14 +28,31 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_piece_dropout": op1_piece_dropout,
+    "op3_top_k": op3_top_k,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
+    "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 OP4_SQL = r"""
@@ -34,6 +64,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 ORACLES = {
+    "op3_top_k": topk.ORACLE_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_chat_format": chat.ORACLE_SQL,
 }
