@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, license_scan, packing, piece_dropout, topk, toxicity
+from . import chat, exact_dedup, jaccard_join, langid, license_scan, lm_score, packing, piece_dropout, topk, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               same.alias("lossless"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -44,8 +48,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_piece_dropout": op1_piece_dropout,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_top_k": op3_top_k,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
@@ -53,6 +62,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 
 OP4_SQL = r"""
@@ -64,6 +74,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 ORACLES = {
+    "op2_jaccard_join": jaccard_join.ORACLE_SQL,
     "op3_top_k": topk.ORACLE_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_chat_format": chat.ORACLE_SQL,
