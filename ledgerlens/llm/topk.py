@@ -23,6 +23,7 @@ BLOCK = 64
 PART_ROWS = 4096
 QUERY_ROWS = 256
 EXACT_FLOAT = 2.0 ** 53
+LOW, HIGH = -(2 ** 63), 2 ** 63 - 1
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -64,7 +65,7 @@ class Part:
                 got = self.m[s:e] @ q
             else:  # whole numbers beyond 2^53: Python's integers
                 whole = [int(x) for x in q]
-                got = np.array([sum(int(a) * c for a, c in zip(row, whole)) for row in self.m[s:e]], dtype=object)
+                got = np.array([max(LOW, min(HIGH, sum(int(a) * c for a, c in zip(row, whole)))) for row in self.m[s:e]], dtype=object)
             fresh = self.ids[s:e] != qid
             at = fresh & (got >= kth)
             if not at.any():
@@ -137,8 +138,8 @@ def top_k(df: DataFrame, queries: DataFrame | None = None, k: int = 5, id_col: s
     row is a candidate; ties go to the smaller vec_id; fewer than k candidates give
     fewer rows. A row with a null id, a null vector or a null or non-finite
     component takes no part; rows repeated whole count once; a query's own id
-    is never its own candidate; vectors of different length do not meet; an
-    empty table gives no rows and other columns are ignored.
+    is never its own candidate; vectors of different length do not meet; a score
+    beyond a long is the nearest long; an empty table gives no rows and other columns are ignored.
     """
     docs = stored(integer_vectors(df, id_col, vec_col), "topk-vectors")
     asked = docs.where("vec_id % 50 = 0") if queries is None else integer_vectors(queries, id_col, vec_col)

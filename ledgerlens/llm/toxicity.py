@@ -27,7 +27,7 @@ from . import gru
 from .common import LOWER, append_columns, id_crc
 
 # Bounds of the training sample: documents per label, characters of a document.
-DOCS_PER_LABEL = 2500
+DOCS_PER_LABEL = 1500
 TRAIN_CHARS = 12_000
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
