@@ -1,79 +1,61 @@
-"""Distributed running sums and exact quantiles.
+"""Distributed running sums and exact quantiles, one algorithm for every size.
 
 A running sum over a global order (``Window.orderBy`` without a partition)
-would move every row into one task. Instead rows are cut into ordered buckets
-whose boundaries come from an approximate quantile sketch; each bucket is
-summed, bucket offsets are a running sum over at most ``buckets`` rows per
-part, and the exact running sum inside a bucket is a window partitioned by
-(part, bucket). Bucket boundaries only balance work; results are exact.
-
-Values are first collapsed to (value, weight) pairs, so a value that holds a
-third of all rows becomes one row before anything is ordered.
+would move every row into one task. Instead rows are range-partitioned by (part,
+order), each partition is summed, partition offsets are a running sum over
+one row per partition and part, and the exact sum inside a partition is a window
+of that partition only. The partition count is the session's shuffle setting, so
+it grows with the data as that setting does.
+
+Quantiles narrow first: a mergeable sketch brackets every requested rank, then one
+pass counts what lies between the brackets and keeps (value, count) only inside
+them: at most four sketch errors of the rows per rank, whatever their number.
+Only that remnant is sorted, part by part. Two scans, no eager job.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from ._cols import q
 
-DEFAULT_BUCKETS = 64
+# Relative accuracy 1 / SKETCH_ACCURACY: a sketch's rank error is at most that share of the rows.
 SKETCH_ACCURACY = 10000
-# A group's distinct values up to this count are ordered inside one task by
-# Spark's exact ``percentile`` (a value -> count map of bounded size); larger
-# groups take the bucketed path, which never holds a group in one task.
-EXACT_IN_TASK_MAX = 1_000_000
-
-
-def bucket_of(bounds: Column, v: Column, n_bounds: int) -> Column:
-    """Number of sorted ``bounds`` strictly below ``v``, as a codegen'd binary search."""
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(bounds[mid] < v, build(mid + 1, hi)).otherwise(build(lo, mid))
-    return build(0, n_bounds)
-
-
-def _bucketed(df: DataFrame, part_cols, key: str, weight_cols, buckets: int) -> DataFrame:
-    """Attach ``_b`` (ordered bucket of ``key`` within its part) and ``total_<w>``."""
-    fracs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*part_cols).agg(
-        F.percentile_approx(F.col(key).cast("double"), fracs, SKETCH_ACCURACY).alias("_bounds"),
-        *[F.sum(w).alias(f"total_{w}") for w in weight_cols])
-    # A sketch's result depends on the order partial sketches are merged, and the
-    # plan reads the bounds in two branches (bucket totals, candidate rows); both
-    # must see the same bounds, so the small bounds table is frozen once in the
-    # shared checkpoint folder (this also cuts its lineage).
-    ensure_checkpoint_dir(df.sparkSession)
-    bounds = bounds.checkpoint(eager=True)
-    x = df.join(bounds, part_cols)
-    return x.withColumn("_b", bucket_of(F.col("_bounds"), F.col(key).cast("double"), len(fracs))).drop("_bounds")
-
-
-def cumulative(df: DataFrame, part_cols, order_cols, weight_cols, buckets: int = DEFAULT_BUCKETS,
-               prefix: str = "cum_") -> DataFrame:
-    """Add ``cum_<w>`` (inclusive running sum of each weight, by ascending order) per part.
-
-    ``order_cols[0]`` must be numeric; it decides the bucket. Further order
-    columns only break ties inside a bucket. Also adds ``total_<w>``.
+
+
+def _same(a: DataFrame, b: DataFrame, keys) -> Column:
+    return reduce(lambda x, y: x & y, [a[q(k)].eqNullSafe(b[q(k)]) for k in keys], F.lit(True))
+
+
+def cumulative(df: DataFrame, part_cols, order_cols, weight_cols, prefix: str = "cum_") -> DataFrame:
+    """Add ``cum_<w>`` (inclusive running sum of each weight, by ascending order) and ``total_<w>`` per part.
+
+    A NULL part is a part of its own. Rows equal in all order columns have no order
+    among themselves.
     """
     part_cols, order_cols, weight_cols = list(part_cols), list(order_cols), list(weight_cols)
-    if not part_cols:  # one part: a constant key keeps every join an equi-join
-        return cumulative(df.withColumn("_all", F.lit(0)), ["_all"], order_cols, weight_cols,
-                          buckets, prefix).drop("_all")
-    x = _bucketed(df, part_cols, order_cols[0], weight_cols, buckets)
-    btot = x.groupBy(*part_cols, "_b").agg(*[F.sum(w).alias(f"_bt_{w}") for w in weight_cols])
-    wb = Window.partitionBy(*part_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = btot.select(*part_cols, "_b", *[F.coalesce(F.sum(f"_bt_{w}").over(wb), F.lit(0)).alias(f"_off_{w}")
-                                           for w in weight_cols])
-    x = x.join(offs, [*part_cols, "_b"])
-    wi = (Window.partitionBy(*part_cols, "_b").orderBy(*[F.col(c) for c in order_cols])
-          .rowsBetween(Window.unboundedPreceding, 0))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(q(c)) for c in [*part_cols, *order_cols]]
+    # range bounds come from a sample, so the dealt rows are written once and read by both passes
+    x = stored(df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    parts = [F.col(q(c)) for c in part_cols]
+    sums = x.groupBy(*parts, "_p").agg(*[F.sum(w).alias(f"_s_{w}") for w in weight_cols])
+    before = Window.partitionBy(*parts).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*parts)
+    offs = sums.select(*[p.alias(f"_k{i}") for i, p in enumerate(parts)], F.col("_p").alias("_kp"),
+                       *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weight_cols],
+                       *[F.sum(f"_s_{w}").over(whole).alias(f"total_{w}") for w in weight_cols])
+    cond = x["_p"] == offs["_kp"]
+    for i, c in enumerate(part_cols):
+        cond = cond & x[q(c)].eqNullSafe(offs[f"_k{i}"])
+    x = x.join(offs, cond)
+    inside = Window.partitionBy("_p", *parts).orderBy(*[F.col(q(c)) for c in order_cols]).rowsBetween(Window.unboundedPreceding, 0)
     for w in weight_cols:
-        x = x.withColumn(f"{prefix}{w}", F.col(f"_off_{w}") + F.sum(w).over(wi))
-    return x.drop("_b", *[f"_off_{w}" for w in weight_cols])
+        x = x.withColumn(f"{prefix}{w}", F.col(f"_off_{w}") + F.sum(w).over(inside))
+    return x.drop("_p", "_kp", *[f"_k{i}" for i in range(len(parts))], *[f"_off_{w}" for w in weight_cols])
 
 
 def unpivot_numeric(df: DataFrame, columns, group_cols=(), drop_null: bool = True) -> DataFrame:
@@ -89,134 +71,58 @@ def unpivot_numeric(df: DataFrame, columns, group_cols=(), drop_null: bool = Tru
     return long.where(F.col("value").isNotNull()) if drop_null else long
 
 
-def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value",
-                   buckets: int = DEFAULT_BUCKETS, method: str = "auto") -> DataFrame:
-    """Exact linear-interpolation quantiles per part of a long table.
+def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value") -> DataFrame:
+    """Exact linear-interpolation quantiles per part of a long table: (part..., n, q0, q1, ...).
 
-    Returns (part..., n, q0, q1, ...) with one ``q<i>`` per entry of ``probs``.
-    Values are first collapsed to (value, count). ``method``: 'in_task'
-    (Spark's weighted exact percentile), 'distributed' (bucketed running
-    counts) or 'auto' (measure the largest group's distinct count first).
+    Missing values and rows with a NULL part take no part (a NULL group is no group).
     """
     part_cols = list(part_cols)
     if not part_cols:
-        return quantiles_long(long.withColumn("_all", F.lit(0)), ["_all"], probs, value_col,
-                              buckets, method).drop("_all")
-    counts = long.groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("w"))
-    if method == "auto":
-        # the size check and the quantile pass both read the (value, count)
-        # table: write it once instead of computing the source twice
-        ensure_checkpoint_dir(long.sparkSession)
-        counts = counts.checkpoint(eager=True)
-        widest = counts.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
-        method = "in_task" if widest <= EXACT_IN_TASK_MAX else "distributed"
-    if method == "in_task":
-        # the group's distinct values (checked above) are ordered inside one window partition
-        w = Window.partitionBy(*part_cols).orderBy(value_col)
-        ranked = (counts.withColumn("_cin", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                  .withColumn("n", F.sum("w").over(Window.partitionBy(*part_cols))))
-        return _pick(ranked, part_cols, probs, value_col, F.lit(0), F.col("_cin"))
-    return _distributed_from_counts(counts, part_cols, probs, value_col, buckets)
-
-
-def _distributed_from_counts(counts: DataFrame, part_cols, probs, value_col: str, buckets: int) -> DataFrame:
-    """Bucketed exact quantiles from a (part..., value, w) table; no group is ordered in one task."""
-    x = _bucketed(counts, part_cols, value_col, ["w"], buckets)
-    # bucket totals -> offsets (at most `buckets` rows per part)
-    btot = x.groupBy(*part_cols, "_b").agg(F.sum("w").alias("_bw"), F.max("total_w").alias("n"))
-    wb = Window.partitionBy(*part_cols).orderBy("_b")
-    btot = btot.withColumn("_hi", F.sum("_bw").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    btot = btot.withColumn("_lo", F.col("_hi") - F.col("_bw"))
-    # target ranks (0-based) of every requested probability, and the bucket holding each
-    n = F.col("n")
-    ranks = []
-    for i, p in enumerate(probs):
-        pos = (n - 1) * F.lit(float(p))
-        ranks.append(F.struct(F.lit(i).alias("i"), F.lit("lo").alias("side"), F.floor(pos).alias("r"), (pos - F.floor(pos)).alias("f")))
-        ranks.append(F.struct(F.lit(i).alias("i"), F.lit("hi").alias("side"), F.least(F.floor(pos) + 1, n - 1).alias("r"), (pos - F.floor(pos)).alias("f")))
-    targets = (btot.select(*part_cols, "_b", "_lo", "_hi", "n", F.explode(F.array(*ranks)).alias("t"))
-               .where((F.col("_lo") <= F.col("t.r")) & (F.col("t.r") < F.col("_hi")))
-               .select(*part_cols, "_b", "_lo", "n", "t.i", "t.side", "t.r", "t.f"))
-    # only rows of target buckets are ordered
-    cand = x.join(targets.select(*part_cols, "_b", "_lo").distinct(), [*part_cols, "_b"], "left_semi")
-    wi = Window.partitionBy(*part_cols, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_cin", F.sum("w").over(wi))
-    hit = (cand.join(targets, [*part_cols, "_b"])
-           .where((F.col("_lo") + F.col("_cin") - F.col("w") <= F.col("r")) & (F.col("r") < F.col("_lo") + F.col("_cin"))))
-    aggs = [F.max("n").alias("n")]
-    for i, _ in enumerate(probs):
-        aggs += [F.max(F.when((F.col("i") == i) & (F.col("side") == "lo"), F.col(value_col))).alias(f"_lo{i}"),
-                 F.max(F.when((F.col("i") == i) & (F.col("side") == "hi"), F.col(value_col))).alias(f"_hi{i}"),
-                 F.max(F.when(F.col("i") == i, F.col("f"))).alias(f"_f{i}")]
-    picked = hit.groupBy(*part_cols).agg(*aggs)
-    outs = []
-    for i, _ in enumerate(probs):
-        lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
-        outs.append(F.when(f == 0, lo).otherwise(lo + (hi - lo) * f).alias(f"q{i}"))
-    return picked.select(*part_cols, "n", *outs)
+        return quantiles_long(long.withColumn("_all", F.lit(0)), ["_all"], probs, value_col).drop("_all")
+    v = F.col(q(value_col))
+    present = reduce(lambda a, b: a & b, [F.col(q(c)).isNotNull() for c in part_cols], v.isNotNull())
+    long = long.where(present)
+    # brackets two sketch errors wide on either side of every requested rank
+    e = 2.0 / SKETCH_ACCURACY
+    edges = [x for p in probs for x in (max(0.0, p - e), min(1.0, p + e))]
+    brackets = long.groupBy(*[F.col(q(c)) for c in part_cols]).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(v, edges, SKETCH_ACCURACY).alias("_edges"))
+    # schema-bounded parts are small; any other size is left to the join strategy of the optimizer
+    x = long.join(F.broadcast(brackets) if part_cols in (["column"], ["_all"]) else brackets, part_cols)
+    inside = reduce(lambda a, b: a | b, [(v >= F.col("_edges")[2 * i]) & (v <= F.col("_edges")[2 * i + 1]) for i in range(len(probs))])
+    gap = sum(((v > F.col("_edges")[2 * i + 1]).cast("int") for i in range(len(probs))), F.lit(0))
+    # values between brackets collapse to one row a gap; ranks next to a bracket may need its smallest or largest value
+    keyed = x.groupBy(*[F.col(q(c)) for c in part_cols], "_n", F.when(inside, v).alias("_in"), F.when(~inside, gap).alias("_gap"))
+    remnant = keyed.agg(F.count(F.lit(1)).alias("w"), F.min(v).alias("_v"), F.max(v).alias("_top"))
+    running = Window.partitionBy(*[F.col(q(c)) for c in part_cols]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return _pick(remnant.withColumn("cum_w", F.sum("w").over(running)), part_cols, probs)
+
+
+def _pick(ranked: DataFrame, part_cols, probs) -> DataFrame:
+    """Values at the two ranks around each (n - 1) * p, combined as lo + (hi - lo) * d."""
+    n, last = F.col("_n"), F.col("cum_w")
+    first = last - F.col("w")
 
+    def value_at(rank: Column) -> Column:
+        # of a gap's values the first and the last are known; the sketch's bound keeps ranks out of the rest
+        lost = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        known = (F.when(F.col("_in").isNotNull() | (rank == first), F.col("_v"))
+                 .when(rank == last - 1, F.col("_top")).otherwise(lost))
+        return F.max(F.when((first <= rank) & (rank < last), known))
 
-def _pick(ranked: DataFrame, part_cols, probs, value_col: str, offset, running) -> DataFrame:
-    """Values at the two ranks around each (n - 1) * p, combined as lo + (hi - lo) * d."""
-    n = F.col("n")
-    hi_incl = offset + running
-    lo_excl = hi_incl - F.col("w")
     aggs = [F.max(n).alias("n")]
     for i, p in enumerate(probs):
         pos = (n - 1) * F.lit(float(p))
-        r_lo = F.floor(pos)
-        r_hi = F.least(r_lo + 1, n - 1)
-        aggs += [F.max(F.when((lo_excl <= r_lo) & (r_lo < hi_incl), F.col(value_col))).alias(f"_lo{i}"),
-                 F.max(F.when((lo_excl <= r_hi) & (r_hi < hi_incl), F.col(value_col))).alias(f"_hi{i}"),
-                 F.max(pos - r_lo).alias(f"_f{i}")]
-    picked = ranked.groupBy(*part_cols).agg(*aggs)
+        aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.least(F.floor(pos) + 1, n - 1)).alias(f"_hi{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+    picked = ranked.groupBy(*[F.col(q(c)) for c in part_cols]).agg(*aggs)
     outs = []
-    for i, _ in enumerate(probs):
+    for i in range(len(probs)):
         lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
         outs.append(F.when(f == 0, lo).otherwise(lo + (hi - lo) * f).alias(f"q{i}"))
-    return picked.select(*part_cols, "n", *outs)
+    return picked.select(*[F.col(q(c)) for c in part_cols], "n", *outs)
 
 
-def quantiles(df: DataFrame, columns, probs, group_cols=(), buckets: int = DEFAULT_BUCKETS,
-              method: str = "auto") -> DataFrame:
+def quantiles(df: DataFrame, columns, probs, group_cols=()) -> DataFrame:
     """Exact quantiles of several numeric columns (optionally per group): (group..., column, n, q...)."""
-    long = unpivot_numeric(df, columns, group_cols)
-    return quantiles_long(long, [*group_cols, "column"], probs, buckets=buckets, method=method)
-
-
-def value_weights(df: DataFrame, columns, group_cols=()) -> DataFrame:
-    """(group..., column, value, w): every numeric value with its count, written once.
-
-    Quantiles and a later pass over the same values (outlier counts) both read
-    this table, so the source is scanned and shuffled once.
-    """
-    long = unpivot_numeric(df, columns, group_cols)
-    counts = long.groupBy(*group_cols, "column", "value").agg(F.count(F.lit(1)).alias("w"))
-    ensure_checkpoint_dir(df.sparkSession)
-    return counts.checkpoint(eager=True)
-
-
-def quantiles_from_weights(counts: DataFrame, part_cols, probs, value_col: str = "value",
-                           buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Exact quantiles from a written (value, w) table (see :func:`value_weights`)."""
-    part_cols = list(part_cols)
-    widest = counts.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0
-    if widest <= EXACT_IN_TASK_MAX:
-        w = Window.partitionBy(*part_cols).orderBy(value_col)
-        ranked = (counts.withColumn("_cin", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                  .withColumn("n", F.sum("w").over(Window.partitionBy(*part_cols))))
-        return _pick(ranked, part_cols, probs, value_col, F.lit(0), F.col("_cin"))
-    return _distributed_from_counts(counts, part_cols, probs, value_col, buckets)
-
-
-def approx_quantiles(df: DataFrame, columns, probs, group_cols=(), accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Same shape as :func:`quantiles` from a mergeable sketch (one pass, bounded memory)."""
-    long = unpivot_numeric(df, columns, group_cols)
-    p = F.percentile_approx("value", list(probs), accuracy)
-    out = long.groupBy(*group_cols, "column").agg(F.count(F.lit(1)).alias("n"), p.alias("_p"))
-    return out.select(*group_cols, "column", "n", *[F.col("_p")[i].alias(f"q{i}") for i in range(len(probs))])
-
-
-def scalar_of(df: DataFrame, expr: Column) -> Column:
-    """A one-row aggregate used as a scalar subquery column (no join, no collect)."""
-    return df.select(expr).scalar()
+    return quantiles_long(unpivot_numeric(df, columns, group_cols), [*group_cols, "column"], probs)

@@ -3,7 +3,7 @@
 Series come from :func:`periods.resample_sum` as (keys..., period, value).
 Each resampled series is short (one value per period), so a series' values
 are gathered into one array and fitted with SQL higher-order functions; the
-work is spread over series, and the fit grid is generated per series.
+work is spread over series, and each row searches its own fit grid.
 """
 from __future__ import annotations
 
@@ -104,25 +104,18 @@ def arima111_forecast(series: DataFrame, horizon: int = 12, freq: str = "M", key
     arr = arr.withColumn("w", F.transform(F.sequence(F.lit(1), F.size("y") - 1), lambda i: F.col("y")[i] - F.col("y")[i - 1]))
     arr = arr.withColumn("m", F.size("w"))
 
-    def search(df, phi_c, theta_c, name):
-        g = df.select("*", F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("_i")) \
-              .select("*", F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("_j")) if phi_c is not None else \
-            df.select("*", F.explode(F.sequence(F.lit(-19), F.lit(19))).alias("_i")) \
-              .select("*", F.explode(F.sequence(F.lit(-19), F.lit(19))).alias("_j"))
-        if phi_c is None:
-            phi, theta = F.round(F.col("_i") * 0.05, 4), F.round(F.col("_j") * 0.05, 4)
-        else:
-            phi = F.round(F.col(phi_c) + F.col("_i") * 0.005, 4)
-            theta = F.round(F.col(theta_c) + F.col("_j") * 0.005, 4)
-        g = g.select("*", phi.alias("_phi"), theta.alias("_theta")).where(
-            (F.abs("_phi") <= 0.95) & (F.abs("_theta") <= 0.95))
-        g = g.withColumn("_sse", _css(F.col("w"), F.col("m"), F.col("_phi"), F.col("_theta"))["sse"])
-        best = g.groupBy(*keys).agg(F.min(F.struct("_sse", (F.abs("_phi") + F.abs("_theta")).alias("_l1"),
-                                                   "_phi", "_theta")).alias(name))
-        return df.join(best, keys) if keys else df.select("*", best.select(name).scalar().alias(name))
-
-    coarse = search(arr, None, None, "_c").withColumn("_cp", F.col("_c._phi")).withColumn("_ct", F.col("_c._theta"))
-    fine = search(coarse, "_cp", "_ct", "_f")
+    def search(phi_at, theta_at, steps: int, width: float):
+        """Best (sse, |phi| + |theta|, phi, theta) of a grid around a point, on the row's own arrays: no copies, no shuffle."""
+        near = F.sequence(F.lit(-steps), F.lit(steps))
+        grid = F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.struct(
+            F.round(phi_at + i * width, 4).alias("phi"), F.round(theta_at + j * width, 4).alias("theta")))))
+        inside = F.filter(grid, lambda g: (F.abs(g["phi"]) <= 0.95) & (F.abs(g["theta"]) <= 0.95))
+        return F.array_min(F.transform(inside, lambda g: F.struct(
+            _css(F.col("w"), F.col("m"), g["phi"], g["theta"])["sse"].alias("_sse"),
+            (F.abs(g["phi"]) + F.abs(g["theta"])).alias("_l1"), g["phi"].alias("_phi"), g["theta"].alias("_theta"))))
+
+    coarse = arr.withColumn("_c", search(F.lit(0.0), F.lit(0.0), 19, 0.05))
+    fine = coarse.withColumn("_f", search(F.col("_c._phi"), F.col("_c._theta"), 10, 0.005))
     phi, theta = F.col("_f._phi"), F.col("_f._theta")
     fitted = fine.select(*keys, "last", "y", "w", "m", phi.alias("phi"), theta.alias("theta"),
                          (F.col("_f._sse") / F.greatest(F.lit(1), F.col("m") - 3)).alias("sigma2"),

@@ -6,14 +6,13 @@ value, text). Texts carry inline <b> tags like the analysed application.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._cols import q
 from ..functions.aggs import one_row, rows_of
 from ..functions.scalars import fixed, round_scaled, safe_div, strip_html
 from ..functions.schema import categorical_columns, detect_semantic_column, numeric_columns
-from ..session import materialize
 from .kpi import group_totals, metric_col, monthly_trend
 from .quality import duplicate_count, missing_total
 from .stats import correlation_pairs, strongest_pair
@@ -52,29 +51,26 @@ def _cat(*parts):
 
 
 def category_leader(df, category, revenue):
-    """J1 + J2: leading category's share of total revenue; warning above 50 %."""
+    """J1 + J2: leading category's share of total revenue (ties: smallest key); warning above 50 %."""
     t = group_totals(df, category, revenue, "total")
+    lead = F.min(F.struct((-F.col("total")).alias("neg"), F.col(q(category)).alias("k")))
     one = t.agg(F.max("total").cast("double").alias("top"), F.sum("total").cast("double").alias("all"),
-                F.count(F.lit(1)).alias("n"))
-    # leader = largest total, ties -> smallest key
-    lead = t.orderBy(F.col("total").desc(), F.col(q(category)).asc()).limit(1).select(F.col(q(category)).cast("string").alias("top_key"))
-    one = one.select("*", one_row(lead)["top_key"].alias("top_key")).where(F.col("n") > 0)
+                lead["k"].cast("string").alias("top_key"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
     share = safe_div(F.col("top"), F.col("all")) * 100
-    rows = _rows(one, [(1, "category_leader", F.lit("info"), share,
-                        _cat(T_LEADER[0], F.col("top_key"), T_LEADER[1], fixed(share, 1, False), T_LEADER[2]))])
-    conc = _rows(one.where(share > 50), [(2, "category_concentration", F.lit("warn"), share,
-                                          _cat(T_CONCENTRATION[0], F.col("top_key"), T_CONCENTRATION[1]))])
-    return rows.unionByName(conc)
+    none = F.lit(None).cast("string")
+    text = _cat(T_LEADER[0], F.col("top_key"), T_LEADER[1], fixed(share, 1, False), T_LEADER[2])
+    warning = _cat(T_CONCENTRATION[0], F.col("top_key"), T_CONCENTRATION[1])
+    rows = _rows(one, [(1, "category_leader", F.lit("info"), share, text),
+                       (2, "category_concentration", F.when(share > 50, F.lit("warn")).otherwise(none), share, warning)])
+    return rows.where("kind is not null")
 
 
 def region_spread(df, region, revenue):
     """Best and worst region (ties: smallest key is best, largest key is worst)."""
     t = group_totals(df, region, revenue, "total").select(F.col(q(region)).cast("string").alias("k"), "total")
-    best = one_row(t.orderBy(F.col("total").desc(), F.col("k").asc()).limit(1))
-    worst = one_row(t.orderBy(F.col("total").asc(), F.col("k").desc()).limit(1))
-    one = t.agg(F.count(F.lit(1)).alias("n")).select(
-        "n", best["k"].alias("best"), worst["k"].alias("worst"),
-        round_scaled(best["total"].cast("double"), 2).alias("best_total")).where(F.col("n") >= 2)
+    ranked = F.struct((-F.col("total")).alias("neg"), F.col("k").alias("k"))
+    one = t.agg(F.count(F.lit(1)).alias("n"), F.min(ranked)["k"].alias("best"), F.max(ranked)["k"].alias("worst"),
+                round_scaled(F.max("total").cast("double"), 2).alias("best_total")).where(F.col("n") >= 2)
     return _rows(one, [(3, "region_spread", F.lit("info"), F.col("best_total"),
                         _cat(T_REGIONS[0], F.col("best"), T_REGIONS[1], F.col("worst"), T_REGIONS[2]))])
 
@@ -82,19 +78,16 @@ def region_spread(df, region, revenue):
 def growth(df, date, revenue):
     """J4 + J5: momentum of the last three months and change from first to last month."""
     m = monthly_trend(df, date, revenue).select("period", F.col("value").cast("double").alias("v"))
-    last3 = m.orderBy(F.col("period").desc()).limit(3)
-    r = last3.withColumn("_rk", F.row_number().over(Window.orderBy(F.col("period").desc())))  # 3 rows
-    tail = one_row(r.agg(*[F.max(F.when(F.col("_rk") == i, F.col("v"))).alias(f"v{i}") for i in (1, 2, 3)]))
-    one = m.agg(F.count(F.lit(1)).alias("n"), F.min_by("v", "period").alias("first")).select(
-        "n", "first", tail["v1"].alias("v1"), tail["v2"].alias("v2"), tail["v3"].alias("v3")).where(F.col("n") >= 3)
+    # one row per month, so the months meet in one array
+    one = m.agg(F.sort_array(F.collect_list(F.struct("period", "v"))).alias("m")).where(F.size("m") >= 3).select(
+        F.element_at("m", 1)["v"].alias("first"), *[F.element_at("m", -i)["v"].alias(f"v{i}") for i in (1, 2, 3)])
     inc = (F.col("v3") <= F.col("v2")) & (F.col("v2") <= F.col("v1"))
     dec = (F.col("v3") >= F.col("v2")) & (F.col("v2") >= F.col("v1"))
-    mom = _rows(one.where(inc | dec), [(4, "momentum", F.when(inc, "good").otherwise("bad"), F.col("v1"),
-                                        F.when(inc, T_GROWING).otherwise(T_DECLINING))])
     overall = safe_div(F.col("v1") - F.col("first"), F.abs(F.col("first"))) * 100
-    ch = _rows(one, [(5, "overall_change", F.when(overall >= 0, "good").otherwise("warn"), overall,
-                      _cat(T_OVERALL[0], fixed(overall, 1, False, sign=True), T_OVERALL[1]))])
-    return mom.unionByName(ch)
+    return _rows(one, [(4, "momentum", F.when(inc, "good").when(dec, "bad"), F.col("v1"),
+                        F.when(inc, T_GROWING).otherwise(T_DECLINING)),
+                       (5, "overall_change", F.when(overall >= 0, "good").otherwise("warn"), overall,
+                        _cat(T_OVERALL[0], fixed(overall, 1, False, sign=True), T_OVERALL[1]))]).where("kind is not null")
 
 
 def margin(df, profit, revenue):
@@ -134,41 +127,28 @@ def strong_correlation(df, columns=None):
                         _cat(T_CORR[0], F.col("a"), T_CORR[1], F.col("b"), T_CORR[2], fixed(F.col("r"), 2, False), T_CORR[3]))])
 
 
-def insights(df, revenue=None, profit=None, category=None, region=None, date=None, customer=None,
-             checkpoint: bool = True) -> DataFrame:
-    """J11 (with J10): every rule that fires, in rule order."""
-    revenue = revenue or detect_semantic_column(df, "revenue")
-    profit = profit or detect_semantic_column(df, "profit")
-    category = category or detect_semantic_column(df, "category")
-    region = region or detect_semantic_column(df, "region")
-    date = date or detect_semantic_column(df, "date")
-    customer = customer or detect_semantic_column(df, "customer")
-    if checkpoint:
-        # every rule reads the table again: write it once (lineage cut, shared folder)
-        df = materialize(df)
+def insights(df, revenue=None, profit=None, category=None, region=None, date=None, customer=None) -> DataFrame:
+    """J11 (with J10): every rule that fires, in rule order.
+
+    Each rule is an aggregate over the two columns it needs; the table itself is
+    never written. At most ten short rows remain, gathered once to see whether any rule fired.
+    """
+    bound = {c: given or detect_semantic_column(df, c) for c, given in
+             (("revenue", revenue), ("profit", profit), ("category", category), ("region", region), ("date", date), ("customer", customer))}
     parts = []
-    if category and revenue:
-        parts.append(category_leader(df, category, revenue))
-    if region and revenue:
-        parts.append(region_spread(df, region, revenue))
-    if date and revenue:
-        parts.append(growth(df, date, revenue))
-    if profit and revenue:
-        parts.append(margin(df, profit, revenue))
-    if customer and revenue:
-        parts.append(customer_concentration(df, customer, revenue))
-    parts.append(missing_share(df))
-    parts.append(strong_correlation(df))
+    if bound["revenue"]:
+        for concept, rule in (("category", category_leader), ("region", region_spread), ("date", growth),
+                              ("profit", margin), ("customer", customer_concentration)):
+            if bound[concept]:
+                parts.append(rule(df, bound[concept], bound["revenue"]))
+    parts += [missing_share(df), strong_correlation(df)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if checkpoint:  # a handful of rows; freezing them keeps the fallback check from re-running every rule
-        out = materialize(out)
-    n = one_row(out.agg(F.count(F.lit(1)).alias("n")))["n"]
-    fb = df.sparkSession.range(1).select(F.lit(10).alias("position"), F.lit("fallback").alias("rule"),
-                                         F.lit("info").alias("kind"), F.lit(None).cast("double").alias("value"),
-                                         F.lit(T_FALLBACK).alias("text")).where(n == 0)
-    return out.unionByName(fb)
+    fired = out.agg(F.collect_list(F.struct(*NAMES)).alias("fired"))
+    fallback = F.array(F.struct(F.lit(10).alias("position"), F.lit("fallback").alias("rule"), F.lit("info").alias("kind"),
+                                F.lit(None).cast("double").alias("value"), F.lit(T_FALLBACK).alias("text")))
+    return fired.select(F.explode(F.when(F.size("fired") == 0, fallback).otherwise(F.col("fired"))).alias("i")).select("i.*")
 
 
 def recommendations(ins: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Regular period series: period labels, gap-filled sums, interpolation.
 
 Many series are handled at once through ``keys``. The per-series spine is
-generated from each series' own first and last period with ``sequence``, so
-gap filling is a left join of two aggregated (small) tables.
+generated from each series' own first and last period with ``sequence`` and
+looked up in the series' map of sums, so the source is read once.
 """
 from __future__ import annotations
 
@@ -36,36 +36,41 @@ def _spine(lo: Column, hi: Column, unit: str) -> Column:
     return F.sequence(lo, hi, step)
 
 
-def _clean_pairs(df: DataFrame, date_col: str, value_col: str, keys) -> DataFrame:
+def _clean_pairs(df: DataFrame, date_col: str, value_col: str, keys, keep_unparsed: bool = False) -> DataFrame:
     dt = df.schema[date_col].dataType
     d = F.to_date(F.col(date_col)) if is_datetime_type(dt) else F.to_date(to_datetime(date_col))
     v = coerce_numeric(value_col, is_numeric_type(df.schema[value_col].dataType))
     t = df.select(*[F.col(k) for k in keys], d.alias("_d"), v.alias("_v"))
-    cond = F.col("_d").isNotNull() & F.col("_v").isNotNull()
+    cond = F.col("_d").isNotNull() & (F.lit(keep_unparsed) | F.col("_v").isNotNull())
     for k in keys:  # R1: NULL keys are dropped like a default group-by
         cond = cond & F.col(k).isNotNull()
     return t.where(cond)
 
 
+def _fill(agg: DataFrame, keys, unit: str, out_col: str, period_col: str, empty) -> DataFrame:
+    """Every period from a series' first to its last: one map per series (bounded by its periods), no second scan."""
+    whole = agg.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(period_col, out_col))).alias("_at"),
+                                   F.min(period_col).alias("_lo"), F.max(period_col).alias("_hi"))
+    spine = whole.where(F.col("_lo").isNotNull()).select(*keys, "_at", F.explode(_spine(F.col("_lo"), F.col("_hi"), unit)).alias(period_col))
+    return spine.select(*keys, period_col, F.coalesce(F.try_element_at("_at", F.col(period_col)), empty).alias(out_col))
+
+
 def resample_sum(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
                  keys=(), fill_gaps: bool = True, out_col: str = "value",
-                 period_col: str = "period", empty_as_null: bool = False) -> DataFrame:
+                 period_col: str = "period", empty_as_null: bool = False, whole_range: bool = False) -> DataFrame:
     """Drop missing, coerce, sum per period, fill empty periods with 0.
 
     ``empty_as_null`` keeps empty periods as NULL gaps (input for :func:`interpolate`).
+    ``whole_range`` lets rows whose value does not parse still extend the range of periods.
     """
     keys = list(keys)
-    unit = FREQS[freq]
-    t = _clean_pairs(df, date_col, value_col, keys)
+    t = _clean_pairs(df, date_col, value_col, keys, whole_range)
     agg = (t.groupBy(*keys, period_label("_d", freq).alias(period_col))
            .agg(F.sum("_v").alias(out_col)))
     if not fill_gaps:
         return agg
-    bounds = agg.groupBy(*keys).agg(F.min(period_col).alias("_lo"), F.max(period_col).alias("_hi"))
-    spine = bounds.select(*keys, F.explode(_spine(F.col("_lo"), F.col("_hi"), unit)).alias(period_col))
     zero = F.lit(None if empty_as_null else 0).cast(agg.schema[out_col].dataType)
-    return (spine.join(agg, [*keys, period_col], "left")
-            .select(*keys, period_col, F.coalesce(F.col(out_col), zero).alias(out_col)))
+    return _fill(agg, keys, FREQS[freq], out_col, period_col, zero)
 
 
 def resample_mean(df: DataFrame, date_col: str, value_col: str, freq: str = "M", keys=(),
@@ -74,9 +79,7 @@ def resample_mean(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
     keys = list(keys)
     t = _clean_pairs(df, date_col, value_col, keys)
     agg = t.groupBy(*keys, period_label("_d", freq).alias(period_col)).agg(F.avg("_v").alias(out_col))
-    bounds = agg.groupBy(*keys).agg(F.min(period_col).alias("_lo"), F.max(period_col).alias("_hi"))
-    spine = bounds.select(*keys, F.explode(_spine(F.col("_lo"), F.col("_hi"), FREQS[freq])).alias(period_col))
-    return spine.join(agg, [*keys, period_col], "left")
+    return _fill(agg, keys, FREQS[freq], out_col, period_col, F.lit(None).cast(agg.schema[out_col].dataType))
 
 
 def interpolate(series: DataFrame, value_col: str = "value", period_col: str = "period",
@@ -102,5 +105,5 @@ def interpolate(series: DataFrame, value_col: str = "value", period_col: str = "
     filled = (F.when(F.col(value_col).isNotNull(), F.col(value_col))
               .when(F.col("_nv").isNotNull() & F.col("_pv").isNotNull(), between)
               .otherwise(F.col("_pv")))
-    return s.select(*series.columns[:0], *[F.col(c) for c in series.columns if c != value_col],
+    return s.select(*[F.col(c) for c in series.columns if c != value_col],
                     filled.cast("double").alias(value_col))

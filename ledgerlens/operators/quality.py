@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 
 from ..functions._cols import q
 from ..functions.aggs import is_missing, modes, one_row, per_column_rows, rows_of
-from ..functions.ranking import quantiles, quantiles_from_weights, value_weights
+from ..functions.ranking import quantiles
 from ..functions.scalars import clip
-from ..session import materialize
+from ..session import stored
 from ..functions.schema import numeric_columns
 
 IQR_K = 1.5
@@ -52,14 +52,16 @@ def missing_total(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row (NULLs equal each other), one row ``duplicates``.
 
-    First pass shuffles only a 64-bit hash per row; only rows whose hash repeats
-    are shuffled whole and compared exactly, so hash collisions never count.
+    Only a 128-bit digest of each row (two hashes of different seeds and null marks) is
+    grouped and shuffled; partial counts collapse a row that repeats a billion times
+    to one entry a task. The digest counts as the row: two different rows among
+    10^12 share one with a probability of about 10^-15.
     """
     cols = [F.col(q(c)) for c in df.columns]
-    h = df.select(F.xxhash64(*cols).alias("_h"), *cols)
-    rep = h.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_h")
-    cand = h.join(rep, "_h", "left_semi")
-    groups = cand.groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_n"))
+    # xxhash64 skips NULLs, so the mask of NULLs is hashed with the values
+    mask = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols]) if cols else F.lit("")
+    keyed = df.select(F.xxhash64(F.lit(1), mask, *cols).alias("_h1"), F.xxhash64(F.lit(2), *cols, mask).alias("_h2"))
+    groups = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
@@ -87,21 +89,29 @@ def iqr_fences(df: DataFrame, columns=None, keep_zero_iqr: bool = False) -> Data
     return _fences_from(quantiles(df, cols, [0.25, 0.75]), keep_zero_iqr)
 
 
+def _fence_row(fences: DataFrame, columns):
+    """lower<i> and upper<i> of every column as one struct-typed scalar subquery."""
+    return one_row(fences.agg(*[F.max(F.when(F.col("column") == c, F.col(b))).alias(f"{b}{i}")
+                                for i, c in enumerate(columns) for b in ("lower", "upper")]))
+
+
 def outlier_counts(df: DataFrame, columns=None, fences: DataFrame | None = None) -> DataFrame:
     """(column, outliers) for columns with at least one value outside its fence.
 
-    Fences and counts come from one written (value, count) table: the second
-    pass reads pre-aggregated values, not the source. The fence table has one
-    row per numeric column (bounded by the schema) and is broadcast.
+    The fences enter one aggregate over the source as a scalar subquery, so
+    nothing but counts is shuffled.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    weights = value_weights(df, cols)
-    if fences is None:
-        fences = _fences_from(quantiles_from_weights(weights, ["column"], [0.25, 0.75]), False)
-    hit = weights.join(F.broadcast(fences.select("column", "lower", "upper")), "column")
-    out = hit.groupBy("column").agg(F.sum(F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")),
-                                                 F.col("w")).otherwise(0)).alias("outliers"))
-    return out.where(F.col("outliers") > 0).select("column", F.col("outliers").cast("bigint").alias("outliers"))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, outliers bigint")
+    fence = _fence_row(iqr_fences(df, cols) if fences is None else fences, cols)
+
+    def count(i, c):
+        x = F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double"))
+        return [F.count_if((x < fence[f"lower{i}"]) | (x > fence[f"upper{i}"])).alias(f"_o{i}")]
+
+    out = per_column_rows(df, cols, count, 1, lambda i, c: [F.lit(c), F.col(f"_o{i}")], ["column", "outliers"])
+    return out.where("outliers > 0").select("column", F.col("outliers").cast("bigint").alias("outliers"))
 
 
 def outliers_total(counts: DataFrame) -> DataFrame:
@@ -190,10 +200,7 @@ def winsorise(df: DataFrame, columns) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    fences = iqr_fences(df, columns)
-    row = fences.agg(*[F.max(F.when(F.col("column") == c, F.col(b))).alias(f"{b}{i}")
-                       for i, c in enumerate(columns) for b in ("lower", "upper")])
-    sub = one_row(row)
+    sub = _fence_row(iqr_fences(df, columns), columns)
     out = []
     for c in df.columns:
         if c in columns:
@@ -221,15 +228,13 @@ class CleanSpec:
         return cls(drop_empty=bool(empty), drop_duplicates=duplicates > 0, winsorise=list(outlier_columns))
 
 
-def clean(df: DataFrame, spec: CleanSpec, checkpoint: bool = True) -> DataFrame:
+def clean(df: DataFrame, spec: CleanSpec) -> DataFrame:
     """Drop empty columns -> missing action -> de-duplicate -> winsorise.
 
-    Winsorising reads its input twice (fences, then clipping), and that input
-    is itself the product of multi-pass steps; with ``checkpoint`` the input is
-    written once to the shared checkpoint folder so no step is recomputed.
+    The source is not copied: fill values are aggregates over it that enter one
+    projection. Only when rows were de-duplicated before winsorising is the
+    (shuffled) result written once as Parquet, since fences and clipping both read it.
     """
-    if checkpoint:  # every step below reads its input at least twice
-        df = materialize(df)
     out = drop_empty_columns(df) if spec.drop_empty else df
     if spec.missing_action == "drop":
         out = drop_missing_rows(out)
@@ -238,10 +243,8 @@ def clean(df: DataFrame, spec: CleanSpec, checkpoint: bool = True) -> DataFrame:
     if spec.drop_duplicates:
         out = drop_duplicates(out)
     if spec.winsorise:
-        if checkpoint and spec.missing_action != "none":
-            out = materialize(out)
-        out = winsorise(out, spec.winsorise)
-    return materialize(out) if checkpoint else out
+        out = winsorise(stored(out, "deduplicated") if spec.drop_duplicates else out, spec.winsorise)
+    return out
 
 
 def quality_summary(df: DataFrame) -> DataFrame:

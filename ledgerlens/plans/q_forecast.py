@@ -23,7 +23,7 @@ series AS (SELECT spine.{k}, spine.period, {fill} AS value FROM spine LEFT JOIN
 
 
 def _series_by_region(spark, sf):
-    s = V.sales_view(spark, sf, ["Region", "Date", "Revenue"])
+    s = V.sales_lines(spark, sf, ["Region", "Date", "Revenue"])
     return resample_sum(s, "Date", "Revenue", "M", keys=["Region"])
 
 
@@ -31,7 +31,7 @@ def _series_by_region(spark, sf):
     k="Region", d="Date", v="Revenue", src="gap", fn="SUM", fill="COALESCE(agg.value, 0)")
     + " SELECT Region, period, CAST(value AS DOUBLE) AS value FROM series")
 def i1m(spark, sf):
-    s = V.sales_view(spark, sf, ["Region", "Date", "Revenue"]).where(F.month("Date") != 6)
+    s = V.sales_lines(spark, sf, ["Region", "Date", "Revenue"]).where(F.month("Date") != 6)
     return finalize(resample_sum(s, "Date", "Revenue", "M", keys=["Region"]))
 
 
@@ -68,7 +68,7 @@ nb AS (SELECT *,
 SELECT Region, period, CAST(CASE WHEN value IS NOT NULL THEN value
   WHEN nv IS NOT NULL AND pv IS NOT NULL THEN pv + (nv - pv) * (i - pi) / (ni - pi) ELSE pv END AS DOUBLE) AS value FROM nb""")
 def i2(spark, sf):
-    s = V.sales_view(spark, sf, ["Region", "Date", "Revenue"]).where(F.month("Date") != 6)
+    s = V.sales_lines(spark, sf, ["Region", "Date", "Revenue"]).where(F.month("Date") != 6)
     m = resample_sum(s, "Date", "Revenue", "M", keys=["Region"], empty_as_null=True)
     m = m.withColumn("value", F.col("value").cast("double"))
     return interpolate(m, "value", "period", keys=["Region"]).select("Region", "period", "value")

@@ -96,19 +96,32 @@ def j11d(spark, sf):
     return _ins(V.dirty_view(spark, sf))
 
 
-for _pos, _name in ((1, "j1_category_leader"), (2, "j2_concentration_warning"), (3, "j3_region_spread"),
-                    (4, "j4_momentum"), (5, "j5_overall_change"), (6, "j6_margin_tone"),
-                    (7, "j7_customer_concentration"), (9, "j9_strong_correlation")):
-    def _make(pos):
+# Each rule as its own query, over the columns it reads. A rule function gives the one or two lines of its kind.
+RULES = (
+    (1, "j1_category_leader", I.category_leader, ["Category", "Revenue"]),
+    (2, "j2_concentration_warning", I.category_leader, ["Category", "Revenue"]),
+    (3, "j3_region_spread", I.region_spread, ["Region", "Revenue"]),
+    (4, "j4_momentum", I.growth, ["Date", "Revenue"]),
+    (5, "j5_overall_change", I.growth, ["Date", "Revenue"]),
+    (6, "j6_margin_tone", I.margin, ["Profit", "Revenue"]),
+    (7, "j7_customer_concentration", I.customer_concentration, ["CustomerID", "Revenue"]),
+)
+for _pos, _name, _rule, _cols in RULES:
+    def _make(pos, rule, cols):
         def fn(spark, sf):
-            return _ins(V.sales_view(spark, sf)).where(F.col("position") == pos)
+            return finalize(rule(V.sales_lines(spark, sf, cols), *cols), 6).where(F.col("position") == pos)
         return fn
-    register(_name, SALES_RULES + OUT + f" WHERE position = {_pos}")(_make(_pos))
+    register(_name, SALES_RULES + OUT + f" WHERE position = {_pos}")(_make(_pos, _rule, _cols))
+
+
+@register("j9_strong_correlation", SALES_RULES + OUT + " WHERE position = 9")
+def j9(spark, sf):
+    return finalize(I.strong_correlation(V.sales_lines(spark, sf, SALES_NUM), SALES_NUM), 6)
 
 
 @register("j8_missing_share", DIRTY_RULES + OUT + " WHERE position = 8")
 def j8(spark, sf):
-    return _ins(V.dirty_view(spark, sf)).where(F.col("position") == 8)
+    return finalize(I.missing_share(V.dirty_view(spark, sf)), 6)
 
 
 @register("j10_fallback", """WITH t AS (SELECT * FROM region)

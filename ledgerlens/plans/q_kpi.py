@@ -17,7 +17,7 @@ NO_JUNE = X.with_views(X.SALES) + ", gap AS (SELECT * FROM sales_view WHERE mont
 
 
 def _sales(spark, sf, cols=None):
-    return V.sales_view(spark, sf, cols)
+    return V.sales_lines(spark, sf, cols)
 
 
 def _no_june(spark, sf, cols):
@@ -219,13 +219,15 @@ def g9(spark, sf):
     return A.tag_questions(qv, "question", schema_df, cat_cols=A.categorical_columns(schema_df), keep=["conv_id", "turn"])
 
 
-for _pos, _name in ((1, "f1_total_revenue"), (2, "f2_total_profit"), (3, "f3_profit_margin"),
-                    (4, "f4_total_units"), (5, "f5_customers")):
-    def _kpi_row(pos):
+# Each KPI as its own query over the columns it needs; the margin's aggregate also holds its two sums.
+for _pos, _name, _cols in ((1, "f1_total_revenue", ["Revenue"]), (2, "f2_total_profit", ["Profit"]),
+                           (3, "f3_profit_margin", ["Revenue", "Profit"]), (4, "f4_total_units", ["Quantity"]),
+                           (5, "f5_customers", ["CustomerID"])):
+    def _kpi_row(pos, cols):
         def fn(spark, sf):
-            return f15(spark, sf).where(F.col("position") == pos)
+            return finalize(K.kpi_table(_sales(spark, sf, cols)), 6).where(F.col("position") == pos)
         return fn
-    register(_name, "SELECT * FROM (" + KPI_SQL + f") WHERE position = {_pos}")(_kpi_row(_pos))
+    register(_name, "SELECT * FROM (" + KPI_SQL + f") WHERE position = {_pos}")(_kpi_row(_pos, _cols))
 
 
 @register("g10_match_column", X.with_views(X.QUESTION) + "SELECT conv_id, turn, "

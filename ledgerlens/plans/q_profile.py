@@ -34,7 +34,7 @@ ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY cnt DESC,
     f"""SELECT '{c}' AS "column", COUNT(DISTINCT {c}) AS n_unique, COUNT(DISTINCT {c}) <= 50 AS is_categorical
         FROM sales_view""" for c in ("Region", "Category", "Brand")]))
 def b2(spark, sf):
-    s = V.sales_view(spark, sf, ["Region", "Category", "Brand"])
+    s = V.sales_lines(spark, sf, ["Region", "Category", "Brand"])
     return categorical_table(s)
 
 
@@ -101,4 +101,4 @@ def e1(spark, sf):
           + """
 SELECT "column", n_unique AS "unique", v AS top, cnt AS top_freq FROM ranked WHERE rk = 1 AND n_unique <= 50""")
 def e2(spark, sf):
-    return P.categorical_overview(V.sales_view(spark, sf, ["Region", "Category", "Brand"]))
+    return P.categorical_overview(V.sales_lines(spark, sf, ["Region", "Category", "Brand"]))

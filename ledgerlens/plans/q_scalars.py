@@ -51,7 +51,7 @@ SELECT Brand, revenue, {_fmt_sql('revenue')} AS revenue_text, {_fmt_sql('profit'
        {_fmt_sql('kilo_units')} AS kilo_units_text, {_fmt_sql('lines')} AS lines_text
 FROM t""")
 def c4(spark, sf):
-    s = V.sales_view(spark, sf, ["Brand", "Revenue", "Profit", "Quantity"])
+    s = V.sales_lines(spark, sf, ["Brand", "Revenue", "Profit", "Quantity"])
     t = s.groupBy("Brand").agg(F.sum("Revenue").cast("double").alias("revenue"),
                                F.sum("Profit").cast("double").alias("profit"),
                                (F.sum("Quantity").cast("double") / 1000.0).alias("kilo_units"),

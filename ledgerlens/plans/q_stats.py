@@ -21,7 +21,7 @@ def e3(spark, sf):
 @register("e4_strongest_pair", SV + f", nv AS (SELECT {NUM_CAST} FROM sales_view), m AS (" + _corr_sql(SALES_NUM, "nv", 2) + """)
 SELECT a, b, r FROM m WHERE i < j AND r IS NOT NULL ORDER BY abs(r) DESC, i, j LIMIT 1""")
 def e4(spark, sf):
-    c = ST.correlation_pairs(V.sales_view(spark, sf, SALES_NUM), SALES_NUM, decimals=2)
+    c = ST.correlation_pairs(V.sales_lines(spark, sf, SALES_NUM), SALES_NUM, decimals=2)
     return finalize(ST.strongest_pair(c))
 
 
@@ -47,7 +47,7 @@ def e5(spark, sf):
 @register("e5_histogram_by_group", SV + ", src AS (SELECT CAST(Quantity AS DOUBLE) AS x, Region FROM sales_view)"
           + HIST_SQL.format(bins=10, gsel=", Region", gwhere="AND Region IS NOT NULL", gcol="Region,", gcol0="Region"))
 def e5g(spark, sf):
-    return finalize(ST.histogram(V.sales_view(spark, sf, ["Quantity", "Region"]), "Quantity", 10, group="Region"), 6)
+    return finalize(ST.histogram(V.sales_lines(spark, sf, ["Quantity", "Region"]), "Quantity", 10, group="Region"), 6)
 
 
 @register("e6_skewness", DV + " " + "\nUNION ALL\n".join(
@@ -84,7 +84,7 @@ def e7(spark, sf):
 FROM (SELECT Region, CAST(Quantity AS DOUBLE) AS x, CAST(Revenue AS DOUBLE) AS y FROM sales_view WHERE Region IS NOT NULL)
 GROUP BY Region""")
 def e8(spark, sf):
-    s = V.sales_view(spark, sf, ["Region", "Quantity", "Revenue"])
+    s = V.sales_lines(spark, sf, ["Region", "Quantity", "Revenue"])
     return finalize(ST.ols_by_group(s, "Quantity", "Revenue", "Region"), 6)
 
 
@@ -97,4 +97,4 @@ SCATTER_COLS = ["UnitPrice", "Quantity", "Discount", "Revenue"]
                   ROUND(regr_intercept({b}, {a}), 6) AS intercept, ROUND(regr_r2({b}, {a}), 6) AS r2 FROM nv"""
               for i, a in enumerate(SCATTER_COLS) for b in SCATTER_COLS[i + 1:]))
 def e9(spark, sf):
-    return finalize(ST.scatter_matrix(V.sales_view(spark, sf, SCATTER_COLS), SCATTER_COLS), 6)
+    return finalize(ST.scatter_matrix(V.sales_lines(spark, sf, SCATTER_COLS), SCATTER_COLS), 6)

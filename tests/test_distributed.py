@@ -15,12 +15,25 @@ def test_exact_quantiles_with_a_hot_value(spark, seed):
     groups = rng.integers(0, 3, len(vals))
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    for method in ("distributed", "in_task", "auto"):
-        got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))]
-               for r in quantiles(df, ["v"], probs, ["g"], buckets=8, method=method).collect()}
-        for g in range(3):
-            exp = np.quantile(vals[groups == g], probs)
-            assert got[g] == pytest.approx(exp.tolist(), abs=1e-9)
+    df = df.unionByName(spark.createDataFrame([(None, 1e9), (None, 2e9), (0, None), (1, float("nan"))], df.schema))
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in quantiles(df, ["v"], probs, ["g"]).collect()}
+    assert set(got) == {0, 1, 2}  # a NULL group is no group
+    for g in range(3):
+        exp = np.quantile(vals[groups == g], probs)
+        assert got[g] == pytest.approx(exp.tolist(), abs=1e-9)
+
+
+def test_exact_quantiles_beyond_the_sketch(spark, monkeypatch):
+    """With a coarse sketch most values collapse into gaps; the quantiles stay exact."""
+    from ledgerlens.functions import ranking as R
+    monkeypatch.setattr(R, "SKETCH_ACCURACY", 50)
+    rng = np.random.default_rng(8)
+    vals = np.concatenate([rng.normal(0, 1e3, 20000), np.full(20000, 7.0), rng.integers(0, 90, 5000).astype(float)])
+    rng.shuffle(vals)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(7)
+    probs = [0.01, 0.25, 0.5, 0.73, 0.999]
+    row = R.quantiles(df, ["v"], probs).first()
+    assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(np.quantile(vals, probs).tolist(), abs=1e-9)
 
 
 def test_cumulative_matches_cumsum(spark):
@@ -28,12 +41,19 @@ def test_cumulative_matches_cumsum(spark):
     keys = rng.permutation(500).astype(float)
     w = rng.integers(1, 5, 500)
     df = spark.createDataFrame([(float(k), int(x)) for k, x in zip(keys, w)], "k double, w long")
-    got = {r["k"]: r["cum_w"] for r in cumulative(df, [], ["k"], ["w"], buckets=7).collect()}
+    got = {r["k"]: r["cum_w"] for r in cumulative(df, [], ["k"], ["w"]).collect()}
     order = np.argsort(keys)
     exp = dict(zip(keys[order], np.cumsum(w[order])))
     assert got == {k: int(v) for k, v in exp.items()}
 
 
+def test_cumulative_keeps_rows_of_a_null_part(spark):
+    rows = [(None, i, 1) for i in range(40)] + [("a", i, 2) for i in range(30)]
+    got = cumulative(spark.createDataFrame(rows, "g string, k int, w long"), ["g"], ["k"], ["w"]).collect()
+    assert {(r["g"], r["k"]): (r["cum_w"], r["total_w"]) for r in got} == \
+        {(None, i): (i + 1, 40) for i in range(40)} | {("a", i): (2 * i + 2, 60) for i in range(30)}
+
+
 def test_auc_matches_pairwise_brute_force(spark):
     rng = np.random.default_rng(4)
     y = rng.integers(0, 2, 300)
@@ -63,15 +83,3 @@ def test_confusion_matrix_sums_to_rows(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "y string, p string")
     cm = M.confusion_matrix(df, "y", "p")
     assert cm.count() == 9 and cm.agg(F.sum("count")).first()[0] == 4
-
-
-def test_weights_path_above_the_in_task_bound(spark, monkeypatch):
-    from ledgerlens.functions import ranking as R
-    rng = np.random.default_rng(5)
-    vals = np.concatenate([rng.normal(0, 5, 3000).round(2), np.full(1500, 1.0)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    small = R.quantiles_from_weights(R.value_weights(df, ["v"]), ["column"], [0.25, 0.75]).first()
-    monkeypatch.setattr(R, "EXACT_IN_TASK_MAX", 0)   # force the bucketed path
-    big = R.quantiles_from_weights(R.value_weights(df, ["v"]), ["column"], [0.25, 0.75]).first()
-    exp = np.quantile(vals, [0.25, 0.75])
-    assert [small["q0"], small["q1"]] == pytest.approx(exp.tolist()) == [big["q0"], big["q1"]]

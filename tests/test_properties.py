@@ -1,4 +1,4 @@
-"""Property tests: exact quantiles on random data with heavy ties, under both execution paths."""
+"""Property tests: exact quantiles on random data with heavy ties."""
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,10 +11,10 @@ probs = st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), min_siz
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(vals=values, ps=probs, method=st.sampled_from(["in_task", "distributed"]))
-def test_quantiles_match_numpy(spark, vals, ps, method):
+@given(vals=values, ps=probs)
+def test_quantiles_match_numpy(spark, vals, ps):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    row = R.quantiles(df, ["v"], ps, buckets=4, method=method).first()
+    row = R.quantiles(df, ["v"], ps).first()
     exp = np.quantile(np.array(vals, dtype=float), ps)
     assert [row[f"q{i}"] for i in range(len(ps))] == pytest.approx(exp.tolist(), abs=1e-9)
     assert row["n"] == len(vals)
