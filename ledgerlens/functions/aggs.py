@@ -60,23 +60,12 @@ def rows_of(one: DataFrame, rows, names) -> DataFrame:
     return one.select(F.explode(F.array(*structs)).alias("_r")).select(*[F.col(f"_r.{q(n)}").alias(n) for n in names])
 
 
-# Whole-stage code generation stops above 100 aggregate buffer fields
-# (spark.sql.codegen.maxFields); per-column aggregates are split below that.
-MAX_AGG_FIELDS = 96
-
-
-def per_column_rows(df: DataFrame, columns, make_aggs, fields_per_column: int, make_row, names) -> DataFrame:
-    """One output row per column from global aggregates, chunked to stay code-generated.
+def per_column_rows(df: DataFrame, columns, make_aggs, make_row, names) -> DataFrame:
+    """One output row per column from one global aggregate, so one scan however many columns there are.
 
     ``make_aggs(i, c)`` returns the aliased aggregates of column ``c`` (position
     ``i``); ``make_row(i, c)`` returns the output row's Columns over them.
     """
-    columns = list(columns)
-    step = max(1, MAX_AGG_FIELDS // max(1, fields_per_column))
-    out = None
-    for start in range(0, len(columns), step):
-        chunk = list(enumerate(columns))[start:start + step]
-        one = df.agg(*[a for i, c in chunk for a in make_aggs(i, c)])
-        part = rows_of(one, [make_row(i, c) for i, c in chunk], names)
-        out = part if out is None else out.unionByName(part)
-    return out
+    columns = list(enumerate(columns))
+    one = df.agg(*[a for i, c in columns for a in make_aggs(i, c)])
+    return rows_of(one, [make_row(i, c) for i, c in columns], names)

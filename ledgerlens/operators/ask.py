@@ -5,11 +5,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._cols import q
-from ..functions.aggs import one_row
+from ..functions.aggs import is_missing, one_row
 from ..functions.ranking import quantiles
 from ..functions.scalars import contains_any, first_int
-from ..functions.schema import (categorical_columns, detect_semantic_column, is_datetime_type,
-                                numeric_columns)
+from ..functions.schema import (categorical_columns, default_metric, detect_semantic_column,
+                                is_datetime_type, numeric_columns)
 from .kpi import metric_col, monthly_trend, top_categories
 from .stats import correlation_long
 
@@ -69,8 +69,8 @@ def correlations(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Counts per value, descending (ties by value), NULL excluded, with distinct count."""
-    vc = (df.where(F.col(q(column)).isNotNull()).groupBy(F.col(q(column)).alias(column))
+    """Counts per value, missing values (NULL, NaN) excluded, with distinct count."""
+    vc = (df.where(~is_missing(df, column)).groupBy(F.col(q(column)).alias(column))
           .agg(F.count(F.lit(1)).alias("count")))
     nu = one_row(vc.agg(F.count(F.lit(1)).alias("n_unique")))["n_unique"]
     return vc.select(F.col(q(column)), "count", nu.alias("n_unique"))
@@ -109,7 +109,7 @@ def tag_questions(questions: DataFrame, question_col: str, table: DataFrame,
     """
     cat_cols = list(cat_cols) if cat_cols is not None else categorical_columns(table)
     nums = numeric_columns(table)
-    revenue = detect_semantic_column(table, "revenue") or (nums[0] if nums else None)
+    revenue = default_metric(table)
     date = detect_semantic_column(table, "date")
     if date and not is_datetime_type(table.schema[date].dataType) and date in nums:
         date = None

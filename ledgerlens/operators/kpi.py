@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions._cols import q
 from ..functions.aggs import one_row, rows_of
 from ..functions.scalars import coerce_numeric, fixed, format_number, safe_div
-from ..functions.schema import detect_semantic_column, is_numeric_type, numeric_columns
+from ..functions.schema import default_metric, detect_semantic_column, is_numeric_type, numeric_columns
 from .periods import resample_sum
 
 
@@ -16,11 +16,14 @@ def metric_col(df: DataFrame, c: str):
     return coerce_numeric(F.col(q(c)), is_numeric_type(df.schema[c].dataType))
 
 
-def monthly_trend(df: DataFrame, date: str | None = None, metric: str | None = None, keys=()) -> DataFrame:
-    """F8: month-end sums with gap months filled with 0: (keys..., period, value)."""
+def monthly_trend(df: DataFrame, date: str | None = None, metric: str | None = None, keys=(), whole_range: bool = False) -> DataFrame:
+    """F8: month-end sums with gap months filled with 0: (keys..., period, value).
+
+    ``whole_range``: months whose metric never parses still count (the KPI's last month).
+    """
     date = date or detect_semantic_column(df, "date")
-    metric = metric or detect_semantic_column(df, "revenue") or numeric_columns(df)[0]
-    return resample_sum(df, date, metric, "M", keys=keys)
+    metric = metric or default_metric(df)
+    return resample_sum(df, date, metric, "M", keys=keys, whole_range=whole_range)
 
 
 def mom_growth(monthly: DataFrame, keys=()) -> DataFrame:
@@ -87,7 +90,7 @@ def kpi_table(df: DataFrame, revenue=None, profit=None, sales=None, customer=Non
             rows.append(row(10 + i, f"Σ {c}", F.col(f"f{i}"), format_number(F.col(f"f{i}"))))
     out = rows_of(one, rows, ["position", "label", "value", "display", "delta", "direction"])
     if revenue and date:
-        g = mom_growth(monthly_trend(df, date, revenue))
+        g = mom_growth(monthly_trend(df, date, revenue, whole_range=True))
         txt = fixed(F.col("growth_pct"), 1, thousands=False, suffix="%")
         out = out.unionByName(g.select(F.lit(6).alias("position"), F.lit("MoM Growth").alias("label"),
                                        F.col("growth_pct").alias("value"), txt.alias("display"),
@@ -139,7 +142,7 @@ def regional_totals(df: DataFrame, region: str | None = None, metric: str | None
                     out_col: str = "total") -> DataFrame:
     """F11 + F12: every region's total, descending, with its share of the grand total (%)."""
     region = region or detect_semantic_column(df, "region")
-    metric = metric or detect_semantic_column(df, "revenue") or numeric_columns(df)[0]
+    metric = metric or default_metric(df)
     t = group_totals(df, region, metric, out_col)
     grand = one_row(t.agg(F.sum(F.col(out_col).cast("double")).alias("g")))["g"]
     return t.select(F.col(q(region)), F.col(out_col), (safe_div(F.col(out_col).cast("double"), grand) * 100).alias("share_pct"))

@@ -2,7 +2,7 @@
 
 Classification metrics come from the confusion counts, one shuffle of
 (actual, predicted) pairs with map-side partial counts. ROC/AUC use the
-bucketed running sums of ranking.py over distinct scores, so no task ever
+range-partitioned running sums of ranking.py over distinct scores, so no task ever
 holds all scores.
 """
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.aggs import one_row, rows_of
 from ..functions.ranking import cumulative
 from ..functions.scalars import round_scaled
+from ..session import stored
+
+
+MAX_MATRIX_CLASSES = 1000
 
 
 def _pairs(df, actual, predicted):
@@ -26,9 +30,15 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Counts over the sorted labels of ``actual`` x the same labels, zeros included."""
+    """Counts over the sorted labels of ``actual`` x the same labels, zeros included.
+
+    A matrix is for reading, so more than MAX_MATRIX_CLASSES classes are an error
+    (:func:`confusion_counts` has the observed pairs of any number).
+    """
     counts = confusion_counts(df, actual, predicted)
     labels = counts.agg(F.sort_array(F.collect_set("a")).alias("l"))  # one entry per class
+    many = F.assert_true(F.size("l") <= MAX_MATRIX_CLASSES, F.lit("too many classes for a matrix"))
+    labels = labels.select(F.when(many.isNull(), F.col("l")).alias("l"))
     grid = labels.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("p"))
     return (grid.join(counts, ["a", "p"], "left")
             .select(F.col("a").alias("actual"), F.col("p").alias("predicted"),
@@ -91,12 +101,18 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def _score_table(df, label, score):
-    """Distinct scores with positive/negative counts; positive = the larger label."""
-    pos_label = one_row(df.agg(F.max(F.col(label)).alias("m")))["m"]
+    """Distinct scores with positive/negative counts; positive = the larger label.
+
+    The source is scanned once: its (score, label) counts are written, and both the
+    label and the table come from them.
+    """
     d = df.select(F.col(label).alias("y"), F.col(score).cast("double").alias("s")).where(
         F.col("y").isNotNull() & F.col("s").isNotNull())
-    return (d.groupBy("s").agg(F.count_if(F.col("y") == pos_label).alias("pos"),
-                               F.count_if(F.col("y") != pos_label).alias("neg"))
+    counts = stored(d.groupBy("s", "y").agg(F.count(F.lit(1)).alias("n")), "scores")
+    pos_label = one_row(counts.agg(F.max("y").alias("m")))["m"]
+    positive = F.col("y") == pos_label
+    return (counts.groupBy("s").agg(F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("pos"),
+                                    F.sum(F.when(positive, 0).otherwise(F.col("n"))).alias("neg"))
             .withColumn("neg_s", -F.col("s")))
 
 

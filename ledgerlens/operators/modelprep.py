@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._cols import q
+from ..functions.aggs import is_missing
 from ..functions.ranking import cumulative
 from ..functions.schema import is_numeric_type
 
@@ -14,17 +15,18 @@ SEED = 42
 def problem_type(df: DataFrame, columns) -> DataFrame:
     """H1: (column, n_unique, all_integer, problem) for candidate targets.
 
-    Text -> classification; at most 10 distinct integer-valued numbers ->
+    Missing values (NULL, NaN) do not count. Text -> classification; at most 10 distinct integer-valued numbers ->
     classification; anything else -> regression.
     """
     rows = []
     for c in columns:
         dt = df.schema[c].dataType
+        present = F.when(~is_missing(df, c), F.col(q(c)))
         if not is_numeric_type(dt):
-            rows.append((c, F.count_distinct(F.col(q(c))), F.lit(None).cast("boolean"), True))
+            rows.append((c, F.count_distinct(present), F.lit(None).cast("boolean"), True))
         else:
-            x = F.col(q(c)).cast("double")
-            rows.append((c, F.count_distinct(F.col(q(c))),
+            x = present.cast("double")
+            rows.append((c, F.count_distinct(present),
                          F.coalesce(F.bool_and(F.when(x.isNotNull(), x == F.floor(x))), F.lit(True)), False))
     one = df.agg(*[e.alias(f"u{i}") for i, (_, e, _, _) in enumerate(rows)],
                  *[e.alias(f"i{i}") for i, (_, _, e, _) in enumerate(rows)])
@@ -49,7 +51,8 @@ def stratified_split(df: DataFrame, label: str | None, test_fraction: float = 0.
 
     The order is xxhash64(seed, row) then the row itself, a total order up to
     identical rows, so the split is exact and repeatable. Ranks come from the
-    bucketed running count (no class is ever sorted in one task).
+    range-partitioned running count (no class is ever sorted in one task). Rows with
+    a NULL label are a class of their own.
     """
     if not 0.0 < test_fraction < 1.0:
         raise ValueError("test_fraction must be in (0, 1)")

@@ -9,21 +9,25 @@ from ..functions._cols import q
 from ..functions.aggs import is_missing, modes, one_row, per_column_rows
 from ..functions.ranking import quantiles
 from ..functions.scalars import human_readable_size
-from ..functions.schema import (CATEGORICAL_MAX_UNIQUE, datetime_columns, numeric_columns,
-                                text_columns)
+from ..functions.schema import (CATEGORICAL_MAX_UNIQUE, categorical_columns, datetime_columns,
+                                numeric_columns, text_columns)
 from .quality import _stack, duplicate_count, missing_total
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, dtype, non_null, nulls, n_unique) in table order, one aggregate."""
+    """(column, dtype, non_null, nulls, n_unique) in table order.
+
+    Counts are one aggregate; distinct values are one grouping by (column,
+    digest of the value), collapsed map-side, so no row is expanded into a row of every column.
+    """
     cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        miss = is_missing(df, c)
-        aggs += [F.count_if(~miss).alias(f"_nn{i}"),
-                 F.count_distinct(F.when(~miss, F.col(q(c)))).alias(f"_u{i}")]
-    one = df.agg(*aggs)
-    out = _stack(one, cols, ["_nn{i}", "_rows", "_u{i}"], ["non_null", "rows", "n_unique"])
+    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count_if(~is_missing(df, c)).alias(f"_nn{i}") for i, c in enumerate(cols)]
+    counts = _stack(df.agg(*aggs), cols, ["_nn{i}", "_rows"], ["non_null", "rows"])
+    # xxhash64 normalises NaN and -0.0, so equal values have equal digests
+    cells = df.select(F.explode(F.array(*[F.when(~is_missing(df, c), F.struct(
+        F.lit(c).alias("column"), F.xxhash64(F.lit(1), F.col(q(c))).alias("h1"), F.xxhash64(F.lit(2), F.col(q(c))).alias("h2"))) for c in cols])).alias("x"))
+    uniques = cells.where("x is not null").select("x.*").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    out = counts.join(uniques, "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
     types = df.sparkSession.createDataFrame(
         [(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(cols)],
         "position int, column string, dtype string")
@@ -35,9 +39,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def overview(df: DataFrame, max_unique: int = CATEGORICAL_MAX_UNIQUE) -> DataFrame:
     """One row of rows, columns, family counts, missing cells and duplicate rows."""
-    texts = text_columns(df)
-    cat_expr = sum(((F.count_distinct(F.col(q(c))) <= max_unique).cast("int") for c in texts), F.lit(0))
-    one = df.agg(F.count(F.lit(1)).alias("rows"), cat_expr.alias("n_categorical"))
+    one = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("n_categorical", F.lit(len(categorical_columns(df, max_unique))))
     return one.select(
         F.col("rows").cast("bigint").alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"),
         F.lit(len(numeric_columns(df))).cast("bigint").alias("n_numeric"),
@@ -79,7 +81,7 @@ def preview(df: DataFrame, n: int = 10, order_by=None) -> DataFrame:
 def context_summary(df: DataFrame) -> DataFrame:
     """(column, count, unique, top) for every column; unique/top only for text columns."""
     texts = text_columns(df)
-    cnt = df.agg(*[F.count(F.col(q(c))).alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    cnt = df.agg(*[F.count_if(~is_missing(df, c)).alias(f"_c{i}") for i, c in enumerate(df.columns)])
     counts = _stack(cnt, df.columns, ["_c{i}"], ["count"])
     pos = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "position int, column string")
     out = counts.join(F.broadcast(pos), "column")
@@ -99,8 +101,7 @@ def describe_numeric(df: DataFrame, columns=None) -> DataFrame:
         x = F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double"))
         return [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"), F.stddev_samp(x).alias(f"_s{i}"),
                 F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    # count 1 + avg 2 + stddev 3 + min 1 + max 1 buffer fields per column
-    moments = per_column_rows(df, cols, aggs, 8,
+    moments = per_column_rows(df, cols, aggs,
                               lambda i, c: [F.lit(c)] + [F.col(f"{p}{i}") for p in ("_n", "_m", "_s", "_lo", "_hi")],
                               ["column", "count", "mean", "std", "min", "max"])
     qs = quantiles(df, cols, [0.25, 0.5, 0.75]).select("column", F.col("q0").alias("q25"),

@@ -27,7 +27,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     """(column, missing) for every column, in one aggregate."""
     out = per_column_rows(
         df, df.columns,
-        lambda i, c: [F.count(F.lit(1)).alias(f"_r{i}"), F.count_if(is_missing(df, c)).alias(f"_m{i}")], 2,
+        lambda i, c: [F.count(F.lit(1)).alias(f"_r{i}"), F.count_if(is_missing(df, c)).alias(f"_m{i}")],
         lambda i, c: [F.lit(c), F.col(f"_m{i}"), F.col(f"_r{i}")], ["column", "missing", "rows"])
     return out.select("column", F.col("missing").cast("bigint").alias("missing"), F.col("rows").cast("bigint").alias("rows"))
 
@@ -110,7 +110,7 @@ def outlier_counts(df: DataFrame, columns=None, fences: DataFrame | None = None)
         x = F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double"))
         return [F.count_if((x < fence[f"lower{i}"]) | (x > fence[f"upper{i}"])).alias(f"_o{i}")]
 
-    out = per_column_rows(df, cols, count, 1, lambda i, c: [F.lit(c), F.col(f"_o{i}")], ["column", "outliers"])
+    out = per_column_rows(df, cols, count, lambda i, c: [F.lit(c), F.col(f"_o{i}")], ["column", "outliers"])
     return out.where("outliers > 0").select("column", F.col("outliers").cast("bigint").alias("outliers"))
 
 

@@ -12,24 +12,10 @@ from ..functions.ranking import quantiles, unpivot_numeric
 from ..functions.schema import numeric_columns
 from ..functions.scalars import round_scaled
 
-# Above this many columns the pair expressions are split into several aggregates
-# so that generated code stays small.
-PAIR_BATCH = 40 * 39 // 2
-
-
 def _num(c):
     return F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double"))
 
 
-def _pair_r(a: str, b: str):
-    """Pearson r over rows where both are present; NULL for a constant side (no ANSI error)."""
-    x, y = _num(a), _num(b)
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    cov = F.covar_pop(xs, ys)
-    return F.try_divide(cov, F.stddev_pop(xs) * F.stddev_pop(ys))
-
-
 def correlation_long(df: DataFrame, columns=None, decimals: int | None = 2) -> DataFrame:
     """(a, b, i, j, r) for every ordered pair including the diagonal (see :func:`correlation_pairs`)."""
     half = correlation_pairs(df, columns, decimals)
@@ -38,87 +24,47 @@ def correlation_long(df: DataFrame, columns=None, decimals: int | None = 2) -> D
     return half.unionByName(mirror)
 
 
-# Whole-stage code generation is switched off for aggregates with more than
-# 100 buffer fields (spark.sql.codegen.maxFields): sums are packed into
-# aggregates of at most this many fields.
+# Up to this many buffer fields one aggregate holds all pairs and stays code-generated (spark.sql.codegen.maxFields).
 FIELDS_PER_AGG = 96
 
 
 def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) -> DataFrame:
     """(a, b, i, j, r) for the pairs i <= j: pairwise-complete Pearson r, NULL for a constant side.
 
-    A first aggregate reads each column's mean and missing count (one small
-    row, read by the driver because it shapes the plan). Values are centred on
-    those means so the moment sums stay well conditioned. Columns without
-    missing values share per-column sums and need one product sum per pair;
-    only pairs touching a column with gaps get their own masked sums. All
-    sums are packed into as few codegen'd global aggregates as the field
-    limit allows (one pass for a dozen complete columns).
+    Values are centred on their column's mean (a scalar subquery) so the moment
+    sums stay well conditioned. One further scan gathers the sums of all pairs: in one
+    aggregate's fields while these are few, else grouped by pair, with partial
+    sums in the tasks. The number of scans does not depend on the columns.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    spark = df.sparkSession
     if not cols:
-        return spark.createDataFrame([], "a string, b string, i int, j int, r double")
-    x = [_num(c) for c in cols]
-    head = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
-                  *[F.count(v).alias(f"c{i}") for i, v in enumerate(x)]).first()
-    rows_n = head["rows"]
-    means = [head[f"m{i}"] if head[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
-    complete = [head[f"c{i}"] == rows_n for i in range(len(cols))]
-    u = [x[i] - F.lit(float(means[i])) for i in range(len(cols))]
-    col_fields = {}
-    for i in range(len(cols)):
-        if complete[i]:
-            col_fields[f"s{i}"] = F.sum(u[i])
-            col_fields[f"q{i}"] = F.sum(u[i] * u[i])
-    # each pair: the aggregate fields it needs and how its six statistics read them
-    pair_specs = []
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            if complete[i] and complete[j]:
-                need = {f"s{i}": col_fields[f"s{i}"], f"q{i}": col_fields[f"q{i}"],
-                        f"s{j}": col_fields[f"s{j}"], f"q{j}": col_fields[f"q{j}"]}
-                if i != j:
-                    need[f"p{i}_{j}"] = F.sum(u[i] * u[j])
-                st = dict(n=None, sa=f"s{i}", sb=f"s{j}", saa=f"q{i}", sbb=f"q{j}", sab=f"q{i}" if i == j else f"p{i}_{j}")
-            else:
-                both = x[i].isNotNull() & x[j].isNotNull()
-                ua, ub = F.when(both, u[i]), F.when(both, u[j])
-                t = f"{i}_{j}"
-                need = {f"N{t}": F.count_if(both), f"A{t}": F.sum(ua), f"B{t}": F.sum(ub),
-                        f"AA{t}": F.sum(ua * ua), f"BB{t}": F.sum(ub * ub), f"AB{t}": F.sum(ua * ub)}
-                st = dict(n=f"N{t}", sa=f"A{t}", sb=f"B{t}", saa=f"AA{t}", sbb=f"BB{t}", sab=f"AB{t}")
-            pair_specs.append(((i, j), need, st))
-    # pack whole pairs into aggregates of at most FIELDS_PER_AGG fields; each is unpivoted on its own row
-    chunks, cur, cur_fields = [], [], {}
-    for spec in pair_specs:
-        merged = {**cur_fields, **spec[1]}
-        if cur and len(merged) > FIELDS_PER_AGG:
-            chunks.append((cur, cur_fields))
-            cur, merged = [], dict(spec[1])
-        cur.append(spec)
-        cur_fields = merged
-    if cur:
-        chunks.append((cur, cur_fields))
-    out = None
-    for specs, flds in chunks:
-        one = df.agg(*[e.alias(nm) for nm, e in flds.items()])
-
-        def get(st, k):
-            return F.col(st[k]).cast("double") if st[k] is not None else F.lit(float(rows_n))
-        rows = [[F.lit(cols[i]), F.lit(cols[j]), F.lit(i), F.lit(j)] + [get(st, k) for k in ("n", "sa", "sb", "saa", "sbb", "sab")]
-                for (i, j), _, st in specs]
-        part = rows_of(one, rows, ["a", "b", "i", "j", "n", "sa", "sb", "saa", "sbb", "sab"])
-        out = part if out is None else out.unionByName(part)
+        return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
+    means = one_row(df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]))
+    u = df.select(*[(_num(c) - means[f"m{i}"]).alias(f"u{i}") for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+
+    def sums(x, y):
+        both = x.isNotNull() & y.isNotNull()
+        a, b = F.when(both, x), F.when(both, y)
+        return {"n": F.count(a + b).cast("double"), "sa": F.sum(a), "sb": F.sum(b), "saa": F.sum(a * a), "sbb": F.sum(b * b), "sab": F.sum(a * b)}
+
+    names = ["i", "j", "n", "sa", "sb", "saa", "sbb", "sab"]
+    if 6 * len(pairs) <= FIELDS_PER_AGG:
+        one = u.agg(*[e.alias(f"{k}{i}_{j}") for i, j in pairs for k, e in sums(F.col(f"u{i}"), F.col(f"u{j}")).items()])
+        out = rows_of(one, [[F.lit(i), F.lit(j)] + [F.col(f"{k}{i}_{j}") for k in names[2:]] for i, j in pairs], names)
+    else:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"u{i}").alias("x"), F.col(f"u{j}").alias("y")) for i, j in pairs])
+        long = u.select(F.explode(cells).alias("p")).select("p.*")
+        out = long.groupBy("i", "j").agg(*[e.alias(k) for k, e in sums(F.col("x"), F.col("y")).items()])
+    labels = F.array(*[F.lit(c) for c in cols])
+    out = out.select(labels[F.col("i")].alias("a"), labels[F.col("j")].alias("b"), *names)
     n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
     vx = n * F.col("saa") - sa * sa
     vy = n * F.col("sbb") - sb * sb
     r = F.when((vx > 0) & (vy > 0), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (n * F.col("sab") - sa * sb) / F.sqrt(vx * vy))))
     r = F.when(F.col("i") == F.col("j"), F.when(vx > 0, F.lit(1.0))).otherwise(r)
     out = out.select("a", "b", "i", "j", r.alias("r"))
-    if decimals is not None:
-        out = out.withColumn("r", round_scaled("r", decimals))
-    return out
+    return out if decimals is None else out.withColumn("r", round_scaled("r", decimals))
 
 
 def strongest_pair(corr_long: DataFrame) -> DataFrame:
@@ -173,8 +119,7 @@ def skewness(df: DataFrame, columns=None) -> DataFrame:
         adj = (F.when(n < 3, F.lit(None).cast("double")).when(s == 0, F.lit(0.0))
                .otherwise(g * F.sqrt(n * (n - 1)) / (n - 2)))
         return [F.lit(c), adj]
-    # count 1 + skewness 4 + stddev 3 buffer fields per column
-    out = per_column_rows(df, cols, aggs, 8, row, ["column", "skew"])
+    out = per_column_rows(df, cols, aggs, row, ["column", "skew"])
     label = F.when(F.abs("skew") < 0.5, "approximately symmetric").when(F.col("skew").isNotNull(), "skewed")
     return out.withColumn("label", label)
 

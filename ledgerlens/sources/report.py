@@ -27,7 +27,7 @@ def write_report(tables: dict, out_dir: str, fmt: str = "parquet") -> dict:
     paths = {}
     for name, t in tables.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        w = t.coalesce(1).write.mode("overwrite")
+        w = t.repartition(1).write.mode("overwrite")
         (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
         paths[name] = path
     return paths

@@ -22,19 +22,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A1 + A2: header row, inferred types; UTF-8 first, Latin-1 when bytes do not decode.
+# Cell texts that mean a missing value when a CSV file is read.
+MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                  "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+_INTEGER, _DECIMAL = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-    One distributed count of lines that are not valid UTF-8 decides whether
-    the file is re-read as ISO-8859-1.
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A1 + A2: header row, typed columns; UTF-8 first, Latin-1 when bytes do not decode.
+
+    Quoted cells may hold doubled quotes and line breaks (``multi_line=False`` gives
+    the latter up so that large files split). The usual missing-value tokens
+    become NULL; a row with more cells than the header raises, a shorter one is filled with
+    NULL. A column is whole numbers, numbers or true/false when all its values are, else text;
+    one aggregate decides that for all columns.
     """
-    reader = spark.read.option("header", True).option("inferSchema", True).option("mode", "PERMISSIVE")
-    if encoding:
-        return clean_headers(reader.option("encoding", encoding).csv(path))
-    raw = spark.read.text(path)
-    bad = raw.select(F.count_if(~F.is_valid_utf8("value")).alias("n")).first()["n"]
-    enc = "ISO-8859-1" if bad else "UTF-8"
-    return clean_headers(reader.option("encoding", enc).csv(path))
+    if encoding is None:
+        bad = spark.read.text(path).select(F.count_if(~F.is_valid_utf8("value")).alias("n")).first()["n"]
+        encoding = "ISO-8859-1" if bad else "UTF-8"
+    reader = (spark.read.option("encoding", encoding).option("escape", '"').option("multiLine", multi_line)
+              .option("mode", "PERMISSIVE").option("maxCharsPerColumn", -1))
+    head = reader.option("header", False).csv(path).first()
+    if head is None:
+        raise ValueError("the file is empty")
+    names = [str(c) if c is not None else f"Unnamed: {i}" for i, c in enumerate(head)]
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
+    raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    cells = [F.when(~F.col(f"_c{i}").isin(*MISSING_TOKENS), F.col(f"_c{i}")) for i in range(len(names))]
+    text = raw.select(*[c.alias(f"_c{i}") for i, c in enumerate(cells)], F.col(f"_c{len(names)}").alias("_more"))
+    kinds = [F.count("_more").alias("more")]
+    for i in range(len(names)):
+        c = F.col(f"_c{i}")
+        kinds += [F.count(c).alias(f"n{i}"), F.count_if(c.rlike(_INTEGER) & c.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+                  F.count_if(c.rlike(_DECIMAL)).alias(f"d{i}"), F.count_if(F.lower(c).isin("true", "false")).alias(f"b{i}")]
+    seen = text.agg(*kinds).first()
+    if seen["more"]:
+        raise ValueError(f"{seen['more']} rows have more cells than the header")
+
+    def typed(i):
+        n = seen[f"n{i}"]
+        kind = ("double" if n == 0 else "bigint" if seen[f"i{i}"] == n else "double" if seen[f"d{i}"] == n
+                else "boolean" if seen[f"b{i}"] == n else None)
+        c = F.col(f"_c{i}")
+        return (F.trim(c).cast(kind) if kind else c).alias(f"_c{i}")
+
+    return clean_headers(text.select(*[typed(i) for i in range(len(names))]).toDF(*names))
 
 
 def read_dataset(spark: SparkSession, path: str, coerce_dates: bool = True) -> DataFrame:
@@ -101,7 +133,9 @@ def coerce_date_columns(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
-def sample_catalog(sf_dir: str) -> dict[str, str]:
-    """Name -> path for the bundled tables."""
-    return {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TEST_TABLES
-            if os.path.exists(f"{sf_dir.rstrip('/')}/{t}.parquet")}
+def sample_catalog(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Name -> path for the bundled tables that the session's file system holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = {f.getPath().getName() for f in files.listStatus(folder)}
+    return {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TEST_TABLES if f"{t}.parquet" in held}
