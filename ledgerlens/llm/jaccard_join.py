@@ -11,8 +11,10 @@ sketch of shingle frequencies expects it to match. Candidates are verified
 exactly on the texts.
 
 Equal sets collapse to one representative first. Rows that meet in a signature are checked
-against its smallest member, and only components that this leaves apart are compared further,
-so a group of near copies costs one check a member and signature, and no link is lost.
+against its most central member (the one that meets most others), and only components that this
+leaves apart are compared further, so a group of near copies costs about one check a member and
+signature, and no link is lost. A parity sketch of every set rules pairs out before their texts
+are fetched: the number of bits in which two sketches differ never exceeds the sets' difference.
 """
 from __future__ import annotations
 
@@ -36,6 +38,8 @@ SLACK = 0.2
 DELETED = 3
 SKETCH = 1 << 18
 SKETCH_PART = 1 << 12
+# Bits of a set's parity sketch, held in words of 64.
+PARITY = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,12 +203,21 @@ def _starts(sorted_owner: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(count) - count
 
 
+def parities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per set PARITY bits as words: bit b is set when an odd number of its shingles hash to b."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = owner * PARITY + (mix(hashes + MIX) % np.uint64(PARITY)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sizes) * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sizes), PARITY), axis=1, bitorder="little").view(np.int64)
+
+
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, f1, f2) per document; and per task the sketch of shingle frequencies in parts (part, counts)."""
+    """(doc_id, n, f1, f2, parity) per document; and per task the sketch of shingle frequencies in parts (part, counts)."""
     def run(batches):
         sketch = np.zeros(SKETCH, dtype=np.int64)
         known: set = set()
-        names = ["doc_id", "n", "f1", "f2", "part", "counts"]
+        names = ["doc_id", "n", "f1", "f2", "parity", "part", "counts"]
+        words = pa.list_(pa.int64())
         for b in slices(batches, "text"):
             x, sizes = shingle_hashes(utf8(b.column("text")))
             starts = np.cumsum(sizes) - sizes
@@ -213,6 +226,8 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
             if len(some):
                 f1[some] = np.add.reduceat(x, starts[some])
                 f2[some] = np.add.reduceat(mix(x * MIX), starts[some])
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (PARITY // 64)),
+                                              pa.array(parities(x, sizes).reshape(-1)))
             # equal sets of a task count once
             fresh = np.zeros(len(sizes), dtype=bool)
             for i in some:
@@ -226,15 +241,15 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
             sketch += np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                [b.column("doc_id"), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), parity,
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = range(0, SKETCH, SKETCH_PART)
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64())] * 4 + [pa.array(range(n), pa.int32()), pa.array([sketch[i:i + SKETCH_PART].tobytes() for i in parts], pa.binary())],
+            [pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, words), pa.array(range(n), pa.int32()), pa.array([sketch[i:i + SKETCH_PART].tobytes() for i in parts], pa.binary())],
             names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, parity array<long>, part int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -295,12 +310,18 @@ def _verify(batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([a_ids, b_ids, pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold."""
-    na = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    nb = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    fit = stored(pairs.join(na, "a").join(nb, "b")
-                 .where(f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)").select("a", "b"), "jaccard-pairs")
+def _possible(na, pa_, nb, pb):
+    """Whether two sets can reach the threshold, from their sizes and parity sketches."""
+    differ = sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])) for i in range(PARITY // 64)), F.lit(0))
+    return ((DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((DEN + NUM) * differ <= (DEN - NUM) * (na + nb)))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, features: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts reach the threshold; texts are fetched for possible pairs only."""
+    fa = features.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    fb = features.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    fit = stored(pairs.join(fa, "a").join(fb, "b").where(_possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b"),
+                 "jaccard-pairs")
     ids = fit.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi"), "jaccard-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -309,6 +330,27 @@ def _links(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_verify, "a long, b long, linked boolean").where("linked").select("a", "b"), "jaccard-links")
 
 
+def _placed(met: DataFrame, groups: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of signatures that hold several components: those outside the signature's largest one, and all."""
+    placed = met.join(groups, met.doc_id == groups.node, "left").select(
+        "key", "doc_id", "role", "degree", F.coalesce("component", "doc_id").alias("component"))
+    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = (per.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+            .where("parts > 1").select("key", F.col("main.component").alias("main")))
+    members = stored(placed.join(main, "key").join(features, "doc_id"), "jaccard-open")
+    return members.where("component <> main"), members
+
+
+def _apart(few: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs of different components that meet in a signature, one indexed and one probing, and may reach the threshold."""
+    a = few.select("key", F.col("doc_id").alias("a"), F.col("role").alias("ra"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    b = rest.select("key", F.col("doc_id").alias("b"), F.col("role").alias("rb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    roles = F.expr("(ra & 1 > 0 and rb & 2 > 0) or (ra & 2 > 0 and rb & 1 > 0)")
+    possible = _possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
+    return (a.join(b, "key").where((F.col("ca") != F.col("cb")) & roles & possible)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large-star and small-star rounds."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -340,40 +382,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = stored(shingle_rows(named), "jaccard-sets")
-    sets = rows.where("part is null").select("doc_id", "n", "f1", "f2")
+    sets = rows.where("part is null").select("doc_id", "n", "f1", "f2", "parity")
     sketch = spark.sparkContext.broadcast(_sketch(rows))  # SKETCH numbers
     # equal sets: one representative
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    reps = sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.any_value("parity").alias("parity"))
     equal = stored(sets.where("n > 0 and doc_id is not null").join(reps.where("rows > 1"), ["n", "f1", "f2"]).select("doc_id", "rep"), "jaccard-equal")
-    sizes = reps.select(F.col("rep").alias("doc_id"), "n")
+    features = stored(reps.select(F.col("rep").alias("doc_id"), "n", "parity"), "jaccard-features")
     # signatures met by an indexed set and a probing one
     by_key = Window.partitionBy("key")
-    met = (signature_rows(named, sketch).repartition("key")
-           .withColumn("hub", F.min("doc_id").over(by_key)).withColumn("far", F.max("doc_id").over(by_key))
-           .withColumn("roles", F.bit_or("role").over(by_key)).where("hub < far and roles = 3"))
-    met = met.select("key", "doc_id", "role")
+    raw = (signature_rows(named, sketch).repartition("key")
+           .withColumn("first", F.min("doc_id").over(by_key)).withColumn("last", F.max("doc_id").over(by_key))
+           .withColumn("roles", F.bit_or("role").over(by_key)).where("first < last and roles = 3"))
     # members by their representatives; a key that only joins equal sets is done
     member = equal.where("doc_id <> rep").select("doc_id", "rep").distinct()
-    met = stored(met.join(member, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id"), "role"), "jaccard-met")
-    met = met.groupBy("key", "doc_id").agg(F.bit_or("role").alias("role"))
-    hubs = met.groupBy("key").agg(F.min("doc_id").alias("hub"))
-    star = met.join(hubs, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _links(star, named, sizes)
-    groups = components(links)
-    # what the stars leave apart: members of a key in different components, tested against each other
-    placed = stored(met.join(groups, met.doc_id == groups.node, "left")
-                    .select("key", "doc_id", "role", F.coalesce("component", "doc_id").alias("component")), "jaccard-placed")
-    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
-    main = per.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = placed.join(main.select("key", F.col("main.component").alias("main")), "key")
-    few = open_.where("component <> main").select("key", F.col("doc_id").alias("a"), F.col("role").alias("ra"), F.col("component").alias("ca"))
-    rest = open_.select("key", F.col("doc_id").alias("b"), F.col("role").alias("rb"), F.col("component").alias("cb"), "main")
-    apart = (few.join(rest, "key").where("ca <> cb and (cb = main or a < b)")
-             .where("(ra & 1 > 0 and rb & 2 > 0) or (ra & 2 > 0 and rb & 1 > 0)")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = _links(apart.join(star, ["a", "b"], "left_anti"), named, sizes)
+    raw = stored(raw.select("key", "doc_id", "role").join(member, "doc_id", "left")
+                 .groupBy("key", F.coalesce("rep", "doc_id").alias("doc_id")).agg(F.bit_or("role").alias("role")), "jaccard-raw")
+    several = raw.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = raw.join(several, "key")
+    degrees = met.groupBy("doc_id").agg(F.sum("members").alias("degree"))
+    met = stored(met.drop("members").join(degrees, "doc_id"), "jaccard-met")
+    central = F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("neg")))
+    # first against the most central member of each signature
+    hubs = met.groupBy("key").agg((-central["neg"]).alias("hub"))
+    star = (met.join(hubs, "key").where("doc_id <> hub")
+            .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
+    links = _links(star, named, features)
+    # then what this leaves apart against the most central member of every other component of the signature
+    few, members = _placed(met, components(links), features)
+    heads = members.groupBy("key", "component").agg((-central["neg"]).alias("doc_id"))
+    links = links.unionByName(_links(_apart(few, members.join(heads, ["key", "component", "doc_id"], "left_semi")), named, features))
+    # and at last every pair of members that are still in different components
+    few, members = _placed(met, components(links), features)
+    links = links.unionByName(_links(_apart(few, members), named, features))
     shared = equal.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = components(links.unionByName(more).unionByName(shared))
+    final = components(links.unionByName(shared))
     return (sets.join(final, sets.doc_id == final.node, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
