@@ -104,13 +104,15 @@ def outlier_counts(df: DataFrame, columns=None, fences: DataFrame | None = None)
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, outliers bigint")
-    fence = _fence_row(iqr_fences(df, cols) if fences is None else fences, cols)
+    # named once, so that the subquery is planned once for all columns
+    fence = _fence_row(iqr_fences(df, cols) if fences is None else fences, cols).alias("_f")
+    fenced = df.select(*[F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double")).alias(f"_x{i}") for i, c in enumerate(cols)], fence)
 
     def count(i, c):
-        x = F.nanvl(F.col(q(c)).cast("double"), F.lit(None).cast("double"))
-        return [F.count_if((x < fence[f"lower{i}"]) | (x > fence[f"upper{i}"])).alias(f"_o{i}")]
+        x = F.col(f"_x{i}")
+        return [F.count_if((x < F.col(f"_f.lower{i}")) | (x > F.col(f"_f.upper{i}"))).alias(f"_o{i}")]
 
-    out = per_column_rows(df, cols, count, lambda i, c: [F.lit(c), F.col(f"_o{i}")], ["column", "outliers"])
+    out = per_column_rows(fenced, cols, count, lambda i, c: [F.lit(c), F.col(f"_o{i}")], ["column", "outliers"])
     return out.where("outliers > 0").select("column", F.col("outliers").cast("bigint").alias("outliers"))
 
 
@@ -157,12 +159,11 @@ def fill_missing(df: DataFrame, strategy: str = "mean") -> DataFrame:
             else modes(df, nums, "double").withColumnRenamed("mode", "v")
         const = per_col.agg(*[F.max(F.when(F.col("column") == c, F.col("v"))).alias(f"s{i}")
                               for i, c in enumerate(nums)])
-    sub = one_row(const) if const is not None else None
-    tmode = None
+    filled = df if const is None else df.select("*", one_row(const).alias("_fills"))
     if texts:
         tm = modes(df, texts, "string")
-        tmode = one_row(tm.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"t{i}")
-                                 for i, c in enumerate(texts)]))
+        filled = filled.select("*", one_row(tm.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"t{i}")
+                                                     for i, c in enumerate(texts)])).alias("_modes"))
     out = []
     for f in df.schema.fields:
         c, col = f.name, F.col(q(f.name))
@@ -172,7 +173,7 @@ def fill_missing(df: DataFrame, strategy: str = "mean") -> DataFrame:
                 fill = F.lit(0).cast(f.dataType)
                 out.append(F.when(missing, fill).otherwise(col).alias(c))
                 continue
-            v = sub[f"s{nums.index(c)}"]
+            v = F.col(f"_fills.s{nums.index(c)}")
             if strategy == "mode":
                 v = F.coalesce(v, F.lit(0.0))
             if _integral(f.dataType) and strategy in ("mean", "median"):
@@ -180,11 +181,11 @@ def fill_missing(df: DataFrame, strategy: str = "mean") -> DataFrame:
             else:
                 out.append(F.when(missing, v.cast(f.dataType)).otherwise(col).alias(c))
         elif c in texts:
-            v = F.coalesce(tmode[f"t{texts.index(c)}"], F.lit("Unknown"))
+            v = F.coalesce(F.col(f"_modes.t{texts.index(c)}"), F.lit("Unknown"))
             out.append(F.when(missing, v).otherwise(col).alias(c))
         else:
             out.append(col)
-    return df.select(*out)
+    return filled.select(*out)
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -200,18 +201,18 @@ def winsorise(df: DataFrame, columns) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    sub = _fence_row(iqr_fences(df, columns), columns)
+    fenced = df.select("*", _fence_row(iqr_fences(df, columns), columns).alias("_fence"))
     out = []
     for c in df.columns:
         if c in columns:
             i = columns.index(c)
-            lo, hi = sub[f"lower{i}"], sub[f"upper{i}"]
+            lo, hi = F.col(f"_fence.lower{i}"), F.col(f"_fence.upper{i}")
             x = F.col(q(c))
             clipped = F.when(lo.isNull(), x).otherwise(clip(x, lo, hi))
             out.append(clipped.cast(df.schema[c].dataType).alias(c))
         else:
             out.append(F.col(q(c)))
-    return df.select(*out)
+    return fenced.select(*out)
 
 
 @dataclass

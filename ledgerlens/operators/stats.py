@@ -40,7 +40,9 @@ def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) ->
     if not cols:
         return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
     means = one_row(df.agg(*[F.avg(_num(c)).alias(f"m{i}") for i, c in enumerate(cols)]))
-    u = df.select(*[(_num(c) - means[f"m{i}"]).alias(f"u{i}") for i, c in enumerate(cols)])
+    # the subquery is named once, so that it is planned once
+    named = df.select(*[_num(c).alias(f"x{i}") for i, c in enumerate(cols)], means.alias("m"))
+    u = named.select(*[(F.col(f"x{i}") - F.col(f"m.m{i}")).alias(f"u{i}") for i in range(len(cols))])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
 
     def sums(x, y):
@@ -161,9 +163,17 @@ def ols_by_group(df: DataFrame, x: str, y: str, group: str | None = None) -> Dat
         F.regr_intercept(ys, xs).alias("intercept"), F.regr_r2(ys, xs).alias("r2"))
 
 
-def scatter_matrix(df: DataFrame, columns=None, max_columns: int = 5, default_columns: int = 4) -> DataFrame:
-    """OLS summary and r for every pair i<j among up to 5 numeric columns (default first 4)."""
+def scatter_matrix(df: DataFrame, columns=None, max_columns: int = 5, default_columns: int = 4, group: str | None = None) -> DataFrame:
+    """OLS summary and r for every pair i<j among up to 5 numeric columns (default first 4), by colour group if given."""
     cols = list(columns)[:max_columns] if columns else numeric_columns(df)[:default_columns]
+    if group:
+        pairs = list(combinations(range(len(cols)), 2))
+        cells = F.array(*[F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), _num(cols[i]).alias("a"), _num(cols[j]).alias("b"))
+                          for i, j in pairs])
+        long = df.where(F.col(q(group)).isNotNull()).select(F.col(q(group)).alias(group), F.explode(cells).alias("p")).select(group, "p.*")
+        return long.groupBy(group, "x", "y").agg(
+            F.regr_count("b", "a").cast("bigint").alias("n"), F.regr_slope("b", "a").alias("slope"),
+            F.regr_intercept("b", "a").alias("intercept"), F.regr_r2("b", "a").alias("r2"))
     aggs, names = [], []
     for k, (i, j) in enumerate(combinations(range(len(cols)), 2)):
         xs, ys = _num(cols[i]), _num(cols[j])

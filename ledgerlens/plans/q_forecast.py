@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round_scaled
 from ..operators import forecast as FC
-from ..operators.periods import interpolate, resample_sum
+from ..operators.periods import interpolate, resample_mean, resample_sum
 from ..sources import views as V
 from ..sources.tables import table
 from . import fixtures_sql as X
+from .q_kpi import JUNE_GAP, june_gap
 from .registry import finalize, register
 
-NO_JUNE = X.with_views(X.SALES) + ", gap AS (SELECT * FROM sales_view WHERE month(Date) <> 6)"
 
 KEYED_MONTHS = """bounds AS (SELECT {k}, MIN(last_day({d})) AS lo, MAX(last_day({d})) AS hi FROM {src}
         WHERE {d} IS NOT NULL AND {v} IS NOT NULL AND {k} IS NOT NULL GROUP BY {k}),
@@ -27,11 +27,11 @@ def _series_by_region(spark, sf):
     return resample_sum(s, "Date", "Revenue", "M", keys=["Region"])
 
 
-@register("i1_resample_monthly_by_region", NO_JUNE + ", " + KEYED_MONTHS.format(
+@register("i1_resample_monthly_by_region", JUNE_GAP + ", " + KEYED_MONTHS.format(
     k="Region", d="Date", v="Revenue", src="gap", fn="SUM", fill="COALESCE(agg.value, 0)")
     + " SELECT Region, period, CAST(value AS DOUBLE) AS value FROM series")
 def i1m(spark, sf):
-    s = V.sales_lines(spark, sf, ["Region", "Date", "Revenue"]).where(F.month("Date") != 6)
+    s = june_gap(spark, sf, ["Region", "Date", "Revenue"])
     return finalize(resample_sum(s, "Date", "Revenue", "M", keys=["Region"]))
 
 
@@ -56,7 +56,7 @@ def i1d(spark, sf):
     return finalize(resample_sum(table(spark, sf, "events"), "ts", "value", "D", keys=["event_type"]), 6)
 
 
-@register("i2_interpolate", NO_JUNE + ", " + KEYED_MONTHS.format(
+@register("i2_interpolate", JUNE_GAP + ", " + KEYED_MONTHS.format(
     k="Region", d="Date", v="Revenue", src="gap", fn="SUM", fill="CAST(agg.value AS DOUBLE)") + """,
 idx AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY Region ORDER BY period) AS i FROM series),
 nb AS (SELECT *,
@@ -68,15 +68,57 @@ nb AS (SELECT *,
 SELECT Region, period, CAST(CASE WHEN value IS NOT NULL THEN value
   WHEN nv IS NOT NULL AND pv IS NOT NULL THEN pv + (nv - pv) * (i - pi) / (ni - pi) ELSE pv END AS DOUBLE) AS value FROM nb""")
 def i2(spark, sf):
-    s = V.sales_lines(spark, sf, ["Region", "Date", "Revenue"]).where(F.month("Date") != 6)
+    s = june_gap(spark, sf, ["Region", "Date", "Revenue"])
     m = resample_sum(s, "Date", "Revenue", "M", keys=["Region"], empty_as_null=True)
     m = m.withColumn("value", F.col("value").cast("double"))
     return interpolate(m, "value", "period", keys=["Region"]).select("Region", "period", "value")
 
 
-@register("i3_arima")
+@register("i2_resample_mean", X.with_views(X.SALES) + ", " + KEYED_MONTHS.format(
+    k="Region", d="Date", v="Revenue", src="sales_view", fn="AVG", fill="CAST(agg.value AS DOUBLE)")
+    + " SELECT Region, period, ROUND(value, 2) AS value FROM series")
+def i2m(spark, sf):
+    s = V.sales_lines(spark, sf, ["Region", "Date", "Revenue"]).withColumn("Revenue", F.col("Revenue").cast("double"))
+    return finalize(resample_mean(s, "Date", "Revenue", "M", keys=["Region"]), 2)
+
+
+def _grid_sql(name, points):
+    """Recursion over the differences for every (Region, phi, theta) of ``points``; <name> is the best point."""
+    return f"""{name}_e(Region, phi, theta, j, e, sse) AS (
+  SELECT Region, phi, theta, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM ({points}) WHERE abs(phi) <= 0.95 AND abs(theta) <= 0.95
+  UNION ALL
+  SELECT g.Region, g.phi, g.theta, g.j + 1, w.w - g.phi * w.w0 - g.theta * g.e,
+         g.sse + (w.w - g.phi * w.w0 - g.theta * g.e) * (w.w - g.phi * w.w0 - g.theta * g.e)
+  FROM {name}_e g JOIN w ON w.Region = g.Region AND w.j = g.j + 1),
+{name} AS (SELECT * FROM (SELECT g.*, m.m, ROW_NUMBER() OVER (PARTITION BY g.Region ORDER BY sse, abs(phi) + abs(theta), phi, theta) AS rk
+  FROM {name}_e g JOIN m ON m.Region = g.Region AND g.j = m.m - 1) WHERE rk = 1)"""
+
+
+ARIMA_SQL = (X.with_views(X.SALES).replace("WITH ", "WITH RECURSIVE ", 1) + ", " + KEYED_MONTHS.format(
+    k="Region", d="Date", v="Revenue", src="sales_view", fn="SUM", fill="COALESCE(agg.value, 0)") + """,
+y AS (SELECT Region, period, CAST(value AS DOUBLE) AS v, ROW_NUMBER() OVER (PARTITION BY Region ORDER BY period) - 1 AS t FROM series),
+d AS (SELECT Region, t - 1 AS j, v - LAG(v) OVER (PARTITION BY Region ORDER BY t) AS w FROM y),
+w AS (SELECT Region, j, w, LAG(w) OVER (PARTITION BY Region ORDER BY j) AS w0 FROM d WHERE j >= 0),
+m AS (SELECT Region, COUNT(*) AS m, arg_max(w, j) AS w_last FROM w GROUP BY Region HAVING COUNT(*) >= 4),
+last AS (SELECT Region, MAX(period) AS period, arg_max(v, t) AS y_last FROM y GROUP BY Region),
+""" + _grid_sql("coarse", "SELECT Region, ROUND(i * 0.05, 4) AS phi, ROUND(k * 0.05, 4) AS theta FROM m, (SELECT unnest(range(-19, 20)) AS i), (SELECT unnest(range(-19, 20)) AS k)") + ",\n"
+    + _grid_sql("fine", "SELECT Region, ROUND(phi + i * 0.005, 4) AS phi, ROUND(theta + k * 0.005, 4) AS theta FROM coarse, (SELECT unnest(range(-10, 11)) AS i), (SELECT unnest(range(-10, 11)) AS k)") + """,
+p AS (SELECT f.Region, f.phi, f.theta, f.e, f.sse / GREATEST(1, f.m - 3) AS sigma2, l.period AS last, l.y_last,
+        f.phi * m.w_last + f.theta * f.e AS w1 FROM fine f JOIN m USING (Region) JOIN last l USING (Region)),
+steps AS (SELECT p.*, h, k, (SELECT SUM(pow(phi, x)) FROM (SELECT unnest(range(0, 12)) AS x) WHERE x < k) AS geo
+          FROM p, (SELECT unnest(range(1, 13)) AS h), (SELECT unnest(range(0, 13)) AS k) WHERE k <= h),
+psi AS (SELECT Region, h, SUM(CASE WHEN k < h THEN pow(1 + (phi + theta) * COALESCE(geo, 0), 2) END) AS s,
+          MAX(CASE WHEN k = h THEN geo END) AS geo FROM steps GROUP BY Region, h)
+SELECT p.Region, CAST(last_day(p.last + to_months(CAST(h AS INTEGER))) AS DATE) AS period, ROUND(y_last + w1 * geo, 2) AS forecast,
+  ROUND(y_last + w1 * geo - 1.959964 * sqrt(sigma2 * s), 2) AS lower, ROUND(y_last + w1 * geo + 1.959964 * sqrt(sigma2 * s), 2) AS upper,
+  phi, theta, ROUND(sqrt(sigma2), 2) AS sigma FROM p JOIN psi USING (Region)""")
+
+
+@register("i3_arima", ARIMA_SQL)
 def i3(spark, sf):
-    return FC.arima111_forecast(_series_by_region(spark, sf), 12, "M", keys=["Region"])
+    f = FC.arima111_forecast(_series_by_region(spark, sf), 12, "M", keys=["Region"])
+    return f.select("Region", "period", *[round_scaled(c, 2).alias(c) for c in ("forecast", "lower", "upper")], "phi", "theta",
+                    round_scaled(F.sqrt("sigma2"), 2).alias("sigma"))
 
 
 SEASONAL = X.with_views(X.SALES) + ", " + KEYED_MONTHS.format(

@@ -144,6 +144,14 @@ def c13(spark, sf):
 PHONE_CANDIDATE = r"[+(]?\d[\d ().\-]{5,}\d"
 
 
+@register("c13_email_totals", X.with_views(X.TOKENS) + """
+SELECT COUNT(*) FILTER (WHERE regexp_matches(token, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS valid,
+       COUNT(*) FILTER (WHERE NOT regexp_matches(token, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')) AS invalid FROM tokens""")
+def c13t(spark, sf):
+    """Valid and invalid values over all tokens of all documents."""
+    return V.tokens_view(spark, sf).agg(F.count_if(S.is_email("token")).alias("valid"), F.count_if(~S.is_email("token")).alias("invalid"))
+
+
 @register("c14_phone_shape", f"""
 WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE_CANDIDATE.replace(chr(92), chr(92))}')) AS candidate
            FROM documents)

@@ -98,3 +98,24 @@ SCATTER_COLS = ["UnitPrice", "Quantity", "Discount", "Revenue"]
               for i, a in enumerate(SCATTER_COLS) for b in SCATTER_COLS[i + 1:]))
 def e9(spark, sf):
     return finalize(ST.scatter_matrix(V.sales_lines(spark, sf, SCATTER_COLS), SCATTER_COLS), 6)
+
+
+GROUP_COLS = ["Quantity", "Discount", "Revenue"]
+
+
+@register("e9_scatter_by_group", SV + ", nv AS (SELECT Region, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in GROUP_COLS)
+          + " FROM sales_view) " + "\nUNION ALL\n".join(
+              f"""SELECT Region, '{a}' AS x, '{b}' AS y, regr_count({b}, {a}) AS n, ROUND(regr_slope({b}, {a}), 6) AS slope,
+                  ROUND(regr_intercept({b}, {a}), 6) AS intercept, ROUND(regr_r2({b}, {a}), 6) AS r2 FROM nv GROUP BY Region"""
+              for i, a in enumerate(GROUP_COLS) for b in GROUP_COLS[i + 1:]))
+def e9g(spark, sf):
+    s = V.sales_lines(spark, sf, ["Region", *GROUP_COLS])
+    return finalize(ST.scatter_matrix(s, GROUP_COLS, group="Region"), 6)
+
+
+@register("e9_binned_pairs", SV + """, nv AS (SELECT CAST(Quantity AS DOUBLE) AS x, CAST(Revenue AS DOUBLE) AS y FROM sales_view),
+b AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM nv)
+SELECT CAST(LEAST(floor((x - x0) / (x1 - x0) * 20), 19) AS BIGINT) AS bx, CAST(LEAST(floor((y - y0) / (y1 - y0) * 20), 19) AS BIGINT) AS "by",
+  COUNT(*) AS count FROM nv, b GROUP BY 1, 2""")
+def e9b(spark, sf):
+    return finalize(ST.binned_pairs(V.sales_lines(spark, sf, ["Quantity", "Revenue"]), "Quantity", "Revenue"))

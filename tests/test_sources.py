@@ -19,6 +19,34 @@ def test_extension_dispatch_and_header_cleanup(spark, tmp_path):
     assert df.columns == ["a", "a.1", "b"]
 
 
+def test_csv_cells_as_real_files_hold_them(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text('n,x,note,flag,none\n1,NA,"He said ""hi"", twice",True,\n2,1.5,"two\nlines",False,\n3,-2e3,null,TRUE,NaN\n4,7\n', encoding="utf-8")
+    df = TB.read_csv(spark, str(p))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "boolean", "double"]
+    rows = [tuple(r) for r in df.orderBy("n").collect()]
+    assert rows == [(1, None, 'He said "hi", twice', True, None), (2, 1.5, "two\nlines", False, None),
+                    (3, -2000.0, None, True, None), (4, 7.0, None, None, None)]
+
+
+def test_csv_rows_with_too_many_cells_raise(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text("a,b\n1,2\n3,4,5\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        TB.read_dataset(spark, str(p))
+
+
+def test_sample_catalog_lists_what_is_there(spark, sf):
+    assert "lineitem" in TB.sample_catalog(spark, sf) and TB.sample_catalog(spark, sf)["region"].endswith("region.parquet")
+
+
+def test_audit_log_shows_failures_other_than_a_missing_log(spark, tmp_path):
+    (tmp_path / "audit" / "datasets").mkdir(parents=True)
+    (tmp_path / "audit" / "datasets" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        AuditLog(spark, str(tmp_path / "audit")).read("datasets").collect()
+
+
 def test_latin1_fallback_and_date_coercion(spark, tmp_path):
     p = tmp_path / "l.csv"
     p.write_bytes("name,order_date,city\nJos\xe9,2024-01-05,M\xfcnchen\nAnn,2024-02-01,Paris\n".encode("latin-1"))
