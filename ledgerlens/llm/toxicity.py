@@ -35,6 +35,9 @@ ROUNDS = 40
 WINDOW = 64
 # A task keeps the emissions of so many distinct words.
 CACHE_WORDS = 600_000
+CERTAIN = 0.98
+OPENING = 6
+N_FEATURES = 8
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -164,7 +167,7 @@ class Tagger:
         self.weights = np.zeros(BUCKETS, dtype=np.float64)
         self.bias = -6.0
         self.trans = np.zeros((2, 2))
-        self.doc_weights = np.zeros(6)
+        self.doc_weights = np.zeros(N_FEATURES)
         self.doc_weights[0] = -3.0
 
     def emissions(self, words: list[bytes]) -> list[float]:
@@ -173,8 +176,8 @@ class Tagger:
 
 
 def document_features(toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per document: 1, log of the expected toxic tokens, their share, the largest probability, its length, tokens above one half."""
-    out = np.zeros((len(sizes), 6))
+    """Per document: 1, log of the expected toxic tokens, their share, the largest probability and its log-odds, length, tokens above one half and near one."""
+    out = np.zeros((len(sizes), N_FEATURES))
     out[:, 0] = 1.0
     some = sizes > 0
     if some.any():
@@ -184,7 +187,9 @@ def document_features(toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         out[some, 2] = np.log(total / sizes[some] + 1e-5)
         out[some, 3] = top
         out[some, 5] = np.log1p(np.add.reduceat((toxic > 0.5).astype(float), starts))
-    out[~some, 1], out[~some, 2] = np.log(1e-3), np.log(1e-5)
+        out[some, 6] = np.log1p(np.add.reduceat((toxic > CERTAIN).astype(float), starts))
+        out[some, 7] = np.clip(np.log(top + 1e-6) - np.log(1 - top + 1e-6), -8, 8)
+    out[~some, 1], out[~some, 2], out[~some, 7] = np.log(1e-3), np.log(1e-5), -8
     out[:, 4] = np.log1p(sizes)
     return out
 
@@ -194,22 +199,21 @@ def tokens_of(text: bytes | None) -> list[bytes]:
 
 
 def token_labels(docs: list[list[bytes]], toxic: np.ndarray, word_features: dict[bytes, list[int]]) -> list[np.ndarray]:
-    """1 for tokens of toxic documents with a feature whose rate there exceeds the clean rate by far and not by chance."""
-    counts = np.zeros((2, BUCKETS))
+    """1 for tokens of toxic documents with a feature that far more of these hold than clean ones do, and not by chance."""
+    # documents that open with the same words are copies and count once
     seen = np.zeros((2, BUCKETS))
-    size = np.zeros(2)
+    size, known = np.zeros(2), set()
     for words, y in zip(docs, toxic):
-        held = Counter(words)
-        size[y] += len(words)
-        for w, n in held.items():
-            counts[y, word_features[w]] += n
-        if held:
-            seen[y, np.unique(np.concatenate([np.array(word_features[w], dtype=np.int64) for w in held]))] += 1
-    expected = (counts[0] + 0.5) / max(size[0], 1) * size[1]
-    excess = 1 - expected / np.maximum(counts[1], 1e-9)
-    surprise = (counts[1] - expected) / np.sqrt(expected + 1)
+        opening = (int(y), *words[:OPENING])
+        if words and opening not in known:
+            known.add(opening)
+            size[y] += 1
+            seen[y, np.unique(np.concatenate([np.array(word_features[w], dtype=np.int64) for w in set(words)]))] += 1
+    expected = (seen[0] + 0.5) / max(size[0], 1) * size[1]
+    excess = 1 - expected / np.maximum(seen[1], 1e-9)
+    surprise = (seen[1] - expected) / np.sqrt(expected + 1)
     # seen in enough toxic documents, mostly there, and far beyond the chance of a frequent feature
-    strong = (excess > 0.6) & (surprise > 5) & (seen[1] >= max(4, 0.004 * toxic.sum()))
+    strong = (excess > 0.6) & (surprise > 3) & (seen[1] >= max(5, 0.01 * size[1]))
     return [np.array([y and bool(strong[word_features[w]].any()) for w in words], dtype=np.float64) for words, y in zip(docs, toxic)]
 
 
