@@ -32,7 +32,7 @@ MARK = "▁"
 CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 # Chunks of up to so many characters share an array of that width; longer ones are widened in steps of two.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
-CELLS = 1 << 22
+CELLS = 1 << 20
 NONE = np.int32(2**31 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
