@@ -116,9 +116,9 @@ def categorical_overview(df: DataFrame, max_unique: int = CATEGORICAL_MAX_UNIQUE
 
     Ties for the top value go to the smallest value.
     """
-    texts = text_columns(df)
+    texts = categorical_columns(df, max_unique)  # values of columns with more are never shuffled
     if not texts:
         return df.sparkSession.createDataFrame([], "column string, unique bigint, top string, top_freq bigint")
-    md = modes(df, texts, "string").where(F.col("n_unique") <= max_unique)
+    md = modes(df, texts, "string")
     return md.select("column", F.col("n_unique").cast("bigint").alias("unique"), F.col("mode").alias("top"),
                      F.col("mode_count").cast("bigint").alias("top_freq"))
