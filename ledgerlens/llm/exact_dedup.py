@@ -163,7 +163,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = stored(fingerprint_rows(docs, id_col, text_col), "dedup-fingerprints")
     key = ["fp1", "fp2", "n_bytes"]
-    groups = (rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    # written, so that a fingerprint that holds a third of the rows meets a plain table and its partition can be split
+    groups = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "dedup-groups")
     alone = rows.join(groups, key, "left_anti")
     # the rows to compare fetch their texts; the salt bounds what one task streams of a hot fingerprint
     wanted = (rows.join(groups, key).select("doc_id", *key, "rows").distinct()
@@ -183,7 +184,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # salts of one text meet under its digest; texts that only collide in the fingerprint stay apart
     part = [*key, "class_sha256"]
     best = F.max(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("n_points"), (-F.col("doc_id")).alias("neg"))))
-    classes = compared.groupBy(*part).agg(F.count(F.lit(1)).alias("group_size"), (-best["neg"]).alias("keep_id"))
+    classes = stored(compared.groupBy(*part).agg(F.count(F.lit(1)).alias("group_size"), (-best["neg"]).alias("keep_id")), "dedup-keepers")
     grouped = compared.join(classes, part).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),

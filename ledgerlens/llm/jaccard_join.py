@@ -384,11 +384,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = stored(shingle_rows(named), "jaccard-sets")
     sets = rows.where("part is null").select("doc_id", "n", "f1", "f2", "parity")
     sketch = spark.sparkContext.broadcast(_sketch(rows))  # SKETCH numbers
-    # equal sets: one representative
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.any_value("parity").alias("parity"))
+    # equal sets: one representative (written, so that the join with a group of many copies can be split)
+    reps = stored(sets.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.any_value("parity").alias("parity")), "jaccard-representatives")
     equal = stored(sets.where("n > 0 and doc_id is not null").join(reps.where("rows > 1"), ["n", "f1", "f2"]).select("doc_id", "rep"), "jaccard-equal")
-    features = stored(reps.select(F.col("rep").alias("doc_id"), "n", "parity"), "jaccard-features")
+    features = reps.select(F.col("rep").alias("doc_id"), "n", "parity")
     # signatures met by an indexed set and a probing one
     by_key = Window.partitionBy("key")
     raw = (signature_rows(named, sketch).repartition("key")
