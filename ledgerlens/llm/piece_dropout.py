@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns
+from .common import append_columns, ragged
 
 RATE = 0.1
 SEED = 17
@@ -44,13 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indexes starts[i], starts[i] + 1, ... of sizes[i] items each, one after another."""
-    ends = np.cumsum(sizes)
-    out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
-    return out + np.repeat(starts - (ends - sizes), sizes)
-
-
 class PieceModel:
     """Pieces and merges of a BPE model with byte fallback."""
 

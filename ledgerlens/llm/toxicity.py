@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import LOWER, append_columns, id_crc
+from .common import LOWER, append_columns, id_crc, ragged
 
 # Bounds of the training sample: documents per label, characters of a document.
-DOCS_PER_LABEL = 1500
+DOCS_PER_LABEL = 1200
 TRAIN_CHARS = 12_000
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -198,42 +198,58 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-def token_labels(docs: list[list[bytes]], toxic: np.ndarray, word_features: dict[bytes, list[int]]) -> list[np.ndarray]:
-    """1 for tokens of toxic documents with a feature that far more of these hold than clean ones do, and not by chance."""
+def token_labels(docs: list[np.ndarray], toxic: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 for tokens of toxic documents with a feature that far more of these hold than clean ones do, and not by chance.
+
+    docs: word numbers of each document; the features of word w are flat[starts[w]:starts[w] + counts[w]].
+    """
     # documents that open with the same words are copies and count once
     seen = np.zeros((2, BUCKETS))
     size, known = np.zeros(2), set()
     for words, y in zip(docs, toxic):
-        opening = (int(y), *words[:OPENING])
-        if words and opening not in known:
+        opening = (int(y), *words[:OPENING].tolist())
+        if len(words) and opening not in known:
             known.add(opening)
             size[y] += 1
-            seen[y, np.unique(np.concatenate([np.array(word_features[w], dtype=np.int64) for w in set(words)]))] += 1
+            held = np.unique(words)
+            seen[y, np.unique(flat[ragged(starts[held], counts[held])])] += 1
     expected = (seen[0] + 0.5) / max(size[0], 1) * size[1]
     excess = 1 - expected / np.maximum(seen[1], 1e-9)
     surprise = (seen[1] - expected) / np.sqrt(expected + 1)
     # seen in enough toxic documents, mostly there, and far beyond the chance of a frequent feature
     strong = (excess > 0.6) & (surprise > 3) & (seen[1] >= max(5, 0.01 * size[1]))
-    return [np.array([y and bool(strong[word_features[w]].any()) for w in words], dtype=np.float64) for words, y in zip(docs, toxic)]
+    marked = np.zeros(len(starts), dtype=bool)
+    owner = np.repeat(np.arange(len(starts)), counts)
+    marked[owner[strong[flat]]] = True
+    return np.concatenate([marked[d] & bool(y) for d, y in zip(docs, toxic)]).astype(np.float64)
 
 
 def train(samples: list[tuple[str, int]], rounds: int = ROUNDS, prior: float | None = None) -> Tagger:
     """Fit tagger and document model on (text, toxic 0 or 1); equal texts count once. ``prior``: share of toxic documents overall."""
     tagger = Tagger()
     unique = dict(samples)
-    docs = [tokens_of(t.encode()) for t in unique]
     y = np.array([int(v) for v in unique.values()], dtype=np.int64)
     if not len(y) or y.min() == y.max():
         if len(y):
             tagger.doc_weights[:] = 0
             tagger.doc_weights[0] = 3.0 if y[0] else -3.0
         return tagger
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    feats = {w: buckets(w) for w in vocab}
-    labels = token_labels(docs, y, feats)
+    # words become numbers, and their features one flat array, before anything else is held
+    numbers: dict[bytes, int] = {}
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in tokens_of(t.encode())], dtype=np.int32) for t in unique]
+    flat_, counts_ = array("i"), array("i")
+    for w in numbers:
+        found = buckets(w)
+        flat_.extend(found)
+        counts_.append(len(found))
+    n_words = len(numbers)
+    del numbers, unique
+    flat, counts = np.array(flat_, dtype=np.int32), np.array(counts_, dtype=np.int64)
+    gold = token_labels(docs, y, flat, np.cumsum(counts) - counts, counts)
     sizes = np.array([len(d) for d in docs])
-    ids = np.array([vocab[w] for d in docs for w in d], dtype=np.int64)
-    gold = np.concatenate(labels) if len(ids) else np.empty(0)
+    ids = np.concatenate(docs)
+    columns = np.repeat(np.arange(n_words, dtype=np.int32), counts)
+    del docs
     starts = np.zeros(len(ids), dtype=bool)
     starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     pair = np.zeros((2, 2))
@@ -241,21 +257,19 @@ def train(samples: list[tuple[str, int]], rounds: int = ROUNDS, prior: float | N
     for i in (0, 1):
         for j in (0, 1):
             pair[i, j] = ((gold[inner - 1] == i) & (gold[inner] == j)).sum()
-    columns = np.repeat(np.arange(len(vocab)), [len(f) for f in feats.values()])
-    flat = np.array([b for f in feats.values() for b in f], dtype=np.int64)
-    hits = np.bincount(ids, weights=gold, minlength=len(vocab))
+    hits = np.bincount(ids, weights=gold, minlength=n_words)
     params = {"w": tagger.weights.astype(gru.DTYPE), "b": np.array([tagger.bias], dtype=gru.DTYPE), "t": tagger.trans.astype(gru.DTYPE)}
     opt = gru.Adam(params, 0.4)
     scale = 1.0 / max(1.0, gold.sum())
     for k in range(rounds):
-        word_score = np.bincount(columns, weights=params["w"][flat], minlength=len(vocab)) + params["b"][0]
+        word_score = np.bincount(columns, weights=params["w"][flat], minlength=n_words) + params["b"][0]
         p, count, _ = marginals(word_score[ids], sizes, params["t"].astype(float))
-        off = np.bincount(ids, weights=p, minlength=len(vocab)) - hits
+        off = np.bincount(ids, weights=p, minlength=n_words) - hits
         g = {"w": np.bincount(flat, weights=off[columns], minlength=BUCKETS) * scale + 2e-3 * scale * params["w"],
              "b": np.array([off.sum()]) * scale, "t": (count - pair) * scale}
         opt.update({n: v.astype(gru.DTYPE) for n, v in g.items()}, 0.4 * (1 - 0.8 * k / rounds))
     tagger.weights, tagger.bias, tagger.trans = params["w"].astype(float), float(params["b"][0]), params["t"].astype(float)
-    word_score = np.bincount(columns, weights=params["w"][flat], minlength=len(vocab)) + params["b"][0]
+    word_score = np.bincount(columns, weights=params["w"][flat], minlength=n_words) + params["b"][0]
     toxic, _, _ = marginals(word_score[ids], sizes, tagger.trans)
     tagger.doc_weights = _logistic(document_features(toxic, sizes), y, y.mean() if prior is None else prior)
     return tagger
