@@ -36,7 +36,9 @@ WINDOW = 64
 # A task keeps the emissions of so many distinct words.
 CACHE_WORDS = 600_000
 CERTAIN = 0.98
-OPENING = 6
+# Training documents of one label whose sets of SHINGLE-word runs have this Jaccard similarity are copies of one.
+SHINGLE = 5
+COPY = 0.8
 N_FEATURES = 8
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -198,20 +200,62 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-def token_labels(docs: list[np.ndarray], toxic: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def copies(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Number of the group of near copies that each document is in: its own number, or an earlier document's with the same label.
+
+    A document joins the first one that opened a group and whose runs of SHINGLE words have a Jaccard similarity
+    of COPY or more with its own. All its words count; a document of fewer words is one run. Runs are ordered rarest
+    first, so two sets of that similarity share one of the first runs of each (prefix filter) and few pairs are compared.
+    """
+    mix = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+    sets = []
+    for d in docs:
+        w = d.astype(np.uint64) + np.uint64(1)
+        n = max(len(w) - SHINGLE + 1, min(len(w), 1))
+        run = np.zeros(n, dtype=np.uint64)
+        for j, m in enumerate(mix[:min(SHINGLE, len(w))]):
+            part = w[j:j + n] * m
+            run = (run ^ (part ^ (part >> np.uint64(29)))) * mix[0]
+        sets.append(np.unique(run))
+    sizes = np.array([len(x) for x in sets])
+    runs, number, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(held, kind="stable")
+    rank = np.empty(len(runs), dtype=np.int32)
+    rank[order] = np.arange(len(runs), dtype=np.int32)
+    shared = int(np.count_nonzero(held == 1))  # runs from this rank on are held by several documents
+    sets = [np.sort(x) for x in np.split(rank[number].astype(np.int32), np.cumsum(sizes)[:-1])]
+    group = np.arange(len(docs))
+    openers: dict[tuple[int, int], list[int]] = {}
+    for i, (mine, y) in enumerate(zip(sets, labels)):
+        prefix = [(int(y), r) for r in mine[:len(mine) - int(np.ceil(COPY * len(mine) - 1e-9)) + 1].tolist()]
+        for k in sorted({k for r in prefix for k in openers.get(r, ())}):
+            small, large = sorted((len(mine), len(sets[k])))
+            if small >= COPY * large - 1e-9:
+                both = len(np.intersect1d(mine, sets[k], assume_unique=True))
+                if both >= COPY * (small + large - both) - 1e-9:
+                    group[i] = k
+                    break
+        else:
+            for r in prefix:
+                if r[1] >= shared:
+                    openers.setdefault(r, []).append(i)
+    return group
+
+
+def token_labels(docs: list[np.ndarray], toxic: np.ndarray, group: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic documents with a feature that far more of these hold than clean ones do, and not by chance.
 
     docs: word numbers of each document; the features of word w are flat[starts[w]:starts[w] + counts[w]].
     """
-    # documents that open with the same words are copies and count once
+    # near copies (see copies) count once: a feature is held by their group when one of them holds it
     seen = np.zeros((2, BUCKETS))
-    size, known = np.zeros(2), set()
-    for words, y in zip(docs, toxic):
-        opening = (int(y), *words[:OPENING].tolist())
-        if len(words) and opening not in known:
-            known.add(opening)
+    size = np.zeros(2)
+    order = np.argsort(group, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        held = np.unique(np.concatenate([docs[i] for i in members]))
+        if len(held):
+            y = int(toxic[members[0]])
             size[y] += 1
-            held = np.unique(words)
             seen[y, np.unique(flat[ragged(starts[held], counts[held])])] += 1
     expected = (seen[0] + 0.5) / max(size[0], 1) * size[1]
     excess = 1 - expected / np.maximum(seen[1], 1e-9)
@@ -224,8 +268,50 @@ def token_labels(docs: list[np.ndarray], toxic: np.ndarray, flat: np.ndarray, st
     return np.concatenate([marked[d] & bool(y) for d, y in zip(docs, toxic)]).astype(np.float64)
 
 
+def _chain(docs: list[np.ndarray], y: np.ndarray, group: np.ndarray, flat: np.ndarray, counts: np.ndarray, rounds: int) -> dict:
+    """Emission weights w, bias b and transitions t fitted to the token labels of the given documents."""
+    n_words = len(counts)
+    gold = token_labels(docs, y, group, flat, np.cumsum(counts) - counts, counts)
+    sizes = np.array([len(d) for d in docs])
+    ids = np.concatenate(docs)
+    columns = np.repeat(np.arange(n_words, dtype=np.int32), counts)
+    starts = np.zeros(len(ids), dtype=bool)
+    starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    pair = np.zeros((2, 2))
+    inner = np.flatnonzero(~starts)
+    for i in (0, 1):
+        for j in (0, 1):
+            pair[i, j] = ((gold[inner - 1] == i) & (gold[inner] == j)).sum()
+    hits = np.bincount(ids, weights=gold, minlength=n_words)
+    blank = Tagger()
+    params = {"w": blank.weights.astype(gru.DTYPE), "b": np.array([blank.bias], dtype=gru.DTYPE), "t": blank.trans.astype(gru.DTYPE)}
+    opt = gru.Adam(params, 0.4)
+    scale = 1.0 / max(1.0, gold.sum())
+    for k in range(rounds):
+        p, count, _ = marginals(_word_scores(params, flat, columns, n_words)[ids], sizes, params["t"].astype(float))
+        off = np.bincount(ids, weights=p, minlength=n_words) - hits
+        g = {"w": np.bincount(flat, weights=off[columns], minlength=BUCKETS) * scale + 2e-3 * scale * params["w"],
+             "b": np.array([off.sum()]) * scale, "t": (count - pair) * scale}
+        opt.update({n: v.astype(gru.DTYPE) for n, v in g.items()}, 0.4 * (1 - 0.8 * k / rounds))
+    return params
+
+
+def _word_scores(params: dict, flat: np.ndarray, columns: np.ndarray, n_words: int) -> np.ndarray:
+    return np.bincount(columns, weights=params["w"][flat], minlength=n_words) + params["b"][0]
+
+
+def _features(params: dict, docs: list[np.ndarray], flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    sizes = np.array([len(d) for d in docs])
+    score = _word_scores(params, flat, np.repeat(np.arange(len(counts), dtype=np.int32), counts), len(counts))
+    return document_features(marginals(score[np.concatenate(docs)], sizes, params["t"].astype(float))[0], sizes)
+
+
 def train(samples: list[tuple[str, int]], rounds: int = ROUNDS, prior: float | None = None) -> Tagger:
-    """Fit tagger and document model on (text, toxic 0 or 1); equal texts count once. ``prior``: share of toxic documents overall."""
+    """Fit tagger and document model on (text, toxic 0 or 1); equal texts count once. ``prior``: share of toxic documents overall.
+
+    The document model learns from token probabilities of chains that have not seen the document (two halves, near copies
+    in one of them), since a chain's own documents hold every word that it took for toxic by chance.
+    """
     tagger = Tagger()
     unique = dict(samples)
     y = np.array([int(v) for v in unique.values()], dtype=np.int64)
@@ -242,36 +328,24 @@ def train(samples: list[tuple[str, int]], rounds: int = ROUNDS, prior: float | N
         found = buckets(w)
         flat_.extend(found)
         counts_.append(len(found))
-    n_words = len(numbers)
     del numbers, unique
     flat, counts = np.array(flat_, dtype=np.int32), np.array(counts_, dtype=np.int64)
-    gold = token_labels(docs, y, flat, np.cumsum(counts) - counts, counts)
-    sizes = np.array([len(d) for d in docs])
-    ids = np.concatenate(docs)
-    columns = np.repeat(np.arange(n_words, dtype=np.int32), counts)
-    del docs
-    starts = np.zeros(len(ids), dtype=bool)
-    starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    pair = np.zeros((2, 2))
-    inner = np.flatnonzero(~starts)
-    for i in (0, 1):
-        for j in (0, 1):
-            pair[i, j] = ((gold[inner - 1] == i) & (gold[inner] == j)).sum()
-    hits = np.bincount(ids, weights=gold, minlength=n_words)
-    params = {"w": tagger.weights.astype(gru.DTYPE), "b": np.array([tagger.bias], dtype=gru.DTYPE), "t": tagger.trans.astype(gru.DTYPE)}
-    opt = gru.Adam(params, 0.4)
-    scale = 1.0 / max(1.0, gold.sum())
-    for k in range(rounds):
-        word_score = np.bincount(columns, weights=params["w"][flat], minlength=n_words) + params["b"][0]
-        p, count, _ = marginals(word_score[ids], sizes, params["t"].astype(float))
-        off = np.bincount(ids, weights=p, minlength=n_words) - hits
-        g = {"w": np.bincount(flat, weights=off[columns], minlength=BUCKETS) * scale + 2e-3 * scale * params["w"],
-             "b": np.array([off.sum()]) * scale, "t": (count - pair) * scale}
-        opt.update({n: v.astype(gru.DTYPE) for n, v in g.items()}, 0.4 * (1 - 0.8 * k / rounds))
+    group = copies(docs, y)
+    half = np.zeros(len(y), dtype=np.int64)
+    for label in (0, 1):
+        half[y == label] = np.unique(group[y == label], return_inverse=True)[1] % 2
+    x = np.zeros((len(y), N_FEATURES))
+    apart = all(len(np.unique(half[y == label])) == 2 for label in (0, 1))
+    if apart:
+        for k in (0, 1):
+            seen, other = np.flatnonzero(half != k), np.flatnonzero(half == k)
+            params = _chain([docs[i] for i in seen], y[seen], group[seen], flat, counts, rounds)
+            x[other] = _features(params, [docs[i] for i in other], flat, counts)
+    params = _chain(docs, y, group, flat, counts, rounds)
+    if not apart:
+        x = _features(params, docs, flat, counts)
     tagger.weights, tagger.bias, tagger.trans = params["w"].astype(float), float(params["b"][0]), params["t"].astype(float)
-    word_score = np.bincount(columns, weights=params["w"][flat], minlength=n_words) + params["b"][0]
-    toxic, _, _ = marginals(word_score[ids], sizes, tagger.trans)
-    tagger.doc_weights = _logistic(document_features(toxic, sizes), y, y.mean() if prior is None else prior)
+    tagger.doc_weights = _logistic(x, y, y.mean() if prior is None else prior)
     return tagger
 
 

@@ -194,6 +194,34 @@ def test_toxic_spans(make_docs):
     assert row[1]["spans"] == [] and row[2]["spans"] == [] and row[0]["score"] > row[1]["score"]
 
 
+def test_documents_of_one_opening_all_count_and_near_copies_count_once():
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(300)]
+    samples = []
+    for i in range(200):
+        words = list(rng.choice(vocab, 40))
+        if i % 4 == 0:
+            words[9] = words[20] = "awful"
+        samples.append((" ".join(["all", "these", "documents", "open", "like", "this", *words]), int(i % 4 == 0)))
+    tagger = toxicity.train(samples)
+    _, p, _ = toxicity._Scorer(tagger).score([b"w1 w2 awful w3", b"w1 w2 w4 w3"])
+    assert (p > 0.5).tolist() == [False, False, True] + [False] * 5
+    base = [rng.choice(300, 60) for _ in range(3)]
+    edited = base[0].copy()
+    edited[50] = 301
+    docs = [base[0], base[1], edited, np.append(base[1], [302, 303]), base[2], base[0], np.empty(0, int), np.append(base[0][:6], base[2])]
+    docs = [d.astype(np.int32) for d in docs]
+    labels = np.array([1, 1, 1, 1, 1, 0, 0, 1])
+    got = toxicity.copies(docs, labels)
+    sets = [{tuple(d[i:i + 5]) for i in range(len(d) - 4)} for d in docs]
+    want = []
+    for i, s in enumerate(sets):
+        want.append(next((k for k in range(i) if want[k] == k and labels[k] == labels[i] and s
+                          and len(s & sets[k]) >= 0.8 * len(s | sets[k])), i))
+    assert got.tolist() == want
+    assert want[:7] == [0, 1, 0, 1, 4, 5, 6]
+
+
 def test_word_net_gradients():
     table = [(f"w{i}".encode(), 3000 - i) for i in range(1500)] + [(lm_score.END, 500)]
     vocab = lm_score.Vocabulary(table, sum(c for _, c in table) + 50, 1560)
