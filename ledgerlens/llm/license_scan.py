@@ -1,12 +1,13 @@
 """License scan: stated phrases, and an exact set-similarity join against license templates.
 
 The base counts the places of fixed phrases in the word sequence. The method
-finds every block of text (a line, or a window of a long line) that holds at
-least a threshold share of a template's distinct words. Template words are ordered
-by their frequency over all documents, rarest first. A block that reaches the
-overlap a template needs must hold one of the template's first words (prefix
-filter) and enough words at all (length filter); while words are matched in
-global order, the places left bound the overlap still possible (positional filter).
+finds every block of text (a run of consecutive words, whatever line breaks lie in it, as long
+as the template's block) that holds at least a threshold share of a template's
+distinct words. Template words are ordered by their frequency over all documents,
+rarest first. A block that reaches the overlap a template needs must hold one of the
+template's first words (prefix filter), and its text enough of them at all (length
+filter), counted in global order while the words left can still suffice (positional
+filter). Blocks at every start are then slid over the places near prefix words.
 """
 from __future__ import annotations
 
@@ -35,11 +36,11 @@ TEMPLATES = {
     "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
 }
 THRESHOLD = 0.8
+# Words of a block at least; longer templates have longer blocks.
 WINDOW = 64
 
 # Every byte outside [0-9A-Za-z] and below 0x80 separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-LINE_BYTES = bytes(10 if c in (10, 13) else WORD_BYTES[c] for c in range(256))
 
 
 def places(words: bytes, phrase: bytes) -> list[int]:
@@ -53,16 +54,16 @@ def places(words: bytes, phrase: bytes) -> list[int]:
     return found
 
 
+def block_size(n_words: int, threshold: float) -> int:
+    """Words of the blocks compared with a template of ``n_words``: the whole template with as many words between as the threshold lets go."""
+    return max(WINDOW, math.ceil(n_words / threshold - 1e-9))
+
+
 def blocks(text: bytes, window: int = WINDOW):
-    """Word lists of the text's lines; a long line gives windows that overlap by half, so any window/2 words lie in one."""
-    for line in text.translate(LINE_BYTES).split(b"\n"):
-        words = line.split()
-        if len(words) <= window:
-            if words:
-                yield words
-        else:
-            for i in range(0, len(words) - window // 2, window // 2):
-                yield words[i:i + window]
+    """All runs of ``window`` words of the text, across line breaks; a shorter text is one. What the scan's results are defined by."""
+    words = text.translate(WORD_BYTES).split()
+    for i in range(max(len(words) - window + 1, min(len(words), 1))):
+        yield words[i:i + window]
 
 
 class Templates:
@@ -72,20 +73,24 @@ class Templates:
         self.sets, self.index = [], {}
         for label, texts in sorted(templates.items()):
             for text in texts:
-                words = set(text.encode().translate(WORD_BYTES).split())
+                sequence = text.encode().translate(WORD_BYTES).split()
+                words = set(sequence)
+                if not words:
+                    continue
                 ordered = sorted(words, key=lambda w: (frequency.get(w, 0), w))
                 need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
                 no = len(self.sets)
-                self.sets.append((label, ordered, need))
-                for w in ordered[:len(ordered) - need + 1]:
+                prefix = ordered[:len(ordered) - need + 1]
+                self.sets.append((label, ordered, need, block_size(len(sequence), threshold), frozenset(prefix), frozenset(words)))
+                for w in prefix:
                     self.index.setdefault(w, []).append(no)
 
     def matches(self, words: list[bytes]) -> dict[str, float]:
-        """label -> largest containment of the templates that the block reaches."""
+        """label -> largest containment of the templates that a block of the word sequence reaches."""
         held = set(words)
         out: dict[str, float] = {}
         for no in {t for w in held & self.index.keys() for t in self.index[w]}:
-            label, ordered, need = self.sets[no]
+            label, ordered, need, size, prefix, known = self.sets[no]
             if len(held) < need:
                 continue
             overlap = 0
@@ -94,9 +99,30 @@ class Templates:
                     break
                 overlap += w in held
             if overlap >= need:
-                out[label] = max(out.get(label, 0.0), overlap / len(ordered))
+                best = self._largest(words, size, prefix, known)
+                if best >= need:
+                    out[label] = max(out.get(label, 0.0), best / len(ordered))
         return out
 
+    @staticmethod
+    def _largest(words: list[bytes], size: int, prefix: frozenset, known: frozenset) -> int:
+        """Most distinct template words in a block of ``size`` words that holds a prefix word."""
+        places_ = [(i, w) for i, w in enumerate(words) if w in known]
+        best, first, anchors, count = 0, 0, 0, {}
+        for i, w in places_:
+            count[w] = count.get(w, 0) + 1
+            anchors += w in prefix
+            while places_[first][0] <= i - size:
+                gone = places_[first][1]
+                first += 1
+                anchors -= gone in prefix
+                count[gone] -= 1
+                if not count[gone]:
+                    del count[gone]
+            if anchors:
+                best = max(best, len(count))
+        return best
+
 
 def word_frequencies(docs: DataFrame, words: list[bytes], text_col: str = "text") -> dict[bytes, int]:
     """How many documents hold each of the given (template) words, over all documents."""
@@ -118,8 +144,9 @@ def word_frequencies(docs: DataFrame, words: list[bytes], text_col: str = "text"
 
 def scan_text(text: bytes | None, phrases: list[tuple[bytes, str]], templates: Templates):
     text = text or b""
-    words = b" " + b" ".join(text.translate(WORD_BYTES).split()) + b" "
-    n_words = 0 if len(words) == 2 else words.count(b" ") - 1
+    sequence = text.translate(WORD_BYTES).split()
+    words = b" " + b" ".join(sequence) + b" "
+    n_words = len(sequence)
     found, base = [], set()
     for phrase, label in phrases:
         at = places(words, phrase)
@@ -129,10 +156,9 @@ def scan_text(text: bytes | None, phrases: list[tuple[bytes, str]], templates: T
     labels, score = set(base), 1.0 if base else 0.0
     # a block can only match if the text holds a prefix word at all
     if any(b" " + w + b" " in words for w in templates.index):
-        for block in blocks(text):
-            for label, share in templates.matches(block).items():
-                labels.add(label)
-                score = max(score, share)
+        for label, share in templates.matches(sequence).items():
+            labels.add(label)
+            score = max(score, share)
     return n_words, len(found), min(found, default=None), max(found, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
@@ -141,7 +167,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score to documents.
 
     first_word and last_word are the smallest and largest start of a base place (words from 0), null
-    without one; labels adds those of templates whose containment in a block reaches
+    without one; labels adds those of templates whose containment in a block (see block_size) reaches
     ``threshold``; score is 1 with a base place, else the largest containment reached, else 0.
     Null texts count as empty; repeated rows are scanned each.
     """

@@ -186,3 +186,33 @@ def test_license_scan_against_brute_force(make_docs, odd_rows):
     assert order([tuple(r) for r in got]) == order(want)
     assert any(w[6] == "apache" and w[5] == "" for w in want)
     assert license_scan.scan(make_docs([])).count() == 0
+
+
+def test_license_notices_across_lines_and_long_templates(make_docs):
+    rng = random.Random(6)
+    long_one = " ".join(f"t{i}" for i in range(120)) + " t1 t2 t3"
+    templates = {**license_scan.TEMPLATES, "long": [long_one]}
+    mit, gpl = license_scan.TEMPLATES["mit"][0], license_scan.TEMPLATES["gpl"][0]
+    rows = [(1, mit.replace("obtaining a copy", "obtaining a copy\n")), (2, "# " + "\r\n# ".join(gpl.split())), (3, long_one),
+            (4, "\n".join(long_one.split()[:100])), (5, "\n".join(long_one.split()[:90])), (6, mit[:60] + "\n" + "pad " * 80 + mit[60:])]
+    for i in range(60):
+        words = rng.choice([mit, gpl, long_one]).split()
+        for _ in range(rng.randrange(len(words))):
+            words.insert(rng.randrange(len(words)), rng.choice(["pad", "the", "t5"]))
+        rows.append((100 + i, "".join(w + rng.choice([" ", "\n", "\r\n"]) for w in ["pad"] * rng.randrange(90) + words)))
+    want = {}
+    for i, t in rows:
+        found, words = {}, t.split()
+        for label, texts in templates.items():
+            for template in texts:
+                parts = template.split()
+                size = max(64, -(-len(parts) * 10 // 8))
+                for at in range(len(words)):
+                    share = len(set(parts) & set(words[at:at + size])) / len(set(parts))
+                    if share >= 0.8 - 1e-9:
+                        found[label] = max(found.get(label, 0), share)
+        want[i] = (",".join(sorted(found)), max(found.values(), default=0.0))
+    rows = [(i, t.replace("# ", "// ")) for i, t in rows]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(make_docs(rows), keep=["doc_id"], templates=templates).collect()}
+    assert got == want
+    assert [want[i][0] for i in range(1, 7)] == ["mit", "gpl", "long", "long", "", ""]
