@@ -14,6 +14,8 @@ from ledgerlens.session import stored
 
 # A document whose best language has a smaller pooled probability is no clear text of any learned language.
 MIN_LANGUAGE_SCORE = 0.25
+# Near copies: words of a shingle, and the Jaccard similarity from which documents link, as a fraction.
+NEAR_SHINGLE, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def _whole_rows(docs: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, shingle=NEAR_SHINGLE, num=NEAR_NUM, den=NEAR_DEN)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

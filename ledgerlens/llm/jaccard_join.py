@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .common import LOWER, append_columns, slices, utf8
 
+# Words of a shingle, and the Jaccard threshold as a fraction of whole numbers (defaults of the operators' arguments).
 SHINGLE = 4
-# Jaccard threshold as a fraction of whole numbers.
 NUM, DEN = 85, 100
 # Segments beyond the most that a probe of the band can need, so that it can leave out costly ones.
 SLACK = 0.2
@@ -211,7 +211,7 @@ def parities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(sizes), PARITY), axis=1, bitorder="little").view(np.int64)
 
 
-def shingle_rows(docs: DataFrame) -> DataFrame:
+def shingle_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n, f1, f2, parity) per document; and per task the sketch of shingle frequencies in parts (part, counts)."""
     def run(batches):
         sketch = np.zeros(SKETCH, dtype=np.int64)
@@ -219,7 +219,7 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n", "f1", "f2", "parity", "part", "counts"]
         words = pa.list_(pa.int64())
         for b in slices(batches, "text"):
-            x, sizes = shingle_hashes(utf8(b.column("text")))
+            x, sizes = shingle_hashes(utf8(b.column("text")), shingle)
             starts = np.cumsum(sizes) - sizes
             f1, f2 = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
             some = np.flatnonzero(sizes)
@@ -270,13 +270,13 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def signature_rows(docs: DataFrame, sketch) -> DataFrame:
+def signature_rows(docs: DataFrame, sketch, shingle: int = SHINGLE, bands: Bands = BANDS) -> DataFrame:
     """(key, doc_id, is_index, is_probe) of every document; equal sets of a task give their rows once."""
     def run(batches):
         known: set = set()
         for b in slices(batches, "text"):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            x, sizes = shingle_hashes(utf8(b.column("text")))
+            x, sizes = shingle_hashes(utf8(b.column("text")), shingle)
             ends = np.cumsum(sizes)
             keep = np.zeros(len(sizes), dtype=bool)
             for i in np.flatnonzero(sizes):
@@ -287,7 +287,7 @@ def signature_rows(docs: DataFrame, sketch) -> DataFrame:
             if len(known) > 500_000:
                 known.clear()
             x = x[np.repeat(keep, sizes)]
-            key, doc, index, probe = signatures(x, sizes[keep], sketch.value)
+            key, doc, index, probe = signatures(x, sizes[keep], sketch.value, bands)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[keep].astype(np.int64)[doc]),
                                               pa.array(index.astype(np.int8) + 2 * probe.astype(np.int8), pa.int8())],
                                              names=["key", "doc_id", "role"])
@@ -295,7 +295,7 @@ def signature_rows(docs: DataFrame, sketch) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "key long, doc_id long, role tinyint")
 
 
-def _verify(batches: Iterator[pa.RecordBatch]):
+def _verify(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, num: int = NUM, den: int = DEN):
     """Rows (a, b, text_a, text_b) that reach the threshold, sorted by a so that its set is built once."""
     here, left, left_text = None, None, None
     for b in slices(batches, "text_b"):
@@ -303,31 +303,35 @@ def _verify(batches: Iterator[pa.RecordBatch]):
         ok = []
         for a, ta, tb in zip(a_ids.to_pylist(), utf8(b.column("text_a")), utf8(b.column("text_b"))):
             if a != here or ta != left_text:
-                here, left_text, left = a, ta, shingle_set(ta)
-            right = shingle_set(tb)
+                here, left_text, left = a, ta, shingle_set(ta, shingle)
+            right = shingle_set(tb, shingle)
             both = len(left & right)
-            ok.append(bool(both) and DEN * both >= NUM * (len(left) + len(right) - both))
+            ok.append(bool(both) and den * both >= num * (len(left) + len(right) - both))
         yield pa.RecordBatch.from_arrays([a_ids, b_ids, pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _possible(na, pa_, nb, pb):
+def _possible(na, pa_, nb, pb, num: int, den: int):
     """Whether two sets can reach the threshold, from their sizes and parity sketches."""
     differ = sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])) for i in range(PARITY // 64)), F.lit(0))
-    return ((DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((DEN + NUM) * differ <= (DEN - NUM) * (na + nb)))
+    return ((den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * differ <= (den - num) * (na + nb)))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, features: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, features: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts reach the threshold; texts are fetched for possible pairs only."""
     fa = features.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     fb = features.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    fit = stored(pairs.join(fa, "a").join(fb, "b").where(_possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b"),
+    fit = stored(pairs.join(fa, "a").join(fb, "b").where(_possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)).select("a", "b"),
                  "jaccard-pairs")
     ids = fit.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi"), "jaccard-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     rows = fit.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    return stored(rows.mapInArrow(_verify, "a long, b long, linked boolean").where("linked").select("a", "b"), "jaccard-links")
+
+    def verify(batches):
+        return _verify(batches, shingle, num, den)
+
+    return stored(rows.mapInArrow(verify, "a long, b long, linked boolean").where("linked").select("a", "b"), "jaccard-links")
 
 
 def _placed(met: DataFrame, groups: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -341,12 +345,12 @@ def _placed(met: DataFrame, groups: DataFrame, features: DataFrame) -> tuple[Dat
     return members.where("component <> main"), members
 
 
-def _apart(few: DataFrame, rest: DataFrame) -> DataFrame:
+def _apart(few: DataFrame, rest: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that meet in a signature, one indexed and one probing, and may reach the threshold."""
     a = few.select("key", F.col("doc_id").alias("a"), F.col("role").alias("ra"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     b = rest.select("key", F.col("doc_id").alias("b"), F.col("role").alias("rb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     roles = F.expr("(ra & 1 > 0 and rb & 2 > 0) or (ra & 2 > 0 and rb & 1 > 0)")
-    possible = _possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
+    possible = _possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)
     return (a.join(b, "key").where((F.col("ca") != F.col("cb")) & roles & possible)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
@@ -370,18 +374,12 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Words are runs without white space bytes, A-Z lower-cased; a set holds the distinct 4-word shingles, or the whole
-    sequence of fewer words. Documents link at a Jaccard similarity of 0.85 or more;
-    component_id is the smallest doc_id reachable. Null, empty and wordless texts have no
-    shingles and are their own component; a null doc_id has a null component_id and links nothing; rows that
-    share a doc_id are one node with the links of all their texts; other columns are ignored.
-    """
+def _met(docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int):
+    """Documents, sets, equal sets with their representatives, features of these, and the signatures where several of them meet."""
+    bands = Bands(num, den)
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = stored(shingle_rows(named), "jaccard-sets")
+    rows = stored(shingle_rows(named, shingle), "jaccard-sets")
     sets = rows.where("part is null").select("doc_id", "n", "f1", "f2", "parity")
     sketch = spark.sparkContext.broadcast(_sketch(rows))  # SKETCH numbers
     # equal sets: one representative (written, so that the join with a group of many copies can be split)
@@ -391,7 +389,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     features = reps.select(F.col("rep").alias("doc_id"), "n", "parity")
     # signatures met by an indexed set and a probing one
     by_key = Window.partitionBy("key")
-    raw = (signature_rows(named, sketch).repartition("key")
+    raw = (signature_rows(named, sketch, shingle, bands).repartition("key")
            .withColumn("first", F.min("doc_id").over(by_key)).withColumn("last", F.max("doc_id").over(by_key))
            .withColumn("roles", F.bit_or("role").over(by_key)).where("first < last and roles = 3"))
     # members by their representatives; a key that only joins equal sets is done
@@ -400,6 +398,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                  .groupBy("key", F.coalesce("rep", "doc_id").alias("doc_id")).agg(F.bit_or("role").alias("role")), "jaccard-raw")
     several = raw.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = raw.join(several, "key")
+    return named, sets, equal, features, met
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                       num: int = NUM, den: int = DEN) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Words are runs without white space bytes, A-Z lower-cased; a set holds the distinct shingles of ``shingle`` words, or the whole
+    sequence of fewer words. Documents link at a Jaccard similarity of ``num / den`` or more;
+    component_id is the smallest doc_id reachable. Null, empty and wordless texts have no
+    shingles and are their own component; a null doc_id has a null component_id and links nothing; rows that
+    share a doc_id are one node with the links of all their texts; other columns are ignored.
+    """
+    named, sets, equal, features, met = _met(docs, id_col, text_col, shingle, num, den)
     degrees = met.groupBy("doc_id").agg(F.sum("members").alias("degree"))
     met = stored(met.drop("members").join(degrees, "doc_id"), "jaccard-met")
     central = F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("neg")))
@@ -407,23 +419,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = met.groupBy("key").agg((-central["neg"]).alias("hub"))
     star = (met.join(hubs, "key").where("doc_id <> hub")
             .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
-    links = _links(star, named, features)
+    links = _links(star, named, features, shingle, num, den)
     # then what this leaves apart against the most central member of every other component of the signature
     few, members = _placed(met, components(links), features)
     heads = members.groupBy("key", "component").agg((-central["neg"]).alias("doc_id"))
-    links = links.unionByName(_links(_apart(few, members.join(heads, ["key", "component", "doc_id"], "left_semi")), named, features))
+    links = links.unionByName(_links(_apart(few, members.join(heads, ["key", "component", "doc_id"], "left_semi"), num, den), named, features, shingle, num, den))
     # and at last every pair of members that are still in different components
     few, members = _placed(met, components(links), features)
-    links = links.unionByName(_links(_apart(few, members), named, features))
+    links = links.unionByName(_links(_apart(few, members, num, den), named, features, shingle, num, den))
     shared = equal.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.unionByName(shared))
     return (sets.join(final, sets.doc_id == final.node, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                  num: int = NUM, den: int = DEN) -> DataFrame:
+    """(a, b), a < b: every link between representatives, the smallest ids of equal sets; rules as in :func:`jaccard_components`.
+
+    All pairs that meet in a signature are verified, inside components too, so the cost follows the number of such
+    pairs: the square of a group of near (not equal) copies. Equal sets are not listed as links.
+    """
+    named, _, _, features, met = _met(docs, id_col, text_col, shingle, num, den)
+    # every member as a component of its own: no pair is left out
+    members = stored(met.join(features, "doc_id").withColumn("component", F.col("doc_id")), "jaccard-members")
+    return _links(_apart(members, members, num, den), named, features, shingle, num, den).distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents whose id names their component, with all their columns."""
-    kept = jaccard_components(docs, id_col, text_col).where("doc_id = component_id or doc_id is null").select(
+    kept = jaccard_components(docs, id_col, text_col, shingle, num, den).where("doc_id = component_id or doc_id is null").select(
         F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
 

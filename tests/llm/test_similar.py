@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledgerlens.llm import jaccard_join as J
 
 
@@ -78,6 +79,40 @@ def test_empty_table_and_one_of_each(make_docs, odd_rows):
     assert {r["doc_id"] for r in kept.collect()} == {r[2] for r in brute_components(odd_rows)}
 
 
+def brute_links(rows, shingle, num, den):
+    """Links and component of every id, over whole texts; ids must be unique."""
+    sets = [(i, J.shingle_set(t.encode(), shingle)) for i, t in rows]
+    links = {(min(i, j), max(i, j)) for n, (i, a) in enumerate(sets) for j, b in sets[:n]
+             if a and b and den * len(a & b) >= num * len(a | b)}
+    least = {i: i for i, _ in sets}
+    for _ in rows:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return links, least, dict(sets)
+
+
+@pytest.mark.parametrize("shingle, num", [(5, 80), (3, 70)])
+def test_shingle_and_threshold_are_arguments(make_docs, shingle, num):
+    rows = corpus(random.Random(4))
+    links, least, sets = brute_links(rows, shingle, num, 100)
+    got = J.jaccard_components(make_docs(rows), shingle=shingle, num=num, den=100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == least
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in sets.items()}
+    assert least != brute_links(rows, 4, 85, 100)[1]
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    found = [(r["a"], r["b"]) for r in J.jaccard_links(make_docs(rows), shingle=shingle, num=num, den=100).collect()]
+    assert sorted(found) == sorted((a, b) for a, b in links if {a, b} <= set(first.values()))
+
+
+def test_pipeline_drops_near_copies_from_five_words_and_four_fifths(spark, make_docs):
+    words = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"x{k}" for k in range(24)])), (3, " ".join(words + [f"y{k}" for k in range(30)]))]
+    kept = corpus_pipeline.jaccard_stage(spark, make_docs(rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
 def test_every_pair_over_the_threshold_meets_in_a_signature():
     rng, sketch = random.Random(3), np.ones(J.SKETCH)
     checked = 0
