@@ -170,12 +170,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = (rows.join(groups, key).select("doc_id", *key, "rows").distinct()
               .withColumnsRenamed({"doc_id": "want_id", "fp1": "want1", "fp2": "want2", "n_bytes": "want_len"}))
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    fetched = source.join(wanted, source.doc_id.eqNullSafe(wanted.want_id))
-    texts = append_columns(fetched, "text", f"{FP}, norm binary", lambda t: _digest(t, True),
-                           keep=["doc_id", "want1", "want2", "want_len", "rows"])
+    texts = append_columns(source, "text", f"{FP}, norm binary", lambda t: _digest(t, True), keep=["doc_id"])
+    # by id and fingerprint, so that an id with many texts (or none) meets each of its fingerprints once
+    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want_id) & (texts.fp1 == wanted.want1) & (texts.fp2 == wanted.want2)
+                       & (texts.n_bytes == wanted.want_len))
     salts = F.ceil(F.col("rows") / SALT_ROWS)
-    texts = (texts.where("fp1 = want1 and fp2 = want2 and n_bytes = want_len")
-             .withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")))
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
     order = [*key, "salt"]
     cols = ["doc_id", *key, "n_points", "text_sha256", "salt", "norm"]
     out = "doc_id long, fp1 long, fp2 long, n_bytes long, n_points long, text_sha256 string, class_sha256 string"
@@ -192,13 +192,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows with one id and one text, one stays."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_kept_id")).agg(
+    """The documents that stay, with all their columns; of rows with one id and one text, the one with the most code points stays.
+
+    A decision holds for an id and a text, so rows that share an id (or have none) stay or go by their own texts.
+    """
+    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(
         F.count(F.lit(1)).alias("_rows"))
-    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")))
-    once = rows.where("_rows = 1").drop("_kept_id", "_rows")
-    repeated = rows.where("_rows > 1").drop("_kept_id", "_rows")
-    squeezed = F.translate(F.col(f"`{text_col}`").cast("string"), " \t\n\x0b\x0c\r", "")
-    repeated = (repeated.withColumn("_norm", F.coalesce(squeezed, F.lit("")))
-                .dropDuplicates([id_col, "_norm"]).drop("_norm"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = append_columns(docs, text_col, "_sha string", lambda texts: [[hashlib.sha256((t or b"").translate(None, SPACE)).hexdigest() for t in texts]])
+    rows = keyed.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
+    once = rows.where("_rows = 1").select(*columns)
+    text = F.col(f"`{text_col}`").cast("string")
+    longest = F.max_by(F.struct(*columns), F.struct(F.coalesce(F.length(text), F.lit(0)), F.coalesce(text, F.lit(""))))
+    repeated = rows.where("_rows > 1").groupBy("_kept_id", "_kept_sha").agg(longest.alias("_row")).select("_row.*")
     return once.unionByName(repeated)

@@ -51,6 +51,12 @@ def test_drop_copies_keeps_one_row_and_all_columns(make_docs, odd_rows):
     assert len(texts) == len(set(texts)) == len({SPACE.sub("", t or "") for _, t in odd_rows})
 
 
+def test_drop_copies_decides_by_id_and_text(make_docs):
+    rows = [(None, "a"), (5, "a"), (None, "b"), (7, "x"), (7, "y"), (3, "y"), (8, "l m"), (8, "l  m"), (None, "n"), (None, " n")]
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(make_docs(rows)).collect()))
+    assert kept == [(0, " n"), (0, "b"), (3, "y"), (5, "a"), (7, "x"), (8, "l  m")]
+
+
 @pytest.mark.parametrize("cut", [0, 1, 5000, exact_dedup.CHUNK, 99_999])
 def test_fingerprints_compose(cut):
     data = random.Random(1).randbytes(100_000)
