@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import stored
+
 # Python tasks work on slices of at most this many text bytes (one longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
 # A-Z to a-z, every other byte unchanged.
@@ -85,3 +87,35 @@ def id_crc(column: Column) -> Column:
 
 def crc_of_id(value) -> int:
     return zlib.crc32(str(value).encode())
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their number ``g`` from 0 in the order given, and the partition ``part`` that holds them.
+
+    Range partitions are sorted side by side and written; one count a partition gives their offsets.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = stored(placed, name).withColumn("part", F.shiftright("at", 33))
+    totals = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # one row a partition
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("part", before.alias("before"))
+    return placed.join(F.broadcast(totals), "part").withColumn("g", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def numbered_groups(rows: DataFrame, order: list[str], name: str, **sums: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows numbered in the order given, whose first column is their group, and one row per group.
+
+    Rows gain ``tree`` (number of the group's first row, which names the group), ``pos`` (their place in the group),
+    ``n`` (rows of the group) and the ``sums`` over the group. A group meets the rows of one partition
+    at a time, so a group that holds a third of the rows is no hot key. A null group is one group.
+    """
+    grp = order[0]
+    placed = numbered(rows, order, name)
+    per = [F.sum(c).alias(k) for k, c in sums.items()]
+    spans = stored(placed.groupBy("part", grp).agg(F.min("g").alias("first"), F.count(F.lit(1)).alias("n"), *per), f"{name}-spans")
+    groups = stored(spans.groupBy(grp).agg(F.min("first").alias("tree"), F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums]), f"{name}-groups")
+    carried = ["tree", "n", *sums]
+    of_span = (spans.select(F.col("part").alias("span_part"), F.col(grp).alias("span_grp"))
+               .join(groups, F.col("span_grp").eqNullSafe(F.col(grp))).select("span_part", "span_grp", *carried))
+    out = placed.join(of_span, (F.col("part") == F.col("span_part")) & F.col(grp).eqNullSafe(F.col("span_grp")))
+    return out.withColumn("pos", F.col("g") - F.col("tree")).drop("span_part", "span_grp"), groups

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, langid, license_scan, lm_score, packing, piece_dropout, topk, toxicity
+from . import (chat, exact_dedup, hard_negatives, jaccard_join, langid, license_scan, lm_score, merkle, packing, piece_dropout, simhash, topk,
+               toxicity)
 from .common import table
 
 
@@ -52,6 +53,22 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of ``documents``; texts of ids whose crc32 5 divides are lower-cased before their leaf is folded."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.merkle_manifest(docs, {"text": merkle.tampered_text(F.col("text"), F.col("doc_id"))})
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids that 7 divides move on by one (of ten) first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
 QUERIES = {
     "op1_piece_dropout": op1_piece_dropout,
     "op2_jaccard_join": op2_jaccard_join,
@@ -63,6 +80,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_lm_score": op10_lm_score,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_simhash": op12_simhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 OP4_SQL = r"""
@@ -78,4 +98,6 @@ ORACLES = {
     "op3_top_k": topk.ORACLE_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_chat_format": chat.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
