@@ -10,7 +10,10 @@ it grows with the data as that setting does.
 Quantiles narrow first: a mergeable sketch brackets every requested rank, then one
 pass counts what lies between the brackets and keeps (value, count) only inside
 them: at most four sketch errors of the rows per rank, whatever their number.
-Only that remnant is sorted, part by part. Two scans, no eager job.
+That remnant is written, and as long as a part of it has more than REMNANT_ROWS rows it is narrowed
+again: cut at quantiles of its own distinct values, counted by cell, and kept in the few cells that hold a
+requested rank. So no window ever sorts more than that many rows of a part.
+Two scans of the source; the rounds read the remnant only.
 """
 from __future__ import annotations
 
@@ -24,6 +27,10 @@ from ._cols import q
 
 # Relative accuracy 1 / SKETCH_ACCURACY: a sketch's rank error is at most that share of the rows.
 SKETCH_ACCURACY = 10000
+# Rows of a part that one window may sort.
+REMNANT_ROWS = 1 << 17
+# Cells of a narrowing round, at least; and for every requested quantile, which needs two of them at most.
+CELLS, CELLS_PER_RANK = 64, 16
 
 
 def _same(a: DataFrame, b: DataFrame, keys) -> Column:
@@ -93,27 +100,65 @@ def quantiles_long(long: DataFrame, part_cols, probs, value_col: str = "value")
     gap = sum(((v > F.col("_edges")[2 * i + 1]).cast("int") for i in range(len(probs))), F.lit(0))
     # values between brackets collapse to one row a gap; ranks next to a bracket may need its smallest or largest value
     keyed = x.groupBy(*[F.col(q(c)) for c in part_cols], "_n", F.when(inside, v).alias("_in"), F.when(~inside, gap).alias("_gap"))
-    remnant = keyed.agg(F.count(F.lit(1)).alias("w"), F.min(v).alias("_v"), F.max(v).alias("_top"))
+    remnant = keyed.agg(F.count(F.lit(1)).alias("w"), F.min(v).alias("_v"), F.max(v).alias("_top")).drop("_in", "_gap")
+    remnant = stored(remnant, "remnant")
+    while _largest_part(remnant, part_cols) > REMNANT_ROWS:
+        remnant = stored(_narrowed(remnant, part_cols, probs), "remnant")
     running = Window.partitionBy(*[F.col(q(c)) for c in part_cols]).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return _pick(remnant.withColumn("cum_w", F.sum("w").over(running)), part_cols, probs)
 
 
+def _largest_part(remnant: DataFrame, part_cols) -> int:
+    per_part = remnant.groupBy(*[F.col(q(c)) for c in part_cols]).agg(F.count(F.lit(1)).alias("rows"))
+    return per_part.agg(F.max("rows")).first()[0] or 0
+
+
+def _ranks(probs) -> list[Column]:
+    """The ranks from 0 that the interpolated quantiles need."""
+    n = F.col("_n")
+    below = [F.floor((n - 1) * F.lit(float(p))) for p in probs]
+    return [r for b in below for r in (b, F.least(b + 1, n - 1))]
+
+
+def _narrowed(remnant: DataFrame, part_cols, probs) -> DataFrame:
+    """The remnant's rows around the requested ranks; all others collapse to one row a cell.
+
+    Rows (part..., _n, w, _v, _top) stand for w values from _v to _top, none of which
+    reaches into another row. The cells' edges are quantiles of the rows of a part, so a cell
+    holds an equal share of its rows, whatever their values and weights.
+    """
+    parts = [F.col(q(c)) for c in part_cols]
+    cells = max(CELLS, CELLS_PER_RANK * len(probs))
+    edges = remnant.groupBy(*parts).agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 20 * cells).alias("_cells"))
+    x = remnant.join(edges, part_cols).withColumn("_cell", F.size(F.filter("_cells", lambda edge: edge < F.col("_v")))).drop("_cells")
+    counts = x.groupBy(*parts, "_n", "_cell").agg(F.sum("w").alias("w"), F.min("_v").alias("_v"), F.max("_top").alias("_top"))
+    # one row a cell and part
+    before = F.sum("w").over(Window.partitionBy(*parts).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    counts = counts.withColumn("_first", before)
+    holds = reduce(lambda a, b: a | b, [(F.col("_first") <= r) & (r < F.col("_first") + F.col("w")) for r in _ranks(probs)])
+    counts = stored(counts.withColumn("_holds", holds), "cells")
+    columns = [*parts, F.col("_n"), F.col("w"), F.col("_v"), F.col("_top")]
+    kept = x.join(counts.where("_holds").select(*parts, "_cell"), [*part_cols, "_cell"], "left_semi").select(*columns)
+    return kept.unionByName(counts.where("not _holds").select(*columns))
+
+
 def _pick(ranked: DataFrame, part_cols, probs) -> DataFrame:
     """Values at the two ranks around each (n - 1) * p, combined as lo + (hi - lo) * d."""
     n, last = F.col("_n"), F.col("cum_w")
     first = last - F.col("w")
 
     def value_at(rank: Column) -> Column:
-        # of a gap's values the first and the last are known; the sketch's bound keeps ranks out of the rest
+        # of a row that stands for several values the first and the last are known; the sketch's bound keeps ranks out of the rest
         lost = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-        known = (F.when(F.col("_in").isNotNull() | (rank == first), F.col("_v"))
+        known = (F.when((F.col("_v") == F.col("_top")) | (rank == first), F.col("_v"))
                  .when(rank == last - 1, F.col("_top")).otherwise(lost))
         return F.max(F.when((first <= rank) & (rank < last), known))
 
+    ranks = _ranks(probs)
     aggs = [F.max(n).alias("n")]
     for i, p in enumerate(probs):
         pos = (n - 1) * F.lit(float(p))
-        aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.least(F.floor(pos) + 1, n - 1)).alias(f"_hi{i}"),
+        aggs += [value_at(ranks[2 * i]).alias(f"_lo{i}"), value_at(ranks[2 * i + 1]).alias(f"_hi{i}"),
                  F.max(pos - F.floor(pos)).alias(f"_f{i}")]
     picked = ranked.groupBy(*[F.col(q(c)) for c in part_cols]).agg(*aggs)
     outs = []

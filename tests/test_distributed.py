@@ -36,6 +36,26 @@ def test_exact_quantiles_beyond_the_sketch(spark, monkeypatch):
     assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(np.quantile(vals, probs).tolist(), abs=1e-9)
 
 
+def test_quantiles_narrow_the_remnant_in_rounds(spark, monkeypatch):
+    """A sketch of accuracy 5 leaves all rows in the brackets; three rounds bring them under a small bound, by part."""
+    from ledgerlens.functions import ranking as R
+    monkeypatch.setattr(R, "SKETCH_ACCURACY", 5)
+    monkeypatch.setattr(R, "REMNANT_ROWS", 90)
+    rounds, narrowed = [], R._narrowed
+    monkeypatch.setattr(R, "_narrowed", lambda remnant, *a: rounds.append(remnant.count()) or narrowed(remnant, *a))
+    rng = np.random.default_rng(9)
+    big = np.concatenate([np.exp(rng.normal(0, 8, 60000)), np.full(30000, 1.5), np.full(9, -1e300)])
+    small = rng.integers(0, 40, 500).astype(float)
+    rows = [("big", float(v)) for v in big] + [("small", float(v)) for v in small] + [("one", 3.0), ("one", None), (None, 8.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.001, 0.25, 0.5, 0.75, 0.9999]
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))] for r in R.quantiles(df, ["v"], probs, ["g"]).collect()}
+    assert set(got) == {"big", "small", "one"} and got["one"] == [3.0] * 5
+    assert got["small"] == pytest.approx(np.quantile(small, probs).tolist(), rel=1e-12)
+    assert got["big"] == pytest.approx(np.quantile(big, probs).tolist(), rel=1e-9)
+    assert len(rounds) >= 3 and rounds[0] > 40000 and rounds == sorted(rounds, reverse=True)
+
+
 def test_cumulative_matches_cumsum(spark):
     rng = np.random.default_rng(3)
     keys = rng.permutation(500).astype(float)
