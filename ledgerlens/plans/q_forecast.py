@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round_scaled
 from ..operators import forecast as FC
+from ..operators.arima import arima_likelihood
+from ..operators.changepoint import changepoint_forecast
 from ..operators.periods import interpolate, resample_mean, resample_sum
 from ..sources import views as V
 from ..sources.tables import table
@@ -121,6 +123,18 @@ def i3(spark, sf):
                     round_scaled(F.sqrt("sigma2"), 2).alias("sigma"))
 
 
+@register("i3_arima_likelihood")
+def i3l(spark, sf):
+    """The monthly revenue of every region by the exact likelihood fit."""
+    return arima_likelihood(_series_by_region(spark, sf), 12, "M", keys=["Region"])
+
+
+@register("i4_changepoint_forecast")
+def i4c(spark, sf):
+    """The monthly revenue of every region with slope changes and yearly seasons."""
+    return changepoint_forecast(_series_by_region(spark, sf), 12, "M", keys=["Region"])
+
+
 SEASONAL = X.with_views(X.SALES) + ", " + KEYED_MONTHS.format(
     k="Region", d="Date", v="Revenue", src="sales_view", fn="SUM", fill="COALESCE(agg.value, 0)") + """,
 s AS (SELECT Region, period, CAST(value AS DOUBLE) AS v,
