@@ -56,21 +56,20 @@ def append_columns(df: DataFrame, text: str, added: str, fn: Callable[[list], li
     new = T.StructType.fromDDL(added)
     names = {f.name.lower() for f in new.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    old = df.select(*[F.col(f"`{c}`") for c in kept])
-    # the text travels under a name of its own, so no column of the input can clash with it
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text_in"))
-    schema = T.StructType(old.schema.fields + new.fields)
+    # inside, columns go by their position, so no name of the input can clash with another
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text_in"))
+    schema = T.StructType(source.schema.fields[:-1] + new.fields)
     arrow = to_arrow_schema(new)
 
     def run(batches):
         args = setup() if setup else ()
-        for b in slices(batches, "_text_in"):
-            cols = fn(utf8(b.column("_text_in")), *args)
+        for b in slices(batches, "text_in"):
+            cols = fn(utf8(b.column("text_in")), *args)
             added_cols = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + added_cols,
-                                             names=kept + [f.name for f in arrow])
+                                             names=[f"c{i}" for i in range(len(kept))] + [f.name for f in arrow])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *new.names)
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -5,7 +5,8 @@ modulo two primes. Chunk hashes compose: H(ab) = H(a) * B^len(b) + H(b), so the
 chunks of a huge document are hashed in parallel tasks and combined by an
 aggregate, with the same value as in one pass. Rows with equal fingerprints are
 then compared chunk by chunk in a sorted stream, so a hash collision cannot
-merge different texts.
+merge different texts. A bitmap of the fingerprints that occur more than once tells the
+second reading which texts may have a copy: only those are shuffled.
 """
 from __future__ import annotations
 
@@ -24,8 +25,12 @@ SPACE = b" \t\n\x0b\x0c\r"
 PRIMES = (1099511627689, 1099511627609)
 BASES = (536870923, 805306457)
 CHUNK = 1 << 15
-# Texts of more characters than this are cut into rows of this size that separate tasks hash and digest.
+# Characters of a chunk row of huge_fingerprints.
 HUGE = 1 << 22
+# Bits of the bitmap of repeated fingerprints (16 MB): with more than some 10^7 of them it lets more and more other texts
+# through to the join, which decides exactly.
+MAP_BITS = 1 << 27
+MAP_PAGE = 1 << 15  # bits of a page: the size of the bitmaps that Spark builds
 # Rows of one fingerprint that a task compares in its first round; the salts' representatives meet in the second.
 SALT_ROWS = 512
 
@@ -67,13 +72,36 @@ def normalise(text: bytes | None) -> bytes:
     return (text or b"").translate(None, SPACE)
 
 
-def _digest(texts, with_text: bool = False):
+def _digest(texts):
     norm = [normalise(t) for t in texts]
     fps = [fingerprint(n) for n in norm]
     points = [0 if t is None else len(t) - _continuation(t) for t in texts]
-    cols = [[f[0] for f in fps], [f[1] for f in fps], [len(n) for n in norm], points,
+    return [[f[0] for f in fps], [f[1] for f in fps], [len(n) for n in norm], points,
             [hashlib.sha256(n).hexdigest() for n in norm]]
-    return [*cols, norm] if with_text else cols
+
+
+def _digest_repeated(texts, bitmap):
+    """As :func:`_digest` with the normalised texts, but null for every text whose fingerprint is not in the bitmap."""
+    bits, pages = bitmap
+    out = [[None] * len(texts) for _ in range(6)]
+    for i, t in enumerate(texts):
+        norm = normalise(t)
+        fp = fingerprint(norm)
+        bit = fp[0] % bits
+        page = pages.get(bit // MAP_PAGE)
+        if page is None or not page[bit % MAP_PAGE >> 3] >> (bit & 7) & 1:
+            continue
+        for col, x in zip(out, (*fp, len(norm), 0 if t is None else len(t) - _continuation(t), hashlib.sha256(norm).hexdigest(), norm)):
+            col[i] = x
+    return out
+
+
+def _repeated_pages(groups: DataFrame):
+    """The bitmap of the groups' fingerprints as a broadcast (bits, {page: bytes}), at most MAP_BITS / 8 bytes."""
+    bit = F.col("fp1") % MAP_BITS
+    pages = (groups.groupBy(F.floor(bit / MAP_PAGE).cast("int").alias("page"))
+             .agg(F.bitmap_construct_agg(bit % MAP_PAGE).alias("bits")).collect())
+    return groups.sparkSession.sparkContext.broadcast((MAP_BITS, {r["page"]: bytes(r["bits"]) for r in pages}))
 
 
 def _continuation(t: bytes) -> int:
@@ -86,7 +114,7 @@ FP = "fp1 long, fp2 long, n_bytes long, n_points long, text_sha256 string"
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document with its fingerprint; texts over HUGE are hashed in parallel chunk rows."""
+    """One row per document with its fingerprint; a text is hashed chunk by chunk in the task that reads it."""
     text = F.col(f"`{text_col}`").cast("string")
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     return append_columns(named, "text", FP, _digest, keep=["doc_id"])
@@ -95,8 +123,8 @@ def fingerprint_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def huge_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = HUGE) -> DataFrame:
     """(doc_id, fp1, fp2, n_bytes) with the chunks of every text hashed as rows of their own.
 
-    Used for documents that one task should not hash alone; the value equals
-    :func:`fingerprint`. Chunk rows are dealt out by (id, chunk number), and a
+    For documents that one task should not hash alone (:func:`exact_groups` does not use it: it holds a text to
+    compare it anyway); the value equals :func:`fingerprint`. Chunk rows are dealt out by (id, chunk number), and a
     document's few chunk fingerprints are folded in order by an aggregate.
     Ids must be unique. Empty and null texts give (0, 0, 0).
     """
@@ -134,7 +162,7 @@ def _classes(batches):
     Memory: one text per different text of the fingerprint at hand, which is
     one but for a hash collision.
     """
-    kept = ["doc_id", "fp1", "fp2", "n_bytes", "n_points", "text_sha256"]
+    kept = ["doc_id", "row", "fp1", "fp2", "n_bytes", "n_points", "text_sha256"]
     here, known = None, []
     for b in slices(batches, "norm"):
         keys = zip(*[b.column(c).to_pylist() for c in ("fp1", "fp2", "n_bytes", "salt")])
@@ -151,58 +179,74 @@ def _classes(batches):
                                          names=[*kept, "class_sha256"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after deleting the bytes of ``[\\x20\\x09-\\x0D]``;
-    null counts as empty. Of equal texts the one with the most code points stays,
-    then the smallest id. Null ids: such a row is a member, and stays only
-    when no row of its group has an id (keep_id is null then); repeated rows
-    (same id, equal text) are counted each and one of them is kept. An empty
-    table gives an empty result; other columns are ignored.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows whose fingerprint no other has, the others with their class's survivor, and the repeated fingerprints."""
     rows = stored(fingerprint_rows(docs, id_col, text_col), "dedup-fingerprints")
     key = ["fp1", "fp2", "n_bytes"]
     # written, so that a fingerprint that holds a third of the rows meets a plain table and its partition can be split
     groups = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "dedup-groups")
     alone = rows.join(groups, key, "left_anti")
-    # the rows to compare fetch their texts; the salt bounds what one task streams of a hot fingerprint
-    wanted = (rows.join(groups, key).select("doc_id", *key, "rows").distinct()
-              .withColumnsRenamed({"doc_id": "want_id", "fp1": "want1", "fp2": "want2", "n_bytes": "want_len"}))
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = append_columns(source, "text", f"{FP}, norm binary", lambda t: _digest(t, True), keep=["doc_id"])
-    # by id and fingerprint, so that an id with many texts (or none) meets each of its fingerprints once
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.want_id) & (texts.fp1 == wanted.want1) & (texts.fp2 == wanted.want2)
-                       & (texts.n_bytes == wanted.want_len))
-    salts = F.ceil(F.col("rows") / SALT_ROWS)
-    texts = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
+                         F.monotonically_increasing_id().alias("row"))
+    pages = _repeated_pages(groups)
+    texts = append_columns(source, "text", f"{FP}, norm binary", lambda t: _digest_repeated(t, pages.value), keep=["doc_id", "row"])
+    texts = texts.where("norm is not null").join(groups, key)
+    # the salt bounds what one task streams of a hot fingerprint
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("rows") / SALT_ROWS)).cast("int"))
     order = [*key, "salt"]
-    cols = ["doc_id", *key, "n_points", "text_sha256", "salt", "norm"]
-    out = "doc_id long, fp1 long, fp2 long, n_bytes long, n_points long, text_sha256 string, class_sha256 string"
+    cols = ["doc_id", "row", *key, "n_points", "text_sha256", "salt", "norm"]
+    out = "doc_id long, row long, fp1 long, fp2 long, n_bytes long, n_points long, text_sha256 string, class_sha256 string"
     streamed = texts.select(*cols).repartition(*order).sortWithinPartitions(*order)
     compared = stored(streamed.mapInArrow(_classes, out), "dedup-compared")
     # salts of one text meet under its digest; texts that only collide in the fingerprint stay apart
     part = [*key, "class_sha256"]
-    best = F.max(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("n_points"), (-F.col("doc_id")).alias("neg"))))
-    classes = stored(compared.groupBy(*part).agg(F.count(F.lit(1)).alias("group_size"), (-best["neg"]).alias("keep_id")), "dedup-keepers")
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has_id"), F.when(F.col("doc_id").isNotNull(), F.col("n_points")).alias("points"),
+                          (-F.col("doc_id")).alias("neg_id"), F.col("n_points").alias("no_id_points"), (-F.col("row")).alias("neg_row")))
+    classes = stored(compared.groupBy(*part).agg(F.count(F.lit(1)).alias("group_size"), (-best["neg_id"]).alias("keep_id"),
+                                                 (-best["neg_row"]).alias("keep_row")), "dedup-keepers")
     grouped = compared.join(classes, part).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return alone, grouped, groups
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after deleting the bytes of ``[\\x20\\x09-\\x0D]``;
+    null counts as empty. Of equal texts the row with the most code points stays,
+    then that of the smallest id; exactly one row of a group has ``kept``. Null ids: such a row is a member, and stays only
+    when no row of its group has an id (keep_id is null then); rows that share the keeper's id are
+    counted each and one of them stays. A very long text is held by one task, chunk by chunk hashed and compared. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    alone, grouped, _ = _decided(docs, id_col, text_col)
     return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                             F.lit(True).alias("kept"), "text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows with one id and one text, the one with the most code points stays.
+    """The documents that stay, with all their columns (of any name); the decisions are those of :func:`exact_groups`.
 
-    A decision holds for an id and a text, so rows that share an id (or have none) stay or go by their own texts.
+    A decision holds for an id and a text, so rows that share an id (or have none) stay or go by their own texts; of rows with the
+    keeper's id and an equal text, the one with the most code points stays. Documents whose fingerprint no other
+    has stay without a shuffle.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(
-        F.count(F.lit(1)).alias("_rows"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = append_columns(docs, text_col, "_sha string", lambda texts: [[hashlib.sha256((t or b"").translate(None, SPACE)).hexdigest() for t in texts]])
-    rows = keyed.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
-    once = rows.where("_rows = 1").select(*columns)
+    _, grouped, groups = _decided(docs, id_col, text_col)
+    # rows of the keeper's id and text: one in general, several if rows repeat
+    kept = stored(grouped.where("doc_id <=> keep_id").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).agg(
+        F.count(F.lit(1)).alias("rows")), "dedup-kept")
+    pages = _repeated_pages(groups)
     text = F.col(f"`{text_col}`").cast("string")
-    longest = F.max_by(F.struct(*columns), F.struct(F.coalesce(F.length(text), F.lit(0)), F.coalesce(text, F.lit(""))))
-    repeated = rows.where("_rows > 1").groupBy("_kept_id", "_kept_sha").agg(longest.alias("_row")).select("_row.*")
-    return once.unionByName(repeated)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").cast("long").alias("id"),
+                        text.alias("text"), F.coalesce(F.length(text), F.lit(0)).alias("points"))
+    keyed = append_columns(whole, "text", "sha string", lambda t: [_digest_repeated(t, pages.value)[4]], keep=["whole", "id", "points", "text"])
+    # the exact decision on what the bitmap lets through: texts that are alone have no class
+    repeated = keyed.where("sha is not null")
+    of_class = grouped.select(F.col("text_sha256").alias("class_sha")).distinct()
+    rows = repeated.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")))
+    once = rows.where("rows = 1").select("whole")
+    longest = F.max_by("whole", F.struct("points", F.coalesce("text", F.lit(""))))
+    several = rows.where("rows > 1").groupBy("kept_id", "kept_sha").agg(longest.alias("whole")).select("whole")
+    single = repeated.join(of_class, F.col("sha") == F.col("class_sha"), "left_anti").select("whole")
+    return keyed.where("sha is null").select("whole").unionByName(once).unionByName(several).unionByName(single).select("whole.*")
+

@@ -19,12 +19,14 @@ def brute_groups(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(SPACE.sub("", t or ""), []).append((i, len(t or "")))
-    out = []
-    for i, t in rows:
+    out, used = [], set()
+    # one row of a group stays: that of the keeper's id with the most code points
+    for i, t in sorted(rows, key=lambda r: -len(r[1] or "")):
         norm = SPACE.sub("", t or "")
         with_id = [m for m in groups[norm] if m[0] is not None]
         keep = min(with_id, key=lambda m: (-m[1], m[0]))[0] if with_id else None
-        out.append((i, keep, len(groups[norm]), i == keep, hashlib.sha256(norm.encode()).hexdigest()))
+        out.append((i, keep, len(groups[norm]), i == keep and norm not in used, hashlib.sha256(norm.encode()).hexdigest()))
+        used |= {norm} if i == keep else set()
     return out
 
 
@@ -38,6 +40,33 @@ def test_exact_groups_match_brute_force(make_docs, odd_rows):
     assert order(got) == order(brute_groups(rows))
 
 
+def test_rows_that_share_an_id_have_one_survivor(make_docs):
+    rows = [(7, "same text"), (7, "same text"), (7, "same  text"), (8, "same text"), (None, "q"), (None, "q"), (None, "same text")]
+    rows += [(None, "hot")] * 1300 + [(9, "only"), (9, "other")]
+    got = [tuple(r) for r in exact_dedup.exact_groups(make_docs(rows)).collect()]
+    assert order(got) == order(brute_groups(rows))
+    assert sum(r[3] for r in got) == len({r[4] for r in got}) == 5
+
+
+def test_names_of_the_input_do_not_clash(spark):
+    """Columns with the names that the operators use inside come back as they are."""
+    names = ["doc_id", "text", "whole", "sha", "_sha", "id", "points", "rows", "kept_id", "kept_sha", "_kept_id", "class_sha", "row", "c0", "text_in", "_text_in"]
+    rows = [(i, f"text {i // 2}", *[f"{c}{i}" for c in names[2:]]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join([f"{names[0]} long", *[f"`{c}` string" for c in names[1:]]]))
+    out = exact_dedup.drop_copies(docs)
+    assert out.columns == names
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2], rows[4]]
+    assert license_scan.scan(docs).count() == 6
+
+
+def test_an_overfull_bitmap_changes_nothing(make_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAP_BITS", 1)
+    docs = make_docs(odd_rows)
+    assert order(tuple(r) for r in exact_dedup.exact_groups(docs).collect()) == order(brute_groups(odd_rows))
+    texts = [SPACE.sub("", r["text"] or "") for r in exact_dedup.drop_copies(docs).collect()]
+    assert sorted(texts) == sorted({SPACE.sub("", t or "") for _, t in odd_rows})
+
+
 def test_exact_groups_of_an_empty_table(make_docs):
     assert exact_dedup.exact_groups(make_docs([])).count() == 0
     assert exact_dedup.drop_copies(make_docs([])).count() == 0
