@@ -450,8 +450,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents whose id names their component, with all their columns."""
     kept = jaccard_components(docs, id_col, text_col, shingle, num, den).where("doc_id = component_id or doc_id is null").select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
+        F.col("doc_id").alias("kept_id")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))).select("whole.*")
 
 
 ORACLE_SQL = r"""

@@ -245,8 +245,10 @@ def encode(docs: DataFrame, key: Column | None = None, text_col: str = "text", r
     """
     key = F.xxhash64(F.col(f"`{text_col}`")) if key is None else key.cast("long")
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept],
-                         F.concat(F.coalesce(key, F.lit(0)), F.lit(":"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_keyed"))
+    # by position, so that no name of the input can clash
+    places = [f"k{i}" for i in range(len(kept))]
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, places)],
+                         F.concat(F.coalesce(key, F.lit(0)), F.lit(":"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("keyed"))
 
     def run(texts, pieces):
         heads = [t.split(b":", 1) for t in texts]
@@ -255,20 +257,21 @@ def encode(docs: DataFrame, key: Column | None = None, text_col: str = "text", r
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
 
-    return append_columns(source, "_keyed", "ids array<int>", run, keep=kept, setup=lambda: (model(path),))
+    return append_columns(source, "keyed", "ids array<int>", run, keep=places, setup=lambda: (model(path),)).toDF(*kept, "ids")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """Add ``decoded`` (text) to rows of piece ids; null ids give null."""
     kept = [c for c in df.columns if c.lower() != "decoded"]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").cast("array<int>").alias("_ids_in"))
+    places = [f"k{i}" for i in range(len(kept))]
+    source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, places)], F.col(f"`{ids_col}`").cast("array<int>").alias("ids_in"))
 
     def run(batches):
         pieces = model(path)
         for b in batches:
-            col = b.column("_ids_in")
+            col = b.column("ids_in")
             out = [None if not col[i].is_valid else pieces.decode(np.asarray(col[i].values)).decode() for i in range(len(col))]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [pa.array(out, pa.string())], names=kept + ["decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [pa.array(out, pa.string())], names=[*places, "decoded"])
 
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add("decoded", "string")
-    return source.mapInArrow(run, schema)
+    schema = source.drop("ids_in").schema.add("decoded", "string")
+    return source.mapInArrow(run, schema).toDF(*kept, "decoded")

@@ -442,12 +442,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 
 def score(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learned from labels outside the held-out fold.
+    """doc_id, held_out, score, predicted and the offending spans of every document; learned from labels outside the held-out fold.
 
-    Null ids are scored and not held out; repeated rows are scored each; without labels of both kinds
+    Spans are code point offsets [start, end) with their largest token probability. Null ids are scored and not held out; repeated rows are scored each; without labels of both kinds
     every score is the constant that the labels suggest.
     """
     tagger = fit(docs, labels, text_col, id_col, label_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     held = F.coalesce(id_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
-    return tag(rows, tagger, "text", ["doc_id"], spans=False).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return tag(rows, tagger, "text", ["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted", "spans")

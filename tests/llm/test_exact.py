@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import chat, exact_dedup, license_scan, packing, topk
+from ledgerlens.llm import chat, exact_dedup, jaccard_join, license_scan, packing, piece_dropout, topk
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -251,3 +251,14 @@ def test_license_notices_across_lines_and_long_templates(make_docs):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(make_docs(rows), keep=["doc_id"], templates=templates).collect()}
     assert got == want
     assert [want[i][0] for i in range(1, 7)] == ["mit", "gpl", "long", "long", "", ""]
+
+
+def test_pieces_of_tables_with_clashing_names(spark):
+    names = ["doc_id", "text", "keyed", "_keyed", "k0", "ids_in", "_ids_in", "whole", "kept_id", "_kept_id", "id"]
+    docs = spark.createDataFrame([(1, "some words here", *names[2:]), (2, "some words there", *names[2:])],
+                                 ", ".join(["doc_id long", *[f"`{c}` string" for c in names[1:]]]))
+    out = piece_dropout.decode(piece_dropout.encode(docs))
+    assert out.columns == [*names, "ids", "decoded"]
+    assert all(r["decoded"] == r["text"] and r["k0"] == "k0" and r["_ids_in"] == "_ids_in" for r in out.collect())
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == names and kept.count() == 2

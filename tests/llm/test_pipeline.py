@@ -19,7 +19,7 @@ def test_run_against_brute_force(spark):
     rows = [r for r, lang, s in zip(rows, langs, scores) if lang != "und" and s >= P.MIN_LANGUAGE_SCORE]
     kept = {k[1] for k in brute_groups([(r["doc_id"], r["text"]) for r in rows])}
     rows = [r for r in rows if r["doc_id"] in kept]
-    kept = {c[2] for c in brute_components([(r["doc_id"], r["text"]) for r in rows])}
+    kept = {c[2] for c in brute_components([(r["doc_id"], r["text"]) for r in rows], P.NEAR_SHINGLE, P.NEAR_NUM, P.NEAR_DEN)}
     bpe = packing.tokenizer()
     want = []
     for r in rows:

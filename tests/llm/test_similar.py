@@ -8,8 +8,8 @@ import corpus_pipeline
 from ledgerlens.llm import jaccard_join as J
 
 
-def brute_components(rows):
-    sets = [J.shingle_set(t.encode() if t else None) for _, t in rows]
+def brute_components(rows, shingle=J.SHINGLE, num=J.NUM, den=J.DEN):
+    sets = [J.shingle_set(t.encode() if t else None, shingle) for _, t in rows]
     ids = [i for i, _ in rows]
     parent = {i: i for i in ids if i is not None}
 
@@ -23,7 +23,7 @@ def brute_components(rows):
             if ids[a] is None or ids[b] is None or not sets[a] or not sets[b]:
                 continue
             both = len(sets[a] & sets[b])
-            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(ids[a]), find(ids[b])
                 parent[max(x, y)] = min(x, y)
     return sorted((str(i), len(s), None if i is None else find(i)) for i, s in zip(ids, sets))
