@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) ->
 
     Values are centred on their column's mean (a scalar subquery) so the moment
     sums stay well conditioned. One further scan gathers the sums of all pairs: in one
-    aggregate's fields while these are few, else grouped by pair, with partial
-    sums in the tasks. The number of scans does not depend on the columns.
+    aggregate's fields while these are few, else by matrix products of Arrow batches
+    (:func:`_dense_sums`). The number of scans does not depend on the columns, and no row is
+    copied for its pairs.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
@@ -55,9 +58,7 @@ def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) ->
         one = u.agg(*[e.alias(f"{k}{i}_{j}") for i, j in pairs for k, e in sums(F.col(f"u{i}"), F.col(f"u{j}")).items()])
         out = rows_of(one, [[F.lit(i), F.lit(j)] + [F.col(f"{k}{i}_{j}") for k in names[2:]] for i, j in pairs], names)
     else:
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"u{i}").alias("x"), F.col(f"u{j}").alias("y")) for i, j in pairs])
-        long = u.select(F.explode(cells).alias("p")).select("p.*")
-        out = long.groupBy("i", "j").agg(*[e.alias(k) for k, e in sums(F.col("x"), F.col("y")).items()])
+        out = _dense_sums(u)
     labels = F.array(*[F.lit(c) for c in cols])
     out = out.select(labels[F.col("i")].alias("a"), labels[F.col("j")].alias("b"), *names)
     n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
@@ -69,6 +70,31 @@ def correlation_pairs(df: DataFrame, columns=None, decimals: int | None = 2) ->
     return out if decimals is None else out.withColumn("r", round_scaled("r", decimals))
 
 
+def _dense_sums(u: DataFrame) -> DataFrame:
+    """(i, j, n, sa, sb, saa, sbb, sab) over the complete pairs of every two columns of doubles, i <= j.
+
+    A task keeps one matrix per sum and adds its batches to them by matrix products; it ends
+    with one row a pair, and the tasks' rows are added up by pair with partial sums before the shuffle.
+    """
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    c = len(u.columns)
+    first, second = np.triu_indices(c)
+
+    def run(batches):
+        total = np.zeros((len(names), c, c))
+        for b in batches:
+            x = np.column_stack([col.to_numpy(zero_copy_only=False) for col in b.columns]).astype(np.float64)
+            known = np.column_stack([~np.asarray(col.is_null(nan_is_null=True)) for col in b.columns]).astype(np.float64)
+            x = np.where(known > 0, x, 0.0)
+            square = x * x
+            total += [known.T @ known, x.T @ known, known.T @ x, square.T @ known, known.T @ square, x.T @ x]
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), *[pa.array(t[first, second]) for t in total]],
+                                         names=["i", "j", *names])
+
+    partial = u.mapInArrow(run, "i int, j int, " + ", ".join(f"{k} double" for k in names))
+    return partial.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names])
+
+
 def strongest_pair(corr_long: DataFrame) -> DataFrame:
     """The off-diagonal pair with the largest |r| (first in column order on ties)."""
     off = corr_long.where((F.col("i") < F.col("j")) & F.col("r").isNotNull())
