@@ -49,6 +49,13 @@ def missing_total(df: DataFrame) -> DataFrame:
                       F.coalesce(F.try_divide(F.col("missing_total") * 100.0, cells), F.lit(0.0)).alias("missing_pct"))
 
 
+def _row_digest(df: DataFrame) -> list:
+    cols = [F.col(q(c)) for c in df.columns]
+    # xxhash64 skips NULLs, so the mask of NULLs is hashed with the values
+    mask = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols]) if cols else F.lit("")
+    return [F.xxhash64(F.lit(1), mask, *cols).alias("_h1"), F.xxhash64(F.lit(2), *cols, mask).alias("_h2")]
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row (NULLs equal each other), one row ``duplicates``.
 
@@ -57,11 +64,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     to one entry a task. The digest counts as the row: two different rows among
     10^12 share one with a probability of about 10^-15.
     """
-    cols = [F.col(q(c)) for c in df.columns]
-    # xxhash64 skips NULLs, so the mask of NULLs is hashed with the values
-    mask = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols]) if cols else F.lit("")
-    keyed = df.select(F.xxhash64(F.lit(1), mask, *cols).alias("_h1"), F.xxhash64(F.lit(2), *cols, mask).alias("_h2"))
-    groups = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.select(*_row_digest(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
@@ -249,21 +252,18 @@ def clean(df: DataFrame, spec: CleanSpec) -> DataFrame:
 
 
 def quality_summary(df: DataFrame) -> DataFrame:
-    """One row: rows, missing cells, duplicate rows."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    return rows.select(F.col("rows").cast("bigint").alias("rows"),
-                       one_row(missing_total(df))["missing_total"].alias("missing"),
-                       one_row(duplicate_count(df))["duplicates"].alias("duplicates"))
+    """One row: rows, missing cells, duplicate rows (see :func:`duplicate_count`), from one pass over the table."""
+    missing = sum((is_missing(df, c).cast("int") for c in df.columns), F.lit(0))
+    groups = df.select(*_row_digest(df), missing.alias("_m")).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.sum("_m").alias("_m"))
+    totals = {"rows": F.sum("_n"), "missing": F.sum("_m"), "duplicates": F.sum(F.col("_n") - 1)}
+    return groups.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in totals.items()])
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(metric, before, after, delta) for rows, missing and duplicates."""
-    b, a = quality_summary(before), quality_summary(after)
-    parts = []
-    for m in ("rows", "missing", "duplicates"):
-        parts.append(b.select(F.lit(m).alias("metric"), F.col(m).alias("before"))
-                     .join(a.select(F.lit(m).alias("metric"), F.col(m).alias("after")), "metric"))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(metric, before, after, delta) for rows, missing and duplicates; each table is read once."""
+    both = quality_summary(after).select("*", one_row(quality_summary(before)).alias("b"))
+    metrics = ("rows", "missing", "duplicates")
+    out = rows_of(both, [[F.lit(m), F.col(f"b.{m}"), F.col(m)] for m in metrics], ["metric", "before", "after"])
     return out.withColumn("delta", F.col("after") - F.col("before"))
 
 
