@@ -124,13 +124,65 @@ def date_coercion_table(df: DataFrame) -> DataFrame:
     return out.withColumn("convert", F.col("non_null") == F.col("parsed"))
 
 
+# Date formats tried in this order, after what a cast takes (ISO): pattern, and the shape that a value must have to be
+# parsed at all (a parse that fails is dear). Month first, as the analysed application reads slashes.
+DATE_FORMATS = [
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy H:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
+    ("M/d/yyyy H:mm:ss", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy H:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
+    ("d/M/yyyy H:mm:ss", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+]
+ISO = "ISO"
+
+
+def parse_date(column, fmt: str):
+    """The text column as wall-clock timestamps in one format; what does not parse is NULL."""
+    if fmt == ISO:
+        return column.try_cast("timestamp_ntz")
+    shape = dict(DATE_FORMATS)[fmt]
+    return F.when(column.rlike(shape), F.try_to_timestamp(column, F.lit(fmt)).cast("timestamp_ntz"))
+
+
+def date_format_table(df: DataFrame) -> DataFrame:
+    """A5 with formats, as a table: (column, non_null, format) for the text columns whose name speaks of a date.
+
+    ``format`` is the first one that parses every value of the column, NULL if none does; a column without
+    values counts as ISO. A value's formats are a bit mask, and the masks of all values meet by a
+    bit-and, so one aggregate over the table, with partial masks in the tasks, serves all columns.
+    """
+    cands = date_candidates(df)
+    if not cands:
+        return df.sparkSession.createDataFrame([], "column string, non_null bigint, format string")
+    names = [ISO, *[f for f, _ in DATE_FORMATS]]
+    # a column is trimmed once; a cast takes spaces around a date, the formats do not
+    texts = df.select(*[F.trim(F.col(q(c))).alias(f"x{i}") for i, c in enumerate(cands)])
+
+    def mask(x):
+        iso = F.when(parse_date(x, ISO).isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        return sum((F.when(parse_date(x, f).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, f in enumerate(names) if k), iso)
+
+    aggs = [a for i in range(len(cands)) for x in [F.col(f"x{i}")]
+            for a in (F.count(x).alias(f"n{i}"), F.bit_and(F.when(x.isNotNull(), mask(x))).alias(f"m{i}"))]
+    rows = [[F.lit(c), F.col(f"n{i}"), F.coalesce(F.col(f"m{i}"), F.lit(1))] for i, c in enumerate(cands)]
+    found = rows_of(texts.agg(*aggs), rows, ["column", "non_null", "mask"])
+    first = F.coalesce(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.lit(f)) for k, f in enumerate(names)])
+    return found.select("column", "non_null", first.alias("format"))
+
+
 def coerce_date_columns(df: DataFrame) -> DataFrame:
-    """A5: cast the name-matched text columns that parse completely."""
+    """A5: parse the name-matched text columns whose values all have one format (see :func:`date_format_table`)."""
     if not date_candidates(df):
         return df
-    convert = {r["column"] for r in date_coercion_table(df).collect() if r["convert"]}
-    return df.select(*[F.col(q(c)).try_cast("timestamp_ntz").alias(c) if c in convert else F.col(q(c))
-                       for c in df.columns])
+    formats = {r["column"]: r["format"] for r in date_format_table(df).collect() if r["format"]}  # a row a column
+    return df.select(*[parse_date(F.trim(F.col(q(c))), formats[c]).alias(c) if c in formats else F.col(q(c)) for c in df.columns])
 
 
 def sample_catalog(spark: SparkSession, sf_dir: str) -> dict[str, str]:

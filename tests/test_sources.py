@@ -92,3 +92,20 @@ def test_a12_model_roundtrip(spark, tmp_path):
     a = [r[0] for r in model.transform(prep).orderBy("x").select("prediction").collect()]
     b = [r[0] for r in again.transform(prep).orderBy("x").select("prediction").collect()]
     assert a == b
+
+
+def test_date_formats_are_chosen_by_the_whole_column(spark):
+    from ledgerlens.sources import tables as TB
+    names = ["us_date", "eu_date", "both_date", "mixed_date", "iso_time", "empty_date", "bad_date", "amount"]
+    rows = [("1/31/2024", "31/1/2024", "1/2/2024", "31.1.2024", " 2024-01-31 10:20:30", None, "2024-02-30", "1/1/2024"),
+            ("12/1/2024", " 3/4/2024 ", "3/4/2024", "31/1/2024", "2024-02-01", None, "2024-01-01", "1/1/2024"), (None,) * 8]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = {r["column"]: (r["non_null"], r["format"]) for r in TB.date_format_table(df).collect()}
+    assert got == {"us_date": (2, "M/d/yyyy"), "eu_date": (2, "d/M/yyyy"), "both_date": (2, "M/d/yyyy"), "mixed_date": (2, None),
+                   "iso_time": (2, "ISO"), "empty_date": (0, "ISO"), "bad_date": (2, None)}
+    out = TB.coerce_date_columns(df)
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["timestamp_ntz"] * 3 + ["string", "timestamp_ntz", "timestamp_ntz", "string", "string"]
+    first = out.first()
+    assert (first["us_date"].month, first["us_date"].day) == (1, 31) == (first["eu_date"].month, first["eu_date"].day)
+    assert first["both_date"].month == 1 and first["iso_time"].hour == 10 and first["bad_date"] == "2024-02-30"
+    assert TB.coerce_date_columns(df.limit(0)).count() == 0
