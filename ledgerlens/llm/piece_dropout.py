@@ -1,19 +1,24 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 The agenda of BPE takes the candidate merge of best rank first, leftmost on a tie.
-Every candidate that comes up is skipped when a keyed hash of (seed, variant,
-position, merged piece) falls below the dropout rate, so one seed always gives
-one segmentation, and other seeds or places give others. Each occurrence of a
-chunk in a document draws one of ``VARIANTS`` variants from a hash of (seed,
-document, occurrence). Every segmentation spells the text, so decoding is
-lossless. Without dropout the ids are those of the sentencepiece library.
+Every candidate that comes up is skipped when a keyed hash of (seed, document,
+occurrence of the chunk in the document, position, merged piece) falls below the dropout
+rate, so one seed always gives one segmentation, and each occurrence has its own. Every
+segmentation spells the text, so decoding is lossless. Without dropout the ids are
+those of the sentencepiece library.
 
 No piece of the model holds a space mark after another character or a line
-break, so no merge crosses such a boundary: the text is cut into chunks there and the
-agendas of the distinct chunks of a slice are processed together in numpy.
+break, so no merge crosses such a boundary: the text is cut into chunks there.
+Occurrences share the steps of an agenda as long as their draws agree: each distinct
+chunk of a slice is run once without a skip and its candidates are recorded;
+occurrences whose draws skip none of them have that result, the others meet again by
+(chunk, steps skipped so far). When few are left to share, each runs its own agenda. These
+agendas go side by side in numpy; a chunk of more than LONG characters takes a
+heap over a linked list, so a run without spaces costs n log n.
 """
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -27,14 +32,15 @@ from .common import append_columns, ragged
 
 RATE = 0.1
 SEED = 17
-VARIANTS = 8
 MARK = "▁"
 CHUNKS = re.compile(r" *[^ \n]+| +|\n")
-# Chunks of up to so many characters share an array of that width; longer ones are widened in steps of two.
-WIDTHS = (4, 8, 12, 16, 24, 32, 64)
+# Chunks of up to so many characters share an array of that width; beyond the last each takes a heap of its own.
+WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128)
+LONG = WIDTHS[-1]
 CELLS = 1 << 20
 NONE = np.int32(2**31 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+ALL_BITS = 2**64 - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,6 +50,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_one(x: int) -> int:
+    """``mix`` of one Python number."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & ALL_BITS
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & ALL_BITS
+    return x ^ (x >> 31)
+
+
+def codes_of(pos: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The share of (position, merged piece) in a draw; a draw is mix(key of the occurrence ^ code)."""
+    return mix((pos.astype(np.int64) * 65536 + rank).astype(np.uint64) * MIX)
+
+
+def limit_of(rate: float) -> int:
+    """Draws below this number skip their candidate."""
+    return min(int(rate * 2.0**64), ALL_BITS)
+
+
 class PieceModel:
     """Pieces and merges of a BPE model with byte fallback."""
 
@@ -81,6 +104,7 @@ class PieceModel:
         self.merged = np.array([merges[int(k)] for k in keys] + [0], dtype=np.int32)
         self.ranks = np.array([rank_of[int(i)] for i in self.merged[:-1]] + [NONE], dtype=np.int32)
         self.by_rank = np.array([i for _, i in by_score], dtype=np.int32)
+        self.rank_of_pair = dict(zip(self.keys[:-1].tolist(), self.ranks[:-1].tolist()))
         # characters that are pieces; the space is the mark, and the mark itself is spelled in bytes to stay distinct
         self.char_ids = np.full(0x110000, -1, dtype=np.int32)
         for piece, i in normal.items():
@@ -93,10 +117,12 @@ class PieceModel:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def segment(self, points: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, points: np.ndarray, keys: np.ndarray | None = None, rate: float = 0.0, skips: np.ndarray | None = None):
         """Agendas of many chunks at once. points: code points, -1 beyond the end. Gives symbols and their number.
 
-        A symbol is a piece id, or -2 - code point for a character without a piece.
+        A symbol is a piece id, or -2 - code point for a character without a piece. Candidates are skipped by the
+        draws of ``keys``, or at the step numbers ``skips`` [rows, any] in ascending order. In the latter case two more arrays
+        give the codes of the candidates after a row's last skip, row by row, and their numbers.
         """
         rows, width = points.shape
         tok = np.where(points < 0, np.int32(-1), self.char_ids[np.maximum(points, 0)])
@@ -107,9 +133,12 @@ class PieceModel:
         rank = np.full((rows, width), NONE, dtype=np.int32)
         if width > 1:
             rank[:, :-1] = self.rank(tok[:, :-1], tok[:, 1:])
-        limit = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+        limit = np.uint64(limit_of(rate))
         active, columns = np.arange(rows), np.arange(width)
+        last = skips[:, -1] if skips is not None and skips.shape[1] else np.full(rows, -1)
+        met, met_codes, step = [np.empty(0, np.int64)], [np.empty(0, np.int64)], -1
         while len(active):
+            step += 1
             j = rank.argmin(axis=1)
             line = np.arange(len(active))
             best = rank[line, j]
@@ -120,12 +149,14 @@ class PieceModel:
                 if not len(active):
                     break
                 line = np.arange(len(active))
-            if rate > 0:
-                drawn = mix(keys[active] ^ mix((pos[line, j] * 65536 + best).astype(np.uint64) * MIX))
-                skipped = drawn < limit
-                rank[line[skipped], j[skipped]] = NONE
+            if skips is not None:
+                skipped = (skips[active] == step).any(axis=1)
+                new = step > last[active]
+                met.append(active[new])
+                met_codes.append(pos[line[new], j[new]] * 65536 + best[new])
             else:
-                skipped = np.zeros(len(active), dtype=bool)
+                skipped = mix(keys[active] ^ codes_of(pos[line, j], best)) < limit if rate > 0 else np.zeros(len(active), dtype=bool)
+            rank[line[skipped], j[skipped]] = NONE
             on = line[~skipped]
             if not len(on):
                 continue
@@ -143,7 +174,43 @@ class PieceModel:
             r[here[back], at[back] - 1] = self.rank(t[here[back], at[back] - 1], t[here[back], at[back]])
             tok[on], pos[on], rank[on] = t, p, r
             size[active[on]] -= 1
-        return out, size
+        if skips is None:
+            return out, size
+        owner = np.concatenate(met)
+        found = np.concatenate(met_codes)[np.argsort(owner, kind="stable")]
+        return out, size, mix(found.astype(np.uint64) * MIX), np.bincount(owner, minlength=rows)
+
+    def segment_long(self, points: np.ndarray, key: int, rate: float) -> np.ndarray:
+        """The agenda of one chunk of any length: a heap of candidates over a linked list. Gives symbols."""
+        n, limit, mult = len(points), limit_of(rate), int(MIX)
+        toks = self.char_ids[points]
+        toks = np.where(toks < 0, -2 - points, toks).astype(np.int64)
+        ranks = self.rank(toks[:-1], toks[1:])
+        tok: list[int | None] = toks.tolist()
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(int(ranks[i]), i, tok[i], tok[i + 1]) for i in np.flatnonzero(ranks < NONE).tolist()]
+        heapq.heapify(heap)
+
+        def offer(i: int, j: int) -> None:
+            a, b = tok[i], tok[j]
+            if a >= 0 and b >= 0 and (r := self.rank_of_pair.get(a * self.n + b)) is not None:
+                heapq.heappush(heap, (r, i, a, b))
+
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if tok[i] != a or j == n or tok[j] != b:
+                continue  # one of its symbols has been merged since
+            if limit and mix_one(key ^ mix_one((i * 65536 + r) * mult & ALL_BITS)) < limit:
+                continue
+            tok[i], tok[j] = int(self.by_rank[r]), None
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                offer(i, k)
+            if left[i] >= 0:
+                offer(left[i], i)
+        return np.array([t for t in tok if t is not None], dtype=np.int32)
 
     def spell(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat piece ids, characters without a piece as their UTF-8 bytes, and the number of ids of each chunk."""
@@ -160,7 +227,7 @@ class PieceModel:
         total = np.concatenate([[0], np.cumsum(count)])
         return flat, total[ends] - total[ends - sizes]
 
-    def encode(self, texts: list[str], doc_keys: np.ndarray, rate: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], doc_keys: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, one after another, and how many each has."""
         index: dict[str, int] = {}
         occurrences, per_doc = [], np.zeros(len(texts), dtype=np.int64)
@@ -171,54 +238,85 @@ class PieceModel:
                 per_doc[d] = len(found)
         if not occurrences:
             return np.empty(0, np.int32), per_doc
-        chunk = np.array(occurrences, dtype=np.int64)
         nth = ragged(np.zeros(len(texts), dtype=np.int64), per_doc).astype(np.uint64)
-        if rate > 0:
-            drawn = mix(np.repeat(doc_keys, per_doc) ^ mix((nth + np.uint64(1)) * MIX ^ np.uint64(seed & (2**64 - 1))))
-            variant = (drawn % np.uint64(variants)).astype(np.int64)
-        else:
-            variant = np.zeros(len(chunk), dtype=np.int64)
-        pairs, inverse = np.unique(chunk * variants + variant, return_inverse=True)
-        flat, sizes = self._chunks(list(index), pairs // variants, pairs % variants, rate, seed)
+        keys = mix(np.repeat(doc_keys, per_doc) ^ mix((nth + np.uint64(1)) * MIX ^ np.uint64(seed & ALL_BITS)))
+        flat, sizes, result = self._occurrences(list(index), np.array(occurrences, dtype=np.int64), keys, rate)
         starts = np.cumsum(sizes) - sizes
-        ids = flat[ragged(starts[inverse], sizes[inverse])]
-        ends = np.concatenate([[0], np.cumsum(sizes[inverse])])
+        ids = flat[ragged(starts[result], sizes[result])]
+        ends = np.concatenate([[0], np.cumsum(sizes[result])])
         last = np.cumsum(per_doc)
         return ids, ends[last] - ends[last - per_doc]
 
-    def _chunks(self, chunks: list[str], which: np.ndarray, variant: np.ndarray, rate: float, seed: int):
+    def _occurrences(self, chunks: list[str], chunk: np.ndarray, keys: np.ndarray, rate: float):
+        """Flat ids of distinct results, their sizes, and each occurrence's result."""
         lengths = np.array([len(c) for c in chunks], dtype=np.int64)
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
         starts = np.cumsum(lengths) - lengths
-        keys = mix((variant.astype(np.uint64) + np.uint64(1)) * MIX ^ mix(np.full(1, seed & (2**64 - 1), dtype=np.uint64)))
-        size = lengths[which]
-        symbols: list = [None] * 0
-        found_sizes = np.zeros(len(which), dtype=np.int64)
-        order, done = [], np.zeros(len(which), dtype=bool)
-        width_of = list(WIDTHS)
-        while width_of[-1] < size.max():
-            width_of.append(width_of[-1] * 2)
-        for width in width_of:
-            rows = np.flatnonzero(~done & (size <= width))
-            done[rows] = True
-            step = max(1, CELLS // width)
-            for i in range(0, len(rows), step):
-                part = rows[i:i + step]
+        result, flats, sizes, made = np.empty(len(chunk), dtype=np.int64), [], [], 0
+        long = np.flatnonzero(lengths[chunk] > LONG)
+        if len(long):
+            own = long if rate > 0 else long[np.unique(chunk[long], return_index=True)[1]]
+            symbols = [self.segment_long(points[starts[c]:starts[c] + lengths[c]], int(keys[o]), rate) for o, c in zip(own, chunk[own])]
+            flat, n = self.spell(np.concatenate(symbols), np.array([len(x) for x in symbols], dtype=np.int64))
+            flats.append(flat)
+            sizes.append(n)
+            result[long] = np.arange(len(own)) if rate > 0 else np.searchsorted(chunk[own], chunk[long])
+            made = len(own)
+        live = np.flatnonzero(lengths[chunk] <= LONG)
+        which, at = np.unique(chunk[live], return_inverse=True)
+        skips = np.empty((len(which), 0), dtype=np.int64)
+        while len(live):
+            flat, n, codes, met = self._agendas(points, starts[which], lengths[which], skips=skips)
+            flats.append(flat)
+            sizes.append(n)
+            result[live] = made + at
+            made += len(which)
+            if rate <= 0:
+                break
+            hit = first_below(keys[live], codes, (np.cumsum(met) - met)[at], met[at], limit_of(rate))
+            more = hit >= 0
+            live, at = live[more], at[more]
+            # numbers of steps count from the last skip
+            step = hit[more] + (skips[at, -1] + 1 if skips.shape[1] else 0)
+            steps = int(step.max(initial=0)) + 1
+            pairs, joint = np.unique(at * steps + step, return_inverse=True)
+            if 2 * len(pairs) > len(live):  # little to share: each occurrence draws for itself
+                if len(live):
+                    flat, n = self._agendas(points, starts[which[at]], lengths[which[at]], keys=keys[live], rate=rate)
+                    flats.append(flat)
+                    sizes.append(n)
+                    result[live] = made + np.arange(len(live))
+                break
+            parent, at = pairs // steps, joint
+            which, skips = which[parent], np.concatenate([skips[parent], (pairs % steps)[:, None]], axis=1)
+        return np.concatenate(flats), np.concatenate(sizes), result
+
+    def _agendas(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None = None, rate: float = 0.0,
+                 skips: np.ndarray | None = None):
+        """``segment`` of chunks of many lengths, in the order given; symbols are spelled as ids."""
+        symbols, codes, order = [], [np.empty(0, np.uint64)], []
+        found, met = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+        done = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((lengths > done) & (lengths <= width))
+            done = width
+            for i in range(0, len(rows), CELLS // width):
+                part = rows[i:i + CELLS // width]
                 grid = np.full((len(part), width), -1, dtype=np.int32)
-                inside = np.arange(width)[None, :] < size[part][:, None]
-                grid[inside] = points[ragged(starts[which[part]], size[part])]
-                out, n = self.segment(grid, keys[part], rate)
+                inside = np.arange(width)[None, :] < lengths[part][:, None]
+                grid[inside] = points[ragged(starts[part], lengths[part])]
+                if skips is None:
+                    out, n = self.segment(grid, keys[part], rate)
+                else:
+                    out, n, code, met[part] = self.segment(grid, skips=skips[part])
+                    codes.append(code)
                 symbols.append(out[np.arange(width)[None, :] < n[:, None]])
-                found_sizes[part] = n
+                found[part] = n
                 order.append(part)
-        order_ = np.concatenate(order)
-        flat, spelled = self.spell(np.concatenate(symbols), found_sizes[order_])
-        # back into the order of the pairs
-        sizes = np.zeros(len(which), dtype=np.int64)
-        sizes[order_] = spelled
-        at = np.zeros(len(which), dtype=np.int64)
-        at[order_] = np.cumsum(spelled) - spelled
-        return flat[ragged(at, sizes)], sizes
+        order = np.concatenate(order)
+        flat, spelled = self.spell(np.concatenate(symbols), found[order])
+        flat, sizes = _put_back(flat, spelled, order)
+        return (flat, sizes) if skips is None else (flat, sizes, *_put_back(np.concatenate(codes), met[order], order))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text; the space that encoding puts in front is removed."""
@@ -226,6 +324,30 @@ class PieceModel:
         return data[1:] if data[:1] == b" " else data
 
 
+def _put_back(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ragged rows that lie in the order given, in the order of their numbers."""
+    whole, at = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+    whole[order] = sizes
+    at[order] = np.cumsum(sizes) - sizes
+    return flat[ragged(at, whole)], whole
+
+
+def first_below(keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
+    """Per key the place of the first of its codes (from its start on) whose draw is below the limit; -1 if there is none."""
+    out = np.full(len(keys), -1, dtype=np.int64)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(keys):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, side="right")))
+        n = sizes[lo:hi]
+        below = np.flatnonzero(mix(np.repeat(keys[lo:hi], n) ^ codes[ragged(starts[lo:hi], n)]) < np.uint64(limit))
+        before = np.cumsum(n) - n
+        owner, first = np.unique(np.searchsorted(np.cumsum(n), below, side="right"), return_index=True)
+        out[lo + owner] = below[first] - before[owner]
+        lo = hi
+    return out
+
+
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -237,7 +359,7 @@ def model(path: str | None = None) -> PieceModel:
 
 
 def encode(docs: DataFrame, key: Column | None = None, text_col: str = "text", rate: float = RATE, seed: int = SEED,
-           variants: int = VARIANTS, keep: list[str] | None = None, path: str | None = None) -> DataFrame:
+           keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Add ``ids`` (array of piece ids) to every whole text.
 
     ``key`` (a bigint column, a hash of the text by default) keys a document's draws; rows with
@@ -253,7 +375,7 @@ def encode(docs: DataFrame, key: Column | None = None, text_col: str = "text", r
     def run(texts, pieces):
         heads = [t.split(b":", 1) for t in texts]
         keys = mix(np.array([int(h) for h, _ in heads], dtype=np.int64).view(np.uint64) ^ np.uint64(seed & (2**64 - 1)))
-        ids, sizes = pieces.encode([t.decode() for _, t in heads], keys, rate, seed, variants)
+        ids, sizes = pieces.encode([t.decode() for _, t in heads], keys, rate, seed)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
 

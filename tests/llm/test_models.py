@@ -22,7 +22,7 @@ def texts():
 
 
 def flat(model, texts, rate, seed=1):
-    ids, sizes = model.encode(texts, np.arange(len(texts), dtype=np.uint64), rate, seed, 8)
+    ids, sizes = model.encode(texts, np.arange(len(texts), dtype=np.uint64), rate, seed)
     ends = np.cumsum(sizes)
     return [ids[e - n:e] for e, n in zip(ends, sizes)]
 
@@ -82,6 +82,42 @@ def test_array_agenda_equals_the_step_by_step_agenda(texts):
         assert out[i, :n[i]].tolist() == brute_segment(m, c, keys[i], 0.3)
 
 
+def test_every_occurrence_draws_for_itself(texts):
+    """Shared, own and long agendas give what the step-by-step agenda gives for each occurrence's key."""
+    m, po, rate = piece_dropout.model(), piece_dropout, 0.3
+    some = [*texts[:12], "understanding " * 60, "abc" * 45 + " é" + "x" * 130]
+    got = flat(m, some, rate, 5)
+    for d, (text, ids) in enumerate(zip(some, got)):
+        want = []
+        for nth, c in enumerate(po.CHUNKS.findall(" " + text)):
+            key = po.mix(np.array([d], np.uint64) ^ po.mix(np.array([nth + 1], np.uint64) * po.MIX ^ np.uint64(5)))[0]
+            symbols = np.array(brute_segment(m, c, key, rate), dtype=np.int32)
+            want += m.spell(symbols, np.array([len(symbols)]))[0].tolist()
+        assert ids.tolist() == want
+
+
+def test_long_chunks_equal_the_array_agenda():
+    m, rng = piece_dropout.model(), np.random.default_rng(3)
+    for rate in (0.0, 0.1):
+        points = rng.choice([ord(c) for c in "abcdeinorst漢é"], 500).astype(np.int32)
+        out, n = m.segment(points[None, :], np.array([77], np.uint64), rate)
+        assert m.segment_long(points, 77, rate).tolist() == out[0, :n[0]].tolist()
+    run = "abcdefghij" * 20_000  # 200,000 characters without a space
+    ids, _ = m.encode([run], np.array([1], np.uint64), 0.1, 1)
+    assert m.decode(ids) == run.encode()
+
+
+def test_frequent_words_vary_and_each_merge_is_skipped_at_the_rate():
+    m = piece_dropout.model()
+    got = flat(m, ["x international"] * 4000, 0.1)
+    assert len({tuple(g) for g in got}) > 50
+    out, n, codes, met = m.segment(np.array([[ord(c) for c in " international"]], np.int32), skips=np.empty((1, 0), np.int64))
+    keys = piece_dropout.mix(np.arange(20_000, dtype=np.uint64))
+    limit = np.uint64(piece_dropout.limit_of(0.1))
+    shares = [(piece_dropout.mix(keys ^ c) < limit).mean() for c in codes]
+    assert len(shares) == met[0] and all(0.09 < s < 0.11 for s in shares)
+
+
 def test_encode_and_decode_tables(make_docs, odd_rows):
     coded = piece_dropout.decode(piece_dropout.encode(make_docs(odd_rows), F.col("doc_id")))
     assert coded.columns[-2:] == ["ids", "decoded"] and coded.count() == len(odd_rows)
