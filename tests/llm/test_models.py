@@ -277,7 +277,8 @@ def test_word_net_gradients():
 def test_model_probabilities_sum_to_one():
     table = [(f"w{i}".encode(), 3000 - i) for i in range(1500)] + [(lm_score.END, 500)]
     vocab = lm_score.Vocabulary(table, sum(c for _, c in table) + 50, 1560)
-    net = lm_score.train(vocab, ["w1 w2 w3 w900 w1400 x"] * 3, steps=3)
+    net = lm_score.WordNet(vocab)
+    lm_score.learn(net, [lm_score.symbols(lm_score.tokens_of(b"w1 w2 w3 w900 w1400 x"), vocab)[0]] * 30, lanes=4)
     symbols = [np.array([s]) for s in range(vocab.symbols)]
     used = [s for s in range(vocab.symbols) if s >= vocab.base or s < lm_score.HEAD]
     total = sum(math.exp(net.log_probs([symbols[s]])[0]) for s in used)
@@ -310,11 +311,30 @@ def test_lm_scores_base_exactly_and_beat_it_on_held_out_documents(spark):
 def test_lm_state_does_not_depend_on_lanes(texts):
     c = Counter(t for x in texts for t in lm_score.tokens_of(x.encode()))
     vocab = lm_score.Vocabulary(list(c.items()), sum(c.values()), len(c))
-    net = lm_score.train(vocab, texts[:50], steps=5)
+    net = lm_score.WordNet(vocab)
+    lm_score.learn(net, [lm_score.symbols(lm_score.tokens_of(t.encode()), vocab)[0] for t in texts[:50]], lanes=16)
     docs = [lm_score.symbols(lm_score.tokens_of(t.encode()), vocab)[0] for t in texts[:40]]
     assert np.allclose(net.log_probs(docs), [net.log_probs([d], window=17)[0] for d in docs], rtol=1e-4)
 
 
+def test_lm_training_reads_every_token_once_and_grows_with_the_corpus(spark):
+    doc = np.arange(2 * lm_score.STRETCH + 100)
+    parts = list(lm_score.stretches(doc, 7))
+    assert np.concatenate([y[y >= 0] for _, y in parts]).tolist() == doc.tolist()
+    assert parts[0][0][0] == 7 and all(x[1:].tolist() == [*range(x[1], x[1] + len(x) - 1)] for x, _ in parts)
+    assert [int((y < 0).sum()) for _, y in parts] == [0, lm_score.WARM, lm_score.WARM]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    counts = Counter(t for r in docs.collect() for t in lm_score.tokens_of(r["text"].encode()))
+    vocab = lm_score.Vocabulary(list(counts.items()), sum(counts.values()), len(counts))
+    copies = docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
+    one, log = lm_score.fit(docs, vocab, share=1.0)
+    _, two = lm_score.fit(docs.union(copies), vocab, share=1.0)
+    assert sum(n for n, _ in log) == vocab.n and sum(n for n, _ in two) == 2 * vocab.n
+    assert log[-1][1] < log[0][1]  # later rounds, of other documents, lose less
+    part = sum(n for n, _ in lm_score.fit(docs, vocab)[1])
+    assert 0.5 * vocab.n < part / lm_score.TRAIN_SHARE < 2 * vocab.n
+
+
 def test_lm_odd_rows(make_docs, odd_rows):
     got = lm_score.score(make_docs(odd_rows)).collect()
     assert len(got) == len(odd_rows)
