@@ -88,6 +88,12 @@ def crc_of_id(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
+def text_window(text: Column, chars: int) -> Column:
+    """The text, or of one with more than ``chars`` characters a stretch of that length at a place drawn from its hash."""
+    room = F.greatest(F.length(text) - chars + 1, F.lit(1))
+    return F.when(F.length(text) <= chars, text).otherwise(F.substring(text, F.pmod(F.xxhash64(text), room).cast("int") + 1, F.lit(chars)))
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Rows with their number ``g`` from 0 in the order given, and the partition ``part`` that holds them.
 

@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import LOWER, append_columns, id_crc
+from .common import LOWER, append_columns, id_crc, text_window
 
 HIDDEN = 12
 EMBED = 8
 # Longer words are read as pieces of this many bytes.
 WORD_BYTES = 24
-# Bounds of the training sample: documents per language, languages (the most frequent), characters of a document.
+# Bounds of the training sample: documents per language, languages (the most frequent), characters
+# of a document: of a longer one a stretch of that length is read.
 DOCS_PER_LANG = 250
 MAX_LANGS = 100
 TRAIN_CHARS = 20_000
@@ -149,14 +150,14 @@ def training_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     lang, doc = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{id_col}`")
     usable = docs.select(doc.alias("doc"), lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where(
         "lang is not null and text is not null and doc is not null").where(id_crc(F.col("doc")) % 5 != 0).where(
-        F.length("text").between(1, TRAIN_CHARS))
+        F.length("text") > 0)
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return []
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.col("doc").cast("string")), F.lit(1_000_003)) / 1_000_003.0
     picked = usable.where(F.col("lang").isin([r["lang"] for r in counts])).where(draw < share)
-    rows = picked.select("doc", "text", "lang").collect()
+    rows = picked.select("doc", text_window(F.col("text"), TRAIN_CHARS).alias("text"), "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (str(r["doc"]), r["text"], r["lang"]))]
 
 

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import LOWER, append_columns, id_crc, ragged
+from .common import LOWER, append_columns, id_crc, ragged, text_window
 
-# Bounds of the training sample: documents per label, characters of a document.
+# Bounds of the training sample: documents per label, characters of a document (of a longer one a stretch of that length).
 DOCS_PER_LABEL = 1200
 TRAIN_CHARS = 12_000
 BUCKETS = 1 << 18
@@ -430,7 +430,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     draw = F.pmod(F.xxhash64("doc"), F.lit(1_000_003)) / 1_000_003.0
     picked = known.where(draw < share)
     texts = docs.select(doc.cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where(
-        F.length("text").between(1, TRAIN_CHARS))
+        F.length("text") > 0).withColumn("text", text_window(F.col("text"), TRAIN_CHARS))
     rows = texts.join(F.broadcast(picked), "doc").collect()
     ordered = sorted(rows, key=lambda r: (r["doc"], r["text"]))
     return [(r["text"], r["y"]) for r in ordered], counts.get(1, 0) / sum(counts.values())

@@ -214,6 +214,18 @@ def test_toxicity_held_out_and_odd_rows(spark, make_docs, odd_rows):
     assert toxicity.score(make_docs([]), none).count() == 0
 
 
+def test_long_labelled_documents_are_learned_from_by_a_stretch(spark, make_docs):
+    long = "abcdefghij" * 3000
+    rows = [(i, long + str(i)) for i in range(20)] + [(20 + i, "short") for i in range(20)]
+    got = langid.training_sample(make_docs(rows))
+    kept = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+    assert len(got) == kept
+    assert {len(t) for t, _ in got} == {5, langid.TRAIN_CHARS} and all(any(t in text for _, text in rows) for t, _ in got)
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    got, _ = toxicity.training_sample(make_docs(rows), labels)
+    assert len(got) == kept and {(len(t), y) for t, y in got} == {(5, 0), (toxicity.TRAIN_CHARS, 1)}
+
+
 def test_toxic_spans(make_docs):
     rng = np.random.default_rng(4)
     vocab = [f"w{i}" for i in range(200)]
