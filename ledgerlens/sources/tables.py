@@ -1,6 +1,8 @@
 """Reading data sets: extension dispatch, header clean-up, date coercion by name."""
 from __future__ import annotations
 
+import csv
+import io
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions._cols import q
 from ..functions.aggs import rows_of
 from ..functions.schema import SEMANTIC_KEYWORDS
+from ..session import stored
+from .csv_ranges import LATIN1, UTF8, csv_records
 
 TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -28,26 +32,45 @@ MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 _INTEGER, _DECIMAL = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
-    """A1 + A2: header row, typed columns; UTF-8 first, Latin-1 when bytes do not decode.
+_CSV = {"escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
 
-    Quoted cells may hold doubled quotes and line breaks (``multi_line=False`` gives
-    the latter up so that large files split). The usual missing-value tokens
-    become NULL; a row with more cells than the header raises, a shorter one is filled with
-    NULL. A column is whole numbers, numbers or true/false when all its values are, else text;
-    one aggregate decides that for all columns.
-    """
+
+def _text_schema(n: int) -> str:
+    return ", ".join(f"_c{i} string" for i in range(n))
+
+
+def _whole_files(spark: SparkSession, path: str, encoding: str | None):
+    """Header cells and text rows by Spark's own reader, which takes a file with line breaks in cells as one piece."""
     if encoding is None:
         bad = spark.read.text(path).select(F.count_if(~F.is_valid_utf8("value")).alias("n")).first()["n"]
-        encoding = "ISO-8859-1" if bad else "UTF-8"
-    reader = (spark.read.option("encoding", encoding).option("escape", '"').option("multiLine", multi_line)
-              .option("mode", "PERMISSIVE").option("maxCharsPerColumn", -1))
+        encoding = LATIN1 if bad else UTF8
+    reader = spark.read.options(encoding=encoding, multiLine=True, **_CSV)
     head = reader.option("header", False).csv(path).first()
+    schema = None if head is None else _text_schema(len(head) + 1)
+    return head, schema and reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A1 + A2: header row, typed columns; UTF-8 first, Latin-1 for a file whose bytes do not decode.
+
+    Quoted cells may hold doubled quotes and line breaks, and large files are still read by many tasks
+    (:mod:`.csv_ranges`; files with lone carriage returns or an encoding other than UTF-8 and Latin-1 take one task each).
+    The usual missing-value tokens become NULL; a row with more cells than the header raises, a shorter one is filled with
+    NULL. A column is whole numbers, numbers or true/false when all its values are, else text;
+    one aggregate decides that for all columns.
+    """
+    records = csv_records(spark, path, encoding) if encoding in (None, UTF8, LATIN1) else None
+    if records is None:
+        head, raw = _whole_files(spark, path, encoding)
+    else:
+        records = stored(records, "csv-records")
+        head = records.where("header").agg(F.min_by("text", "file").alias("h")).first()["h"]
+        head = None if head is None else next(csv.reader(io.StringIO(head.lstrip("\ufeff"), newline="")))
+        raw = None if head is None else records.where("NOT header").select(
+            F.from_csv("text", F.lit(_text_schema(len(head) + 1)), _CSV).alias("r")).select("r.*")
     if head is None:
         raise ValueError("the file is empty")
-    names = [str(c) if c is not None else f"Unnamed: {i}" for i, c in enumerate(head)]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
-    raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    names = [str(c) if c not in (None, "") else f"Unnamed: {i}" for i, c in enumerate(head)]
     cells = [F.when(~F.col(f"_c{i}").isin(*MISSING_TOKENS), F.col(f"_c{i}")) for i in range(len(names))]
     text = raw.select(*[c.alias(f"_c{i}") for i, c in enumerate(cells)], F.col(f"_c{len(names)}").alias("_more"))
     kinds = [F.count("_more").alias("more")]
