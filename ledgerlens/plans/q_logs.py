@@ -99,6 +99,16 @@ def a9(spark, sf):
     return _question_log(spark, sf).read("queries")
 
 
+@register("a9_compacted_log", QUESTION_LOG + "SELECT *, CAST(1 AS BIGINT) AS files FROM l UNION ALL SELECT * REPLACE (dataset || ' again' AS dataset), CAST(1 AS BIGINT) FROM l")
+def a9c(spark, sf):
+    """Every question appended twice, the log compacted into one file, and read back."""
+    log = _question_log(spark, sf)
+    log.log_queries(log.read("queries").withColumn("dataset", F.concat("dataset", F.lit(" again"))))
+    log.compact("queries")
+    rows = log.read("queries")
+    return finalize(rows.withColumn("files", F.lit(len(rows.inputFiles()))))
+
+
 @register("k2_recent_questions", QUESTION_LOG + "SELECT question, created_at FROM (SELECT * FROM l ORDER BY created_at DESC, question LIMIT 20)")
 def k2(spark, sf):
     return _question_log(spark, sf).recent_queries().select("question", "created_at")

@@ -41,8 +41,8 @@ def test_sample_catalog_lists_what_is_there(spark, sf):
 
 
 def test_audit_log_shows_failures_other_than_a_missing_log(spark, tmp_path):
-    (tmp_path / "audit" / "datasets").mkdir(parents=True)
-    (tmp_path / "audit" / "datasets" / "part-0.parquet").write_text("not parquet")
+    (tmp_path / "audit" / "datasets" / "rows-0").mkdir(parents=True)
+    (tmp_path / "audit" / "datasets" / "rows-0" / "part-0.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         AuditLog(spark, str(tmp_path / "audit")).read("datasets").collect()
 
@@ -68,6 +68,45 @@ def test_audit_log_roundtrip(spark, tmp_path):
     assert log.recent_datasets(1).count() == 1 and log.recent_queries().first()["question"] == "top 5 brands"
 
 
+def test_a_compacted_log_holds_the_same_rows_in_few_files(spark, tmp_path):
+    log, other = AuditLog(spark, str(tmp_path / "audit")), AuditLog(spark, str(tmp_path / "audit"))
+    assert log.compact("reports") and log.vacuum("reports") == 0 and log.read("reports").count() == 0
+    for i in range(4):
+        log.log_report("a", f"type {i}", at=f"2024-01-0{i + 1}T00:00:00")
+    before = sorted(map(tuple, log.read("reports").collect()))
+    planned = log.read("reports")
+    assert log.compact("reports")
+    assert len(log.read("reports").inputFiles()) == 1 and sorted(map(tuple, log.read("reports").collect())) == before
+    assert sorted(map(tuple, planned.collect())) == before  # the old folders are still there
+    other.log_report("b", "later", at="2024-02-01T00:00:00")
+    assert log.read("reports").count() == 5 and log.stats().first()["reports"] == 5
+    assert log.vacuum("reports") == 4 and log.read("reports").count() == 5
+    assert log.compact("reports") and log.vacuum("reports") == 2  # a base, an appended folder
+    for i in range(2):  # replaced folders that are still there do not come back
+        log.log_report("b", f"more {i}")
+        assert log.compact("reports")
+    assert log.read("reports").count() == 7 and len(log.read("reports").inputFiles()) == 1
+
+
+def test_rows_appended_during_a_compaction_stay_and_one_of_two_compactions_loses(spark, tmp_path, monkeypatch):
+    log, other = AuditLog(spark, str(tmp_path / "audit")), AuditLog(spark, str(tmp_path / "audit"))
+    for i in range(3):
+        log.log_report("a", f"type {i}")
+    scan = log._scan
+
+    def meanwhile(table, folders):
+        rows = scan(table, folders)
+        other.log_report("b", "meanwhile")
+        assert other.compact("reports")
+        return rows
+
+    monkeypatch.setattr(log, "_scan", meanwhile)
+    assert not log.compact("reports")
+    monkeypatch.undo()
+    assert sorted(r["report_type"] for r in log.read("reports").collect()) == ["meanwhile", "type 0", "type 1", "type 2"]
+    assert len(log.read("reports").inputFiles()) == 1
+
+
 def test_report_tables_written(spark, sf, tmp_path):
     d = V.dirty_view(spark, sf)
     t = report_tables(d, 1000, order_by=["OrderID", "LineNo"])
