@@ -65,6 +65,24 @@ def cumulative(df: DataFrame, part_cols, order_cols, weight_cols, prefix: str =
     return x.drop("_p", "_kp", *[f"_k{i}" for i in range(len(parts))], *[f"_off_{w}" for w in weight_cols])
 
 
+def with_next(df: DataFrame, order_cols, value_cols, name: str = "next") -> DataFrame:
+    """Add struct ``name``: the ``value_cols`` of the following row in ascending order, NULL for the last row.
+
+    Rows are range-partitioned; inside a partition a window looks ahead, and a partition's last row gets the
+    first row of the next one that has rows, from a table of one row a partition. The order
+    columns must tell all rows apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(q(c)) for c in order_cols]
+    value = F.struct(*[F.col(q(c)) for c in value_cols])
+    x = stored(df.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    firsts = x.groupBy("_p").agg(F.min_by(value, F.struct(*keys)).alias("_first"))
+    edges = firsts.select(F.col("_p").alias("_kp"), F.lead("_first").over(Window.orderBy("_p")).alias("_edge"))
+    inside = F.lead(value).over(Window.partitionBy("_p").orderBy(*keys))
+    x = x.join(edges, F.col("_p") == F.col("_kp")).withColumn("_inside", inside)
+    return x.withColumn(name, F.coalesce("_inside", "_edge")).drop("_p", "_kp", "_inside", "_edge")
+
+
 def unpivot_numeric(df: DataFrame, columns, group_cols=(), drop_null: bool = True) -> DataFrame:
     """(group..., column, value double) for the given numeric columns; NaN counts as missing."""
     group_cols = list(group_cols)

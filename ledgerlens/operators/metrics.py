@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggs import one_row, rows_of
-from ..functions.ranking import cumulative
+from ..functions.ranking import cumulative, with_next
 from ..functions.scalars import round_scaled
 from ..session import stored
 
@@ -116,12 +116,20 @@ def _score_table(df, label, score):
             .withColumn("neg_s", -F.col("s")))
 
 
-def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str, drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, descending, starting at (0, 0).
 
-    Collinear points are kept (the reference's library drops them by default).
+    With ``drop_intermediate`` a point goes when the step that leads to it and the step after it add the same
+    counts, as plotting libraries drop points inside a straight run; the highest and the lowest score stay.
     """
-    st = cumulative(_score_table(df, label, score), [], ["neg_s"], ["pos", "neg"])
+    st = _score_table(df, label, score)
+    if drop_intermediate:
+        st = with_next(st, ["neg_s"], ["pos", "neg"])
+    st = cumulative(st, [], ["neg_s"], ["pos", "neg"])
+    if drop_intermediate:
+        same = (F.col("next.pos") == F.col("pos")) & (F.col("next.neg") == F.col("neg"))
+        first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+        st = st.where(first | F.coalesce(~same, F.lit(True)))
     pts = st.select(F.col("s").alias("threshold"),
                     (F.col("cum_neg") / F.col("total_neg")).alias("fpr"),
                     (F.col("cum_pos") / F.col("total_pos")).alias("tpr"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._cols import q
-from ..functions.aggs import is_missing, modes, one_row, per_column_rows
+from ..functions.aggs import is_missing, distinct_counts, modes, one_row, per_column_rows
 from ..functions.ranking import quantiles
 from ..functions.scalars import human_readable_size
 from ..functions.schema import (CATEGORICAL_MAX_UNIQUE, categorical_columns, datetime_columns,
@@ -86,7 +86,7 @@ def context_summary(df: DataFrame) -> DataFrame:
     pos = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "position int, column string")
     out = counts.join(F.broadcast(pos), "column")
     if texts:
-        md = modes(df, texts, "string").select("column", F.col("n_unique").alias("unique"), F.col("mode").alias("top"))
+        md = modes(df, texts).join(distinct_counts(df, texts), "column").select("column", F.col("n_unique").alias("unique"), F.col("mode").alias("top"))
         out = out.join(md, "column", "left")
     else:
         out = out.withColumn("unique", F.lit(None).cast("bigint")).withColumn("top", F.lit(None).cast("string"))
@@ -119,6 +119,6 @@ def categorical_overview(df: DataFrame, max_unique: int = CATEGORICAL_MAX_UNIQUE
     texts = categorical_columns(df, max_unique)  # values of columns with more are never shuffled
     if not texts:
         return df.sparkSession.createDataFrame([], "column string, unique bigint, top string, top_freq bigint")
-    md = modes(df, texts, "string")
+    md = modes(df, texts, few=True).join(distinct_counts(df, texts), "column")
     return md.select("column", F.col("n_unique").cast("bigint").alias("unique"), F.col("mode").alias("top"),
                      F.col("mode_count").cast("bigint").alias("top_freq"))

@@ -126,6 +126,16 @@ def h17(spark, sf):
     return finalize(M.roc_points(V.scores_view(spark, sf), "label", "score"), 6)
 
 
+@register("h17_roc_corners", SCORE_TABLE + """, steps AS (SELECT *, LEAD(pos) OVER o AS next_pos, LEAD(neg) OVER o AS next_neg,
+  ROW_NUMBER() OVER o AS i FROM cum WINDOW o AS (ORDER BY s DESC))
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL SELECT ROUND(s, 6), ROUND(cn / tn, 6), ROUND(cp / tp, 6) FROM steps
+WHERE i = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""")
+def h17c(spark, sf):
+    """Points inside a run of equal steps are dropped."""
+    return finalize(M.roc_points(V.scores_view(spark, sf), "label", "score", drop_intermediate=True), 6)
+
+
 @register("h18_roc_auc", SCORE_TABLE + """
 SELECT ROUND(SUM(neg * ((cp - pos) + pos / 2.0)) / (MAX(tp) * MAX(tn)), 6) AS auc FROM cum""")
 def h18(spark, sf):

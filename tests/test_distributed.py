@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.aggs import distinct_counts, frequent_candidates, modes
 from ledgerlens.functions.ranking import cumulative, quantiles
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators.modelprep import fold_assignment, stratified_split
@@ -87,6 +88,44 @@ def test_auc_matches_pairwise_brute_force(spark):
     assert (pts[0]["fpr"], pts[0]["tpr"]) == (0.0, 0.0) and (pts[-1]["fpr"], pts[-1]["tpr"]) == (1.0, 1.0)
 
 
+@pytest.mark.parametrize("as_type", ["string", "double"])
+def test_modes_by_sketch_equal_those_by_counting(spark, as_type):
+    rng = np.random.default_rng(6)
+    n = 3000
+    hot = np.where(rng.random(n) < 0.34, 7, rng.integers(100, 100000, n))
+    even = rng.permutation(n)  # no value twice: the sketch can't tell
+    ties = np.arange(n) % 3
+    gaps = [None if i % 2 else int(v) for i, v in enumerate(rng.integers(0, 5, n))]
+    df = spark.createDataFrame([(int(a), int(b), int(c), d, None) for a, b, c, d in zip(hot, even, ties, gaps)],
+                               "`h ot` int, even int, ties int, gaps int, none int")
+    found = frequent_candidates(df, df.columns, as_type, items=256, top=8).first()
+    assert found["c0"] in (["7"], [7.0]) and found["c1"] is None and found["c4"] is None
+    assert len(found["c2"]) == 3 and found["c3"] is not None
+    got = {r["column"]: (r["mode"], r["mode_count"]) for r in modes(df, df.columns, as_type).collect()}
+    assert got == {r["column"]: (r["mode"], r["mode_count"]) for r in modes(df, df.columns, as_type, few=True).collect()}
+    assert got["h ot"][1] == int((hot == 7).sum()) and "none" not in got
+    assert {r["column"]: r["n_unique"] for r in distinct_counts(df, df.columns, as_type).collect()} == {
+        "h ot": len(set(hot)), "even": n, "ties": 3, "gaps": 5}
+
+
+def test_modes_of_odd_doubles(spark):
+    df = spark.createDataFrame([(-0.0,), (0.0,), (float("nan"),), (float("nan"),), (float("nan"),), (1.0,), (None,)], "x double")
+    assert [tuple(r) for r in modes(df, ["x"], "double").collect()] == [("x", 0.0, 2)]
+    assert modes(df.limit(0), ["x"], "double").collect() == []
+
+
+def test_roc_points_inside_a_run_of_equal_steps_are_dropped(spark):
+    rng = np.random.default_rng(5)
+    y, s = rng.integers(0, 2, 400), rng.permutation(400) / 8.0
+    y[100:200] = 1
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    steps = [(1, 0) if a else (0, 1) for _, a in sorted(zip(s, y), reverse=True)]
+    order = sorted(s, reverse=True)
+    kept = [t for i, t in enumerate(order) if i in (0, len(order) - 1) or steps[i + 1] != steps[i]]
+    got = sorted(r["threshold"] for r in M.roc_points(df, "y", "s", drop_intermediate=True).collect())
+    assert got == [*sorted(kept), float("inf")]
+
+
 def test_stratified_split_is_exact_and_repeatable(spark):
     df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(301)], "id int, c string")
     s1 = stratified_split(df, "c", 0.2)
