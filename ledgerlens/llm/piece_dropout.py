@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,25 @@ def limit_of(rate: float) -> int:
     return min(int(rate * 2.0**64), ALL_BITS)
 
 
+SLOT_BITS = 19
+
+
+def _slot(key: np.ndarray, mult: int) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(mult)) >> np.uint64(64 - SLOT_BITS)
+
+
+def _pair_tables(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Hash tables over distinct keys: each slot holds the place of one key; keys whose slot is taken go to the next table."""
+    tables, left = [], np.arange(len(keys), dtype=np.int32)
+    while len(left):
+        mult = mix_one(len(tables) + 1) | 1
+        table = np.full(1 << SLOT_BITS, len(keys), dtype=np.int32)
+        table[_slot(keys[left], mult)] = left
+        left = left[table[_slot(keys[left], mult)] != left]
+        tables.append((mult, table))
+    return tables
+
+
 class PieceModel:
     """Pieces and merges of a BPE model with byte fallback."""
 
@@ -104,6 +124,7 @@ class PieceModel:
         self.merged = np.array([merges[int(k)] for k in keys] + [0], dtype=np.int32)
         self.ranks = np.array([rank_of[int(i)] for i in self.merged[:-1]] + [NONE], dtype=np.int32)
         self.by_rank = np.array([i for _, i in by_score], dtype=np.int32)
+        self.tables = _pair_tables(self.keys[:-1])
         self.rank_of_pair = dict(zip(self.keys[:-1].tolist(), self.ranks[:-1].tolist()))
         # characters that are pieces; the space is the mark, and the mark itself is spelled in bytes to stay distinct
         self.char_ids = np.full(0x110000, -1, dtype=np.int32)
@@ -113,9 +134,13 @@ class PieceModel:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of two pieces, NONE if there is none."""
-        key = np.where((left < 0) | (right < 0), np.int64(-1), left.astype(np.int64) * self.n + right)
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        key = left.astype(np.int64) * self.n + right
+        key[(left < 0) | (right < 0)] = -1
+        at = np.full(key.shape, len(self.keys) - 1, dtype=np.int32)
+        for mult, table in self.tables:
+            entry = table[_slot(key, mult)]
+            at = np.where(self.keys[entry] == key, entry, at)
+        return self.ranks[at]
 
     def segment(self, points: np.ndarray, keys: np.ndarray | None = None, rate: float = 0.0, skips: np.ndarray | None = None):
         """Agendas of many chunks at once. points: code points, -1 beyond the end. Gives symbols and their number.
@@ -161,18 +186,21 @@ class PieceModel:
             if not len(on):
                 continue
             at = j[on]
-            shift = np.minimum(columns + (columns[None, :] > at[:, None]), width - 1)
-            t = np.take_along_axis(tok[on], shift, axis=1)
+            shift = np.minimum(columns + (columns[None, :] > at[:, None]), width - 1) + (on * width)[:, None]
+            t = tok.ravel().take(shift)
             t[:, -1] = -1
-            t[np.arange(len(on)), at] = self.by_rank[best[on]]
-            p = np.take_along_axis(pos[on], shift, axis=1)
-            r = np.take_along_axis(rank[on], shift, axis=1)
-            r[:, -1] = NONE
             here = np.arange(len(on))
+            t[here, at] = self.by_rank[best[on]]
+            p = pos.ravel().take(shift)
+            r = rank.ravel().take(shift)
+            r[:, -1] = NONE
             r[here, at] = np.where(at + 1 < width, self.rank(t[here, at], t[here, np.minimum(at + 1, width - 1)]), NONE)
             back = at > 0
             r[here[back], at[back] - 1] = self.rank(t[here[back], at[back] - 1], t[here[back], at[back]])
-            tok[on], pos[on], rank[on] = t, p, r
+            if len(on) == len(active):
+                tok, pos, rank = t, p, r
+            else:
+                tok[on], pos[on], rank[on] = t, p, r
             size[active[on]] -= 1
         if skips is None:
             return out, size
@@ -229,12 +257,13 @@ class PieceModel:
 
     def encode(self, texts: list[str], doc_keys: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, one after another, and how many each has."""
-        index: dict[str, int] = {}
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__  # a new chunk takes the next number
         occurrences, per_doc = [], np.zeros(len(texts), dtype=np.int64)
         for d, text in enumerate(texts):
             if text:
                 found = CHUNKS.findall(" " + text)
-                occurrences += [index.setdefault(c, len(index)) for c in found]
+                occurrences += map(index.__getitem__, found)
                 per_doc[d] = len(found)
         if not occurrences:
             return np.empty(0, np.int32), per_doc
