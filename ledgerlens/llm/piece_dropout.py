@@ -38,7 +38,7 @@ CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 # Chunks of up to so many characters share an array of that width; beyond the last each takes a heap of its own.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128)
 LONG = WIDTHS[-1]
-CELLS = 1 << 20
+CELLS = 1 << 17
 NONE = np.int32(2**31 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ALL_BITS = 2**64 - 1
