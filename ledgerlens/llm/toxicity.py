@@ -6,7 +6,9 @@ its rate in clean ones explains marks its tokens there. The chain has two states
 toxic); its emission is a sum of hashed word features, trained on the labelled tokens by
 the exact gradient of the log-likelihood. Forward-backward gives each token's
 probability; a logistic model over sums of these turns them into the document's
-score, and tokens above one half give the offending offsets.
+score, and tokens above one half give the offending offsets. What toxic words do not show, since documents of the two labels
+differ in words that clean ones hold or in rates of common ones, enters the score by the evidence of all words: shrunk
+log-odds of their features between toxic and clean documents.
 
 Forward-backward runs on windows of all documents of a batch side by side: the
 2x2 transfer matrices of a window are multiplied first, so states cross windows
@@ -39,7 +41,9 @@ CERTAIN = 0.98
 # Training documents of one label whose sets of SHINGLE-word runs have this Jaccard similarity are copies of one.
 SHINGLE = 5
 COPY = 0.8
-N_FEATURES = 8
+N_FEATURES = 11
+# So many documents that hold a feature at the overall rate are added to those seen.
+SHRINK = 2.0
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -169,6 +173,7 @@ class Tagger:
         self.weights = np.zeros(BUCKETS, dtype=np.float64)
         self.bias = -6.0
         self.trans = np.zeros((2, 2))
+        self.evidence = np.zeros(BUCKETS, dtype=np.float64)
         self.doc_weights = np.zeros(N_FEATURES)
         self.doc_weights[0] = -3.0
 
@@ -176,9 +181,32 @@ class Tagger:
         weight = self.weights.tolist()
         return [self.bias + sum([weight[b] for b in buckets(w)]) for w in words]
 
+    def both(self, words: list[bytes]) -> np.ndarray:
+        """Emission and evidence of every word."""
+        flat, counts = feature_lists(words)
+        owner = np.repeat(np.arange(len(words)), counts)
+        return np.stack([np.bincount(owner, self.weights[flat], minlength=len(words)) + self.bias,
+                         word_evidence(self.evidence, flat, counts)], axis=1)
 
-def document_features(toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per document: 1, log of the expected toxic tokens, their share, the largest probability and its log-odds, length, tokens above one half and near one."""
+
+def feature_lists(words) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the words, one word after another, and their numbers."""
+    flat, counts = array("i"), array("i")
+    for w in words:
+        found = buckets(w)
+        flat.extend(found)
+        counts.append(len(found))
+    return np.array(flat, dtype=np.int32), np.array(counts, dtype=np.int64)
+
+
+def word_evidence(evidence: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The mean evidence of each word's features; 0 without any."""
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), evidence[flat], minlength=len(counts)) / np.maximum(counts, 1)
+
+
+def document_features(toxic: np.ndarray, sizes: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Per document: 1, log of the expected toxic tokens, their share, the largest probability and its log-odds, length, tokens above one half and near one,
+    and the mean, least and largest evidence of its words. ``toxic`` and ``evidence`` are those of all tokens."""
     out = np.zeros((len(sizes), N_FEATURES))
     out[:, 0] = 1.0
     some = sizes > 0
@@ -191,6 +219,8 @@ def document_features(toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         out[some, 5] = np.log1p(np.add.reduceat((toxic > 0.5).astype(float), starts))
         out[some, 6] = np.log1p(np.add.reduceat((toxic > CERTAIN).astype(float), starts))
         out[some, 7] = np.clip(np.log(top + 1e-6) - np.log(1 - top + 1e-6), -8, 8)
+        out[some, 8] = 10 * np.add.reduceat(evidence, starts) / sizes[some]
+        out[some, 9], out[some, 10] = np.minimum.reduceat(evidence, starts), np.maximum.reduceat(evidence, starts)
     out[~some, 1], out[~some, 2], out[~some, 7] = np.log(1e-3), np.log(1e-5), -8
     out[:, 4] = np.log1p(sizes)
     return out
@@ -242,12 +272,12 @@ def copies(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return group
 
 
-def token_labels(docs: list[np.ndarray], toxic: np.ndarray, group: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """1 for tokens of toxic documents with a feature that far more of these hold than clean ones do, and not by chance.
+def holders(docs: list[np.ndarray], toxic: np.ndarray, group: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Clean and toxic documents that hold each feature, and all of either label; near copies (see copies) count once.
 
     docs: word numbers of each document; the features of word w are flat[starts[w]:starts[w] + counts[w]].
     """
-    # near copies (see copies) count once: a feature is held by their group when one of them holds it
+    # a feature is held by a group of near copies when one of them holds it
     seen = np.zeros((2, BUCKETS))
     size = np.zeros(2)
     order = np.argsort(group, kind="stable")
@@ -257,21 +287,38 @@ def token_labels(docs: list[np.ndarray], toxic: np.ndarray, group: np.ndarray, f
             y = int(toxic[members[0]])
             size[y] += 1
             seen[y, np.unique(flat[ragged(starts[held], counts[held])])] += 1
+    return seen, size
+
+
+def feature_evidence(seen: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log of how much oftener toxic documents hold a feature than clean ones do, towards 0 for those seen rarely."""
+    share = np.maximum(size, 1) / np.maximum(size, 1).sum()
+    rate = (seen + SHRINK * share[:, None]) / np.maximum(size, 1)[:, None]
+    return np.log(rate[1]) - np.log(rate[0])
+
+
+def token_labels(docs: list[np.ndarray], toxic: np.ndarray, held: tuple[np.ndarray, np.ndarray], flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 for tokens of toxic documents with a feature that far more of these hold than clean ones do, and not by chance.
+
+    held: the holders of every feature.
+    """
+    seen, size = held
     expected = (seen[0] + 0.5) / max(size[0], 1) * size[1]
     excess = 1 - expected / np.maximum(seen[1], 1e-9)
     surprise = (seen[1] - expected) / np.sqrt(expected + 1)
     # seen in enough toxic documents, mostly there, and far beyond the chance of a frequent feature
     strong = (excess > 0.6) & (surprise > 3) & (seen[1] >= max(5, 0.01 * size[1]))
-    marked = np.zeros(len(starts), dtype=bool)
-    owner = np.repeat(np.arange(len(starts)), counts)
+    marked = np.zeros(len(counts), dtype=bool)
+    owner = np.repeat(np.arange(len(counts)), counts)
     marked[owner[strong[flat]]] = True
     return np.concatenate([marked[d] & bool(y) for d, y in zip(docs, toxic)]).astype(np.float64)
 
 
 def _chain(docs: list[np.ndarray], y: np.ndarray, group: np.ndarray, flat: np.ndarray, counts: np.ndarray, rounds: int) -> dict:
-    """Emission weights w, bias b and transitions t fitted to the token labels of the given documents."""
+    """Emission weights w, bias b and transitions t fitted to the token labels of the given documents, and the features' evidence e."""
     n_words = len(counts)
-    gold = token_labels(docs, y, group, flat, np.cumsum(counts) - counts, counts)
+    held = holders(docs, y, group, flat, np.cumsum(counts) - counts, counts)
+    gold = token_labels(docs, y, held, flat, counts)
     sizes = np.array([len(d) for d in docs])
     ids = np.concatenate(docs)
     columns = np.repeat(np.arange(n_words, dtype=np.int32), counts)
@@ -293,7 +340,7 @@ def _chain(docs: list[np.ndarray], y: np.ndarray, group: np.ndarray, flat: np.nd
         g = {"w": np.bincount(flat, weights=off[columns], minlength=BUCKETS) * scale + 2e-3 * scale * params["w"],
              "b": np.array([off.sum()]) * scale, "t": (count - pair) * scale}
         opt.update({n: v.astype(gru.DTYPE) for n, v in g.items()}, 0.4 * (1 - 0.8 * k / rounds))
-    return params
+    return params | {"e": feature_evidence(*held)}
 
 
 def _word_scores(params: dict, flat: np.ndarray, columns: np.ndarray, n_words: int) -> np.ndarray:
@@ -303,7 +350,8 @@ def _word_scores(params: dict, flat: np.ndarray, columns: np.ndarray, n_words: i
 def _features(params: dict, docs: list[np.ndarray], flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     sizes = np.array([len(d) for d in docs])
     score = _word_scores(params, flat, np.repeat(np.arange(len(counts), dtype=np.int32), counts), len(counts))
-    return document_features(marginals(score[np.concatenate(docs)], sizes, params["t"].astype(float))[0], sizes)
+    ids = np.concatenate(docs)
+    return document_features(marginals(score[ids], sizes, params["t"].astype(float))[0], sizes, word_evidence(params["e"], flat, counts)[ids])
 
 
 def train(samples: list[tuple[str, int]], rounds: int = ROUNDS, prior: float | None = None) -> Tagger:
@@ -323,13 +371,8 @@ def train(samples: list[tuple[str, int]], rounds: int = ROUNDS, prior: float | N
     # words become numbers, and their features one flat array, before anything else is held
     numbers: dict[bytes, int] = {}
     docs = [np.array([numbers.setdefault(w, len(numbers)) for w in tokens_of(t.encode())], dtype=np.int32) for t in unique]
-    flat_, counts_ = array("i"), array("i")
-    for w in numbers:
-        found = buckets(w)
-        flat_.extend(found)
-        counts_.append(len(found))
+    flat, counts = feature_lists(numbers)
     del numbers, unique
-    flat, counts = np.array(flat_, dtype=np.int32), np.array(counts_, dtype=np.int64)
     group = copies(docs, y)
     half = np.zeros(len(y), dtype=np.int64)
     for label in (0, 1):
@@ -345,6 +388,7 @@ def train(samples: list[tuple[str, int]], rounds: int = ROUNDS, prior: float | N
     if not apart:
         x = _features(params, docs, flat, counts)
     tagger.weights, tagger.bias, tagger.trans = params["w"].astype(float), float(params["b"][0]), params["t"].astype(float)
+    tagger.evidence = params["e"]
     tagger.doc_weights = _logistic(x, y, y.mean() if prior is None else prior)
     return tagger
 
@@ -363,21 +407,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
 
 
 class _Scorer:
-    """Emissions of a task's words, kept across its batches up to CACHE_WORDS."""
+    """Emissions and evidence of a task's words, kept across its batches up to CACHE_WORDS."""
 
     def __init__(self, tagger: Tagger):
-        self.tagger, self.cache = tagger, {}
+        self.tagger, self.cache, self.known = tagger, {}, np.empty((0, 2))
 
     def score(self, texts: list[bytes | None]):
         docs = [tokens_of(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+            self.cache, self.known = {}, np.empty((0, 2))
         cache = self.cache
         fresh = list({w for d in docs for w in d if w not in cache})
-        cache.update(zip(fresh, self.tagger.emissions(fresh)))
+        cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh))))
+        self.known = np.concatenate([self.known, self.tagger.both(fresh)])
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        toxic, _, _ = marginals(np.array([cache[w] for d in docs for w in d], dtype=float), sizes, self.tagger.trans)
-        logit = document_features(toxic, sizes) @ self.tagger.doc_weights
+        found = self.known[np.fromiter((cache[w] for d in docs for w in d), dtype=np.int64, count=int(sizes.sum()))]
+        toxic, _, _ = marginals(found[:, 0], sizes, self.tagger.trans)
+        logit = document_features(toxic, sizes, found[:, 1]) @ self.tagger.doc_weights
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), toxic, sizes
 
 

@@ -355,3 +355,19 @@ def test_lm_odd_rows(make_docs, odd_rows):
             assert r["n_tokens"] == 1
         assert math.isfinite(r["score"]) and r["score"] <= 1e-9 and r["base_score"] <= 0
     assert lm_score.score(make_docs([])).count() == 0
+
+
+def test_scores_rank_by_what_only_clean_documents_hold():
+    """Toxic documents that lack a word of the clean ones hold no word that marks them."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(400):
+        words = list(rng.choice(vocab, 60))
+        if i % 4:
+            words[7] = words[30] = "please"
+        texts.append((" ".join(words), int(i % 4 == 0)))
+    tagger = toxicity.train(texts[:300])
+    p, _, _ = toxicity._Scorer(tagger).score([t.encode() for t, _ in texts[300:]])
+    y = np.array([v for _, v in texts[300:]])
+    assert np.mean(p[y == 1][:, None] > p[y == 0][None, :]) > 0.95
