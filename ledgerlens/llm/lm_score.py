@@ -13,8 +13,7 @@ all tokens of a document in order and is carried from window to window, so the
 score is that of the whole text.
 
 The network is trained in numpy by backpropagation truncated to windows, with the state
-carried across them, on a fixed share of all training documents: what it reads grows with the
-corpus. The share is read in ROUNDS jobs; in each, every task trains a copy on its documents and the
+carried across them, on all training documents, each read once. They are read in ROUNDS jobs; in each, every task trains a copy on its documents and the
 copies are averaged by their tokens, first in as many combining tasks as the root of their number. The weights
 therefore depend a little on how the rows lie in tasks.
 """
@@ -42,8 +41,8 @@ TABLE_BYTES = 64
 HEAD = 1024
 CLASS_SIZE = 32
 HIDDEN = 24
-# The network reads this share of the training documents, whole, in so many rounds.
-TRAIN_SHARE = 1 / 8
+# The network reads this share of the training documents (all of them), whole, in so many rounds.
+TRAIN_SHARE = 1.0
 ROUNDS = 8
 LANES = 128
 WINDOW = 32
@@ -154,8 +153,10 @@ class WordNet:
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["class_w"], g["class_b"] = x.T @ d, d.sum(axis=0)
         dx = d @ p["class_w"].T
-        for c in np.unique(cls[goal < self.base]):
-            rows = np.flatnonzero((cls == c) & (goal < self.base))
+        by_class = np.argsort(cls, kind="stable")
+        cuts = np.searchsorted(cls[by_class], np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows = by_class[cuts[c]:cuts[c + 1]]
             q = gru.softmax(x[rows] @ p["word_w"][c] + p["word_b"][c])
             at = goal[rows] - c * CLASS_SIZE
             loss -= np.log(q[np.arange(len(rows)), at] + 1e-9).sum()
@@ -166,7 +167,9 @@ class WordNet:
         d_states = np.zeros_like(flat)
         d_states[real] = dx
         d_gates, g["u"] = gru.backward(d_states.reshape(states.shape), tape, p["u"], keep)
-        np.add.at(g["input"], inputs.reshape(-1), d_gates.reshape(-1, 3 * n))
+        by_input = np.argsort(inputs, axis=None, kind="stable")
+        used, first = np.unique(inputs.reshape(-1)[by_input], return_index=True)
+        g["input"][used] = np.add.reduceat(d_gates.reshape(-1, 3 * n)[by_input], first, axis=0)
         g["c"] = d_gates.sum(axis=(0, 1))
         return float(loss) / max(1, len(real)), g, states[-1]
 
@@ -339,9 +342,9 @@ def _combine(batches):
 
 
 def fit(learn_docs: DataFrame, vocab: Vocabulary, share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> tuple[WordNet, list[tuple[int, float]]]:
-    """The network after ``rounds`` rounds over a share of the documents (doc_id, text), and tokens and mean loss of each round.
+    """The network after ``rounds`` rounds over the documents (doc_id, text), and tokens and mean loss of each round.
 
-    Documents are drawn by a hash of id and text; null texts are empty. Without documents the start is kept, whose
+    Documents are dealt to the rounds by a hash of id and text; ``share`` below 1 leaves some out. Null texts are empty. Without documents the start is kept, whose
     shares are those of the counts.
     """
     spark = learn_docs.sparkSession
@@ -356,7 +359,7 @@ def fit(learn_docs: DataFrame, vocab: Vocabulary, share: float = TRAIN_SHARE, ro
             flat = np.concatenate(syms).astype(np.int32) if syms else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column("turn"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["turn", "syms"])
 
-    sample = learn_docs.where(draw < int(share * 1_000_003)).select((draw % rounds).cast("int").alias("turn"), "text")
+    sample = learn_docs.where(draw < math.ceil(share * 1_000_003)).select((draw % rounds).cast("int").alias("turn"), "text")
     sample = stored(sample.mapInArrow(coded, "turn int, syms array<int>"), "lm-train")
     combiners = max(1, math.isqrt(sample.rdd.getNumPartitions()))
     for r in range(rounds):

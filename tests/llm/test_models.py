@@ -371,3 +371,10 @@ def test_scores_rank_by_what_only_clean_documents_hold():
     p, _, _ = toxicity._Scorer(tagger).score([t.encode() for t, _ in texts[300:]])
     y = np.array([v for _, v in texts[300:]])
     assert np.mean(p[y == 1][:, None] > p[y == 0][None, :]) > 0.95
+
+
+def test_lm_learns_from_every_training_document(spark):
+    docs = spark.createDataFrame([(i, f"a b c d{i % 5}") for i in range(300)], "doc_id long, text string")
+    counts = Counter(t for r in docs.collect() for t in lm_score.tokens_of(r["text"].encode()))
+    vocab = lm_score.Vocabulary(list(counts.items()), sum(counts.values()), len(counts))
+    assert sum(n for n, _ in lm_score.fit(docs, vocab)[1]) == vocab.n
