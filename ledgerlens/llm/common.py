@@ -30,13 +30,16 @@ def utf8(column) -> list[bytes | None]:
     return pc.cast(column, kind).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches by the size of their texts."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches by the size of their texts, or of their lists (``most`` items)."""
+    most = SLICE_BYTES if most is None else most
     for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        column = b.column(text)
+        listed = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+        sizes = pc.fill_null(pc.list_value_length(column) if listed else pc.binary_length(column), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > most:
                 yield b.slice(start, i - start)
                 start, held = i, 0
             held += n

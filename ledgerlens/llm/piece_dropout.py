@@ -28,8 +28,9 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import append_columns, ragged
+from .common import ragged, slices, utf8
 
 RATE = 0.1
 SEED = 17
@@ -42,6 +43,8 @@ CELLS = 1 << 17
 NONE = np.int32(2**31 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ALL_BITS = 2**64 - 1
+# Encoding takes so many bytes of text at once, decoding so many ids.
+ENCODE_BYTES, DECODE_IDS = 1 << 20, 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -398,17 +401,24 @@ def encode(docs: DataFrame, key: Column | None = None, text_col: str = "text", r
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
     # by position, so that no name of the input can clash
     places = [f"k{i}" for i in range(len(kept))]
-    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, places)],
-                         F.concat(F.coalesce(key, F.lit(0)), F.lit(":"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("keyed"))
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, places)], F.coalesce(key, F.lit(0)).cast("long").alias("key_in"),
+                         F.col(f"`{text_col}`").cast("string").alias("text_in"))
+    schema = T.StructType([*source.schema.fields[:len(kept)], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    # a kept text is sent to the tasks once
+    text = "text_in"
+    if text_col in kept and isinstance(docs.schema[text_col].dataType, T.StringType):
+        source, text = source.drop("text_in"), places[kept.index(text_col)]
 
-    def run(texts, pieces):
-        heads = [t.split(b":", 1) for t in texts]
-        keys = mix(np.array([int(h) for h, _ in heads], dtype=np.int64).view(np.uint64) ^ np.uint64(seed & (2**64 - 1)))
-        ids, sizes = pieces.encode([t.decode() for _, t in heads], keys, rate, seed)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
+    def run(batches):
+        pieces = model(path)
+        for b in slices(batches, text, ENCODE_BYTES):
+            keys = mix(b.column("key_in").to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(seed & ALL_BITS))
+            ids, sizes = pieces.encode([t.decode() if t else "" for t in utf8(b.column(text))], keys, rate, seed)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [found], names=[*places, "ids"])
 
-    return append_columns(source, "keyed", "ids array<int>", run, keep=places, setup=lambda: (model(path),)).toDF(*kept, "ids")
+    return source.mapInArrow(run, schema).toDF(*kept, "ids")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -419,7 +429,7 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> Data
 
     def run(batches):
         pieces = model(path)
-        for b in batches:
+        for b in slices(batches, "ids_in", DECODE_IDS):
             col = b.column("ids_in")
             out = [None if not col[i].is_valid else pieces.decode(np.asarray(col[i].values)).decode() for i in range(len(col))]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [pa.array(out, pa.string())], names=[*places, "decoded"])

@@ -378,3 +378,19 @@ def test_lm_learns_from_every_training_document(spark):
     counts = Counter(t for r in docs.collect() for t in lm_score.tokens_of(r["text"].encode()))
     vocab = lm_score.Vocabulary(list(counts.items()), sum(counts.values()), len(counts))
     assert sum(n for n, _ in lm_score.fit(docs, vocab)[1]) == vocab.n
+
+
+def test_piece_tasks_work_on_small_slices(spark, monkeypatch):
+    """Slices are cut by texts and by ids, and the result does not depend on them."""
+    import pyarrow as pa
+    from ledgerlens.llm.common import slices
+    batch = pa.RecordBatch.from_arrays([pa.array([[1, 2], None, [3, 4, 5], [6]], pa.list_(pa.int32()))], names=["ids"])
+    assert [b.num_rows for b in slices(iter([batch]), "ids", 3)] == [2, 1, 1]
+    docs = spark.createDataFrame([(i, f"some words {i}" if i % 7 else None) for i in range(60)], "doc_id long, text string").coalesce(1)
+    whole = [tuple(r["ids"]) for r in piece_dropout.encode(docs, F.col("doc_id")).orderBy("doc_id").collect()]
+    monkeypatch.setattr(piece_dropout, "ENCODE_BYTES", 30)
+    monkeypatch.setattr(piece_dropout, "DECODE_IDS", 7)
+    cut = piece_dropout.encode(docs, F.col("doc_id"))
+    assert [tuple(r["ids"]) for r in cut.orderBy("doc_id").collect()] == whole
+    back = piece_dropout.decode(cut).orderBy("doc_id").collect()
+    assert [r["decoded"] for r in back] == [r["text"] or "" for r in back]
