@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from ..operators import quality as Q
+from ..session import stored
 from ..sources import views as V
 from ..sources.tables import table
 from .q_profile import DIRTY_COLS, DIRTY_NUM, DIRTY_TEXT, DV, _union
@@ -158,7 +159,8 @@ cleaned AS (SELECT OrderID, LineNo, PartID, SuppID, Region, Category, Profit,
 
 
 def _cleaned(spark, sf):
-    d = V.dirty_view(spark, sf)
+    # the joined view is read by six passes (gaps, medians, fills, both summaries), so it is written once
+    d = stored(V.dirty_view(spark, sf), "dirty")
     spec = Q.CleanSpec(drop_empty=True, missing_action="median", drop_duplicates=True, winsorise=["Revenue"])
     return d, Q.clean(d, spec)
 

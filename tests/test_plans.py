@@ -56,3 +56,9 @@ def test_dense_sums_take_gaps_and_empty_tables(spark):
         assert sums == pytest.approx(want, rel=1e-9, abs=1e-9)
     assert len(got) == 10
     assert ST.correlation_pairs(clean.limit(0)).where("r is not null").count() == 0
+
+
+def test_cleaning_reads_the_joined_view_from_one_copy(spark, sf):
+    from ledgerlens.plans import q_quality
+    for table in q_quality._cleaned(spark, sf):
+        assert not any("lineitem.parquet" in f for f in table.inputFiles())
