@@ -394,3 +394,56 @@ def test_piece_tasks_work_on_small_slices(spark, monkeypatch):
     assert [tuple(r["ids"]) for r in cut.orderBy("doc_id").collect()] == whole
     back = piece_dropout.decode(cut).orderBy("doc_id").collect()
     assert [r["decoded"] for r in back] == [r["text"] or "" for r in back]
+
+
+def test_lm_training_takes_steps_of_about_the_same_size(monkeypatch):
+    """A long document among short ones makes no run of steps of its own, whose few tokens would each move all weights."""
+    vocab = lm_score.Vocabulary([(f"w{i}".encode(), 3000 - i) for i in range(100)] + [(lm_score.END, 500)], 300_000, 200)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(100, size=n) for n in [100] * 400 + [6000]]
+    net, sizes = lm_score.WordNet(vocab), []
+    whole = net.train_window
+    monkeypatch.setattr(net, "train_window", lambda i, t, *a: (sizes.append(int((t >= 0).sum())), whole(i, t, *a))[1])
+    read, _ = lm_score.learn(net, docs, lanes=32)
+    assert read == sum(sizes) == 46_000
+    assert len(sizes) <= 2 * read / (32 * lm_score.WINDOW)
+
+
+def test_wide_steps_give_what_the_plain_ones_give():
+    """With a state cleared on the way, and gradients cut there and at the window's start."""
+    rng = np.random.default_rng(4)
+    n, lanes = 5, 3
+    gates, u = rng.standard_normal((8, lanes, 3 * n)).astype(gru.DTYPE), gru.weights(rng, n, 3 * n)
+    h = rng.standard_normal((lanes, n)).astype(gru.DTYPE)
+    keep = np.ones((8, lanes), dtype=bool)
+    keep[4] = False
+    d_states = rng.standard_normal((8, lanes, n)).astype(gru.DTYPE)
+    halves = [gru.forward(g, s, u) for g, s in ((gates[:4], h), (gates[4:], np.zeros_like(h)))]
+    wide = np.ascontiguousarray((gates * gru.signs(n)).transpose(0, 2, 1))
+    states, own = gru.forward_wide(wide, np.ascontiguousarray(h.T), u, keep)
+    assert np.allclose(states.transpose(0, 2, 1), np.concatenate([s for s, _ in halves]), atol=1e-5)
+    before = np.concatenate([h.T[None], states[:-1]]) * keep[:, None]
+    backs = [gru.backward(d, tape, u) for d, (_, tape) in zip((d_states[:4], d_states[4:]), halves)]
+    for cut in (8, 4):  # the cleared state ends the gradient as the cut does
+        d_gates, d_u = gru.backward_wide(np.ascontiguousarray(d_states.transpose(0, 2, 1)), wide, before, own, u, keep, cut)
+        assert np.allclose(d_gates.transpose(0, 2, 1), np.concatenate([g for g, _ in backs]), atol=1e-5)
+        assert np.allclose(d_u, backs[0][1] + backs[1][1], atol=1e-4)
+
+
+def test_lm_words_and_symbols_of_columns(spark):
+    """Arrow cuts words as the plain tokens do; an empty vocabulary leaves all of them, the end too, beyond the table."""
+    texts = ["A b\x0ba\tB\r\n", None, "", " \x0c ", "É é  x　y\x1cz", "zz zz b " * 3]
+    tokens = [lm_score.tokens_of((t or "").encode()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = {bytes(r["word"]): r["c"] for r in lm_score.count_words(docs).collect()}
+    assert counts == Counter(t for ts in tokens for t in ts)
+    for vocab in (lm_score.Vocabulary([(b"b", 9), (lm_score.END, 6), (b"a", 2)], 40, 9), lm_score.Vocabulary([], 0, 0)):
+        rows = lm_score.coded(docs.withColumn("held_out", F.lit(False)), vocab).orderBy("doc_id").collect()
+        for r, ts in zip(rows, tokens):
+            syms, at, beyond = lm_score.symbols(ts, vocab)
+            assert np.frombuffer(r["syms"], lm_score.SYMBOL).tolist() == syms.tolist()
+            assert (r["n_tokens"], r["table_known"], r["n_tail"]) == (len(ts), int((at >= 0).sum()), len(beyond))
+            assert {bytes(x["word"]): x["n"] for x in r["tail"]} == Counter(beyond)
+            if len(vocab.counts):
+                assert r["table_log"] == pytest.approx(np.log10(vocab.counts + 1)[at[at >= 0]].sum())
+                assert r["inside"] == pytest.approx(vocab.inside[at[at >= 0]].sum())
